@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from langshift.config import PRESETS, Variant
 from langshift.operators.prep import message_parts
+from langshift.operators.storage import materialise
 from langshift.sources.tables import read_table
 
 COPIED_IDS = 10
@@ -35,6 +36,13 @@ class Fixture:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    def stored(self) -> Fixture:
+        """The same with network and accounts written as tables, the way a study finds them."""
+        twin = Fixture(self.spark, self.folder)
+        twin.network = materialise(self.network, "network")
+        twin.accounts = materialise(twin.accounts, "accounts")
+        return twin
+
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, f"{self.folder}/{name}.parquet")
 
@@ -120,11 +128,6 @@ class Fixture:
             (F.col("value") / total).alias("group_norm"),
         )
 
-    @cached_property
-    def topic_count(self) -> int:
-        """Measured size of the topic vocabulary: the topics are the brands."""
-        return self.table("part").agg(F.approx_count_distinct("p_brand")).first()[0]
-
     @cached_property
     def trust_scores(self) -> DataFrame:
         """Mean order value per customer: over all non-retweets, over the first half, and the change."""

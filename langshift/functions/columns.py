@@ -41,7 +41,7 @@ def float_text(value: Column) -> Column:
     Spark prints 1.0E-4 and 1.0E7 for numbers that the result files show as 0.0001 and 10000000.0.
     """
     text = value.cast("string")
-    exponent = F.regexp_extract(text, r"E(-?\d+)$", 1).cast("int")
+    exponent = F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int")
     mantissa = F.regexp_replace(F.regexp_extract(text, r"^([^E]+)E", 1), r"\.0$", "")
     sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
     digits = F.regexp_replace(mantissa, r"[-.]", "")

@@ -52,11 +52,6 @@ def vocabulary(features: DataFrame, scope: str = "all") -> DataFrame:
     return rows.select("feat").distinct()
 
 
-def vocabulary_size(features: DataFrame) -> int:
-    """Approximate number of topics: one pass over one column, used to check a broadcast."""
-    return features.agg(F.approx_count_distinct("feat")).first()[0]
-
-
 def topic_dictionary(features: DataFrame, scope: str = "all") -> DataFrame:
     """(feat, topic_id): 1-based, by first slice the topic occurs in, then by name."""
     rows = features.where(F.col("slice") == 0) if scope == "first" else features

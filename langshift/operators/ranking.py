@@ -8,45 +8,39 @@ partition is numbered on its own, and only one row per partition takes part in t
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from langshift.operators.skew import MIN_HOT_ROWS, fair_share
+from langshift.operators.skew import MIN_HOT_ROWS, hot_keys
 from langshift.operators.storage import materialise
 
-QUANTILES = 1024
+QUANTILES = 1024  # so a key holding a third of all rows becomes a thousand parts
 BLOCK = 32
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in its lower 33 bits
 
 
-def _cut_points(frame: DataFrame, key: str, order: str, min_rows: int) -> DataFrame:
-    """(key, cuts) for hot keys: cut points in blocks of BLOCK, about one per fair share of rows.
+def _cut_points(frame: DataFrame, key: str, order: str, hot: DataFrame) -> DataFrame:
+    """(key, cuts) for hot keys: cut points in blocks of BLOCK, about one per piece.
 
     All keys together have at most 2 * MAX_HOT cut points, so the table is always small.
     """
-    share = fair_share(frame, min_rows)
-    counts = frame.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = counts.where(F.col("_rows") > share).withColumn("_parts", F.ceil(F.col("_rows") / share))
-    steps = [i / QUANTILES for i in range(1, QUANTILES)]
+    steps = F.lit(np.arange(1, QUANTILES) / QUANTILES)
     quantiles = (
         frame.select(key, order)
-        .join(F.broadcast(hot.select(key)), key, "left_semi")
-        .groupBy(key)
+        .join(F.broadcast(hot), key)
+        .groupBy(key, "pieces")
         .agg(F.percentile_approx(order, steps, 20 * QUANTILES).alias("_quantiles"))
+        .withColumn("_stride", F.greatest(F.lit(1), F.floor(QUANTILES / F.col("pieces"))).cast("int"))
     )
-    stride = F.greatest(F.lit(1), F.floor(QUANTILES / F.col("_parts"))).cast("int")
-    chosen = F.filter("_quantiles", lambda _, i: (i + 1) % F.col("_stride") == 0)
+    every = F.filter("_quantiles", lambda _, i: (i + 1) % F.col("_stride") == 0)
+    chosen = quantiles.select(key, F.array_distinct(every).alias("_chosen")).where(F.size("_chosen") > 0)
     blocks = F.transform(
         F.sequence(F.lit(0), F.ceil(F.size("_chosen") / BLOCK).cast("int") - 1),
         lambda i: F.slice("_chosen", i * BLOCK + 1, F.lit(BLOCK)),
     )
-    return (
-        quantiles.join(hot, key)
-        .withColumn("_stride", stride)
-        .withColumn("_chosen", F.array_distinct(chosen))
-        .where(F.size("_chosen") > 0)
-        .select(key, blocks.alias("_cuts"))
-    )
+    cuts = chosen.select(key, blocks.alias("_cuts"))
+    return frame.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
 
 
 def _part_number(order: str) -> Column:
@@ -64,10 +58,27 @@ def group_rank(
 ) -> DataFrame:
     """Add `rn`, the 1-based rank by the numeric column `order` inside `key`, and `n`, the rows of the key.
 
-    With `starts` (key, start) the ranks of a key begin after `start`.  Both tables of constants have one
-    row per part, so the frame itself is shuffled once.
+    With `starts` (key, start) the ranks of a key begin after `start`.  The frame is shuffled once.
     """
-    cuts = F.broadcast(_cut_points(frame, key, order, min_rows))
+    hot = hot_keys(frame, key, min_rows)
+    if hot is None:
+        by_key = Window.partitionBy(key)
+        ranked = frame.select(
+            "*",
+            F.row_number().over(by_key.orderBy(order)).cast("long").alias("rn"),
+            F.count(F.lit(1)).over(by_key).alias("n"),
+        )
+        return ranked if starts is None else _shift(ranked.join(starts, key), "start")
+    return _rank_in_pieces(frame, key, order, hot, starts)
+
+
+def _shift(ranked: DataFrame, amount: str) -> DataFrame:
+    return ranked.withColumn("rn", F.col("rn") + F.col(amount)).drop(amount)
+
+
+def _rank_in_pieces(frame: DataFrame, key: str, order: str, hot: DataFrame, starts: DataFrame | None) -> DataFrame:
+    """`group_rank` with hot keys cut into consecutive parts; offsets have one row per key and part."""
+    cuts = F.broadcast(_cut_points(frame, key, order, hot))
     parted = frame.join(cuts, key, "left").withColumn("_part", _part_number(order)).drop("_cuts")
     sizes = parted.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_rows"))
     by_key = Window.partitionBy(key)
@@ -80,17 +91,13 @@ def group_rank(
     )
     if starts is not None:
         offsets = offsets.join(starts, key).withColumn("_before", F.col("_before") + F.col("start")).drop("start")
-    ranked = parted.withColumn("_rank", F.row_number().over(Window.partitionBy(key, "_part").orderBy(order)))
-    return (
-        ranked.join(offsets, [key, "_part"])
-        .withColumn("rn", F.col("_before") + F.col("_rank"))
-        .drop("_part", "_before", "_rank")
-    )
+    rank = F.row_number().over(Window.partitionBy(key, "_part").orderBy(order)).cast("long")
+    return _shift(parted.withColumn("rn", rank).join(offsets, [key, "_part"]), "_before").drop("_part")
 
 
 def _sorted_parts(frame: DataFrame, order: list[Column]) -> DataFrame:
     """The frame range-sorted and written, with the partition and row number each row was written at."""
-    numbered = materialise(frame.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    numbered = materialise(frame.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "sorted")
     return numbered.select(
         *frame.columns,
         F.shiftright("_id", _ROW_BITS).alias("_part"),

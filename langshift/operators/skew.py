@@ -1,13 +1,15 @@
 """Joins and groups that stay balanced when one key holds a large part of all rows.
 
 A key is *hot* when it holds more than 1/MAX_HOT of all rows (and more than `min_rows`).  There can be
-at most MAX_HOT such keys whatever the data, so the table of hot keys may always be broadcast.
+at most MAX_HOT such keys whatever the data, so the list of hot keys always fits the driver and may
+always be broadcast.  It is measured first; without hot keys the plain join or window is planned.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_HOT = 4096
 MIN_HOT_ROWS = 1_000_000
@@ -15,17 +17,18 @@ BROADCAST_ROWS = 100_000
 SPREAD = 256
 
 
-def fair_share(frame: DataFrame, min_rows: int) -> Column:
-    """Rows one task may reasonably hold of one key, as a scalar subquery."""
-    total = frame.agg(F.count(F.lit(1)).alias("rows")).scalar()
-    return F.greatest(F.lit(min_rows), F.ceil(total / MAX_HOT)).cast("long")
+def hot_keys(frame: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS) -> DataFrame | None:
+    """(key, pieces) of every hot key: into how many pieces its rows should be cut.  None without any.
 
-
-def hot_keys(frame: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """(key, pieces) of every hot key: into how many pieces its rows should be cut."""
-    share = fair_share(frame, min_rows)
+    One job over the key column with partial counts; at most MAX_HOT rows come back.
+    """
     counts = frame.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    return counts.where(F.col("_rows") > share).select(key, F.ceil(F.col("_rows") / share).cast("int").alias("pieces"))
+    total = counts.agg(F.sum("_rows").alias("_total")).scalar()
+    share = F.greatest(F.lit(min_rows), F.ceil(total / MAX_HOT)).cast("long")
+    hot = counts.where(F.col("_rows") > share).select(key, F.ceil(F.col("_rows") / share).cast("int").alias("pieces"))
+    rows = hot.collect()
+    schema = T.StructType([frame.schema[key], T.StructField("pieces", T.IntegerType(), True)])
+    return frame.sparkSession.createDataFrame(rows, schema) if rows else None
 
 
 def fan_out_join(

@@ -1,28 +1,34 @@
-"""Cutting lineage: intermediate tables that later steps must see unchanged, whatever executor is lost."""
+"""Stage tables: intermediate results written once to the folder all executors share.
+
+A stage table cuts the lineage (a lost executor costs no recomputation of earlier stages), is computed
+once however often it is read, keeps column pruning and filter pushdown, and tells the planner its real
+size, so that the choice between a broadcast and a shuffled join rests on a measured number.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the session names; only a local session may fall back to a temporary one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get(CHECKPOINT_SETTING, None)
+def stage_folder(spark: SparkSession) -> str:
+    """The folder the session names; only a local session may fall back to a temporary one."""
+    folder = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="langshift-checkpoint-")
-    context.setCheckpointDir(folder)
+        folder = tempfile.mkdtemp(prefix="langshift-stages-")
+        spark.conf.set(CHECKPOINT_SETTING, folder)
+    return folder
 
 
-def materialise(frame: DataFrame) -> DataFrame:
-    """Write the frame to the shared checkpoint folder and continue from the written rows."""
-    ensure_checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+def materialise(frame: DataFrame, name: str = "stage") -> DataFrame:
+    """Write the frame as a stage table and continue from the written rows."""
+    spark = frame.sparkSession
+    path = f"{stage_folder(spark)}/langshift-{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

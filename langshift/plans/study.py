@@ -1,4 +1,4 @@
-"""A study from its inputs to its scores, as one lazy plan.
+"""A study from its inputs to its scores.
 
 Every property is a DataFrame; asking for one builds only what it needs.  Four user sets are kept apart:
 *everybody* (N, the divisor of all statistics), *core*, *loaded* (core and the users their edges lead
@@ -20,13 +20,14 @@ from langshift.operators import trust as trust_ops
 from langshift.operators import users as user_ops
 from langshift.operators.sampling import draw_people
 from langshift.operators.skew import BROADCAST_ROWS, MIN_HOT_ROWS, attach_small, hot_keys
+from langshift.operators.storage import materialise
 
 
 class Study:
     """One variant applied to users (id, is_core), network, features and, for trust, scores.
 
-    `topics` is the size of the topic vocabulary if it is known; otherwise it is measured by one pass
-    over the topic column when a plan first depends on it.
+    The tables that several steps read (users, edges, kept, the cells and the topics) are stage tables:
+    asking for them, or for anything built on them, runs the jobs that write them.
     """
 
     def __init__(
@@ -36,15 +37,12 @@ class Study:
         features: DataFrame,
         variant: Variant,
         scores: DataFrame | None = None,
-        topics: int | None = None,
         min_hot_rows: int = MIN_HOT_ROWS,
         broadcast_rows: int = BROADCAST_ROWS,
     ):
-        self.users, self.network, self.features, self.variant = users, network, features, variant
+        self._users, self.network, self.features, self.variant = users, network, features, variant
         self.scores = scores
         self.min_hot_rows, self.broadcast_rows = min_hot_rows, broadcast_rows
-        if topics is not None:
-            self.topic_count = topics
 
     @classmethod
     def of_accounts(cls, accounts: DataFrame, network: DataFrame, features: DataFrame, variant: Variant, **options):
@@ -57,27 +55,32 @@ class Study:
 
     # ---- users and edges -------------------------------------------------------------------------
 
+    @cached_property
+    def users(self) -> DataFrame:
+        """(id, is_core): everybody."""
+        return materialise(self._users, "users")
+
     @cached_property
     def people(self) -> Column:
         """N as a scalar subquery."""
         return self.users.agg(F.count(F.lit(1)).alias("people")).scalar()
 
-    @cached_property
-    def _pairs(self) -> DataFrame:
-        """Weighted edges to anybody in the study; the cap applies to these, copies included."""
-        if self.variant.friend_cap is None:
-            return network_ops.to_known(network_ops.weighted(self.network), self.users)
-        known = network_ops.to_known(self.network, self.users)
-        return network_ops.weighted(network_ops.cap_friends(known, self.variant.friend_cap, self.variant.seed))
-
     @cached_property
     def edges(self) -> DataFrame:
-        """Weighted edges from core users to anybody in the study."""
-        return network_ops.from_core(self._pairs, self.users)
+        """(source_id, dest_id, weight) from core users to anybody in the study.
+
+        Copies of an edge are combined first of all; a cap, however, draws from the copies.
+        """
+        if self.variant.friend_cap is None:
+            known = network_ops.to_known(network_ops.weighted(self.network), self.users)
+        else:
+            known = network_ops.to_known(self.network, self.users)
+            known = network_ops.weighted(network_ops.cap_friends(known, self.variant.friend_cap, self.variant.seed))
+        return materialise(network_ops.from_core(known, self.users), "edges")
 
     @cached_property
     def degrees(self) -> DataFrame:
-        return network_ops.degrees(self.users, self._pairs)
+        return network_ops.degrees(self.users, self.edges)
 
     @cached_property
     def loaded(self) -> DataFrame:
@@ -89,10 +92,17 @@ class Study:
     def kept(self) -> DataFrame:
         """(id, degree) of the compared users; for trust also whether their averages are unknown."""
         enough = self.degrees.where(F.col("degree") >= self.variant.min_degree)
+        if self.scores is not None:
+            known = self.averaged.select(F.col("user_id").alias("id"), F.lit(0).alias("unaveraged"))
+            enough = enough.join(known, "id", "left").withColumn("unaveraged", F.coalesce("unaveraged", F.lit(1)))
+        return materialise(enough, "kept")
+
+    @cached_property
+    def _averaging(self) -> DataFrame:
+        """(id, degree) of the kept users that get friend and baseline averages."""
         if self.scores is None:
-            return enough
-        known = self.averaged.select(F.col("user_id").alias("id"), F.lit(0).alias("unaveraged"))
-        return enough.join(known, "id", "left").withColumn("unaveraged", F.coalesce("unaveraged", F.lit(1)))
+            return self.kept
+        return self.kept.where("unaveraged = 0").drop("unaveraged")
 
     # ---- topics ----------------------------------------------------------------------------------
 
@@ -100,17 +110,13 @@ class Study:
     def vocabulary(self) -> DataFrame:
         return feature_ops.vocabulary(self.features, self.variant.vocab_scope)
 
-    @cached_property
-    def topic_count(self) -> int:
-        return feature_ops.vocabulary_size(self.features)
-
     @cached_property
     def core_cells(self) -> DataFrame:
-        return feature_ops.core_cells(self.features, self.users)
+        return materialise(feature_ops.core_cells(self.features, self.users), "core-cells")
 
     @cached_property
     def reference_cells(self) -> DataFrame:
-        return feature_ops.reference_cells(self.features, self.loaded)
+        return materialise(feature_ops.reference_cells(self.features, self.loaded), "reference-cells")
 
     @cached_property
     def statistics(self) -> DataFrame:
@@ -123,7 +129,12 @@ class Study:
         A varying topic has a row in slice 0, so the vocabulary scope needs no join here.
         """
         varying = feature_ops.varying_topics(self.statistics)
-        return feature_ops.topic_scales(varying, self.variant.normalise)
+        return materialise(feature_ops.topic_scales(varying, self.variant.normalise), "topics")
+
+    @cached_property
+    def topic_count(self) -> int:
+        """Exact, from the file footers of the stage table."""
+        return self.topics.count()
 
     def attach_topics(self, rows: DataFrame, table: DataFrame, *spread: str) -> DataFrame:
         return attach_small(rows, table, "feat", self.topic_count, spread, self.broadcast_rows)
@@ -166,24 +177,19 @@ class Study:
             drawers = drawers.join(self.averaged.select(F.col("user_id").alias("id")), "id", "left_semi")
         return draw_people(drawers, self.users, self.variant.seed)
 
-    @cached_property
-    def _kept_draws(self) -> DataFrame:
-        drawers = self.kept if self.scores is None else self.kept.where("unaveraged = 0")
-        return draw_people(drawers, self.users, self.variant.seed)
-
     @cached_property
     def friend_links(self) -> DataFrame:
         """(source_id, dest_id, friend_share) of kept users."""
-        sharers = self.kept if self.scores is None else self.kept.where("unaveraged = 0")
-        sharers = sharers.select(F.col("id").alias("source_id"), "degree")
-        return self._pairs.join(sharers, "source_id").select(
+        sharers = self._averaging.withColumnRenamed("id", "source_id")
+        return self.edges.join(sharers, "source_id").select(
             "source_id", "dest_id", (F.col("weight") / F.col("degree")).alias("friend_share")
         )
 
     @cached_property
     def base_links(self) -> DataFrame:
         """(source_id, dest_id, base_share) of kept users."""
-        return self._kept_draws.select("source_id", "dest_id", (1 / F.col("drawn")).alias("base_share"))
+        drawn = draw_people(self._averaging, self.users, self.variant.seed)
+        return drawn.select("source_id", "dest_id", (1 / F.col("drawn")).alias("base_share"))
 
     @cached_property
     def _links(self) -> DataFrame:
@@ -194,17 +200,16 @@ class Study:
         return friends.unionByName(drawn)
 
     @cached_property
-    def _hot_friends(self) -> DataFrame:
-        """Users with very many followers; without a cap, counted over the network's own weighted edges."""
-        pairs = network_ops.weighted(self.network) if self.variant.friend_cap is None else self._pairs
-        return hot_keys(pairs, "dest_id", self.min_hot_rows)
+    def _hot_friends(self) -> DataFrame | None:
+        """Users with very many core followers."""
+        return hot_keys(self.edges, "dest_id", self.min_hot_rows)
 
     @cached_property
     def _useful_cells(self) -> DataFrame:
         """Reference scores of varying topics; a vocabulary too large to broadcast is pruned at the end."""
         if self.topic_count > self.broadcast_rows:
             return self.reference_cells
-        return self.reference_cells.join(F.broadcast(self.topics.select("feat")), "feat")
+        return self.reference_cells.join(F.broadcast(self.topics.select("feat")), "feat", "left_semi")
 
     def _neighbours(self, links: DataFrame, shares: list[str]) -> DataFrame:
         return influence_ops.neighbour_sums(links, self._useful_cells, shares, self._hot_friends)
@@ -263,14 +268,17 @@ class Study:
 
     @cached_property
     def fits(self) -> DataFrame:
-        """Least-squares coefficients, intercept and error per topic."""
+        """Least-squares coefficients, intercept and error per topic.
+
+        The errors need the coefficients, which need all support rows, so these become a stage table.
+        """
         if self.scores is not None:
             raise ValueError("the least-squares estimator is defined for account studies only")
-        solved = influence_ops.least_squares(self.moments)
+        support = materialise(self.support, "support")
+        sums = materialise(influence_ops.moments(support, self.topics, self._flags), "moments")
+        solved = materialise(influence_ops.least_squares(sums), "fits")
         flag = 1 if self.variant.baseline == "population" else 0
-        return influence_ops.fit_errors(
-            self.support, solved, flag, lambda rows, table: self.attach_topics(rows, table, "id")
-        )
+        return influence_ops.fit_errors(support, solved, flag, lambda rows, table: self.attach_topics(rows, table, "id"))
 
     @cached_property
     def result(self) -> DataFrame:

@@ -15,6 +15,7 @@ from langshift.operators import network as network_ops
 from langshift.operators import prep
 from langshift.operators import trust as trust_ops
 from langshift.operators import users as user_ops
+from langshift.operators.storage import materialise
 from langshift.plans.study import Study
 from langshift.sources import sinks
 from langshift.sources.tables import TRUST_COLUMNS, require_columns
@@ -24,11 +25,13 @@ THRESHOLD = 0.002
 
 
 def study(fixture: Fixture, variant: str = "minmax_population", tercile: int = 0) -> Study:
+    """A study over the derived tables, which are written first, as a real study finds its inputs."""
     settings = VARIANTS[variant]
-    features = fixture.features(tercile)
+    stored = fixture.stored()
+    features = materialise(fixture.features(tercile), "features")
     if variant == "trust":
-        return Study.of_trust(fixture.trust_scores, fixture.network, features, settings, topics=fixture.topic_count)
-    return Study.of_accounts(fixture.accounts, fixture.network, features, settings, topics=fixture.topic_count)
+        return Study.of_trust(materialise(stored.trust_scores, "scores"), stored.network, features, settings)
+    return Study.of_accounts(stored.accounts, stored.network, features, settings)
 
 
 def _round(frame: DataFrame, *names: str) -> DataFrame:
