@@ -36,13 +36,6 @@ class Fixture:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    def stored(self) -> Fixture:
-        """The same with network and accounts written as tables, the way a study finds them."""
-        twin = Fixture(self.spark, self.folder)
-        twin.network = materialise(self.network, "network")
-        twin.accounts = materialise(twin.accounts, "accounts")
-        return twin
-
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, f"{self.folder}/{name}.parquet")
 
@@ -101,31 +94,48 @@ class Fixture:
         return message_parts(self.messages_nrt, 2).withColumn("half", F.col("part") - 1).drop("part")
 
     def features(self, tercile: int = 0) -> DataFrame:
-        """Topic scores: slices 0 and 1 are the halves, slice 2 the whole period or one tercile."""
-        parted = self.halves
+        """Topic scores: slices 0 and 1 are the halves, slice 2 the whole period or one tercile.
+
+        The three counts of a user and brand come from one aggregation and are unpacked afterwards.
+        """
+        parted = self.halves.select("message_id", F.col("user_id").alias("group_id"), "half")
         if tercile in (1, 2):
             thirds = message_parts(self.messages_nrt, 3).select("message_id", (F.col("part") == tercile).alias("in_reference"))
             parted = parted.join(thirds, "message_id")
         else:
             parted = parted.withColumn("in_reference", F.lit(True))
-        slices = F.array_compact(F.array(F.col("half"), F.when(F.col("in_reference"), F.lit(2))))
         lines = self.table("lineitem").select(F.col("l_orderkey").alias("message_id"), F.col("l_partkey").alias("p_partkey"))
         brands = self.table("part").select("p_partkey", F.col("p_brand").alias("feat"))
-        tokens = (
-            lines.join(parted.select("message_id", F.col("user_id").alias("group_id"), slices.alias("slices")), "message_id")
+        in_slice = (F.col("half") == 0, F.col("half") == 1, F.col("in_reference"))
+        counted = (
+            lines.join(parted, "message_id")
             .join(brands, "p_partkey")
-            .select(F.explode("slices").alias("slice"), "group_id", "feat")
+            .groupBy("group_id", "feat")
+            .agg(*(F.count_if(condition).cast("double").alias(f"value{number}") for number, condition in enumerate(in_slice)))
         )
-        counted = tokens.groupBy("slice", "group_id", "feat").agg(F.count(F.lit(1)).cast("double").alias("value"))
-        total = F.sum("value").over(Window.partitionBy("slice", "group_id"))
+        by_user = Window.partitionBy("group_id")
+        cells = [
+            F.struct(
+                F.lit(number).alias("slice"),
+                F.col(f"value{number}").alias("value"),
+                (F.col(f"value{number}") / F.col(f"total{number}")).alias("group_norm"),
+            )
+            for number in range(3)
+        ]
+        totals = {f"total{number}": F.nullif(F.sum(f"value{number}").over(by_user), F.lit(0.0)) for number in range(3)}
         brand = F.substring_index("feat", "#", -1).cast("long")
-        return counted.select(
-            "slice",
-            ((F.col("group_id") * 3 + F.col("slice")) * 1000 + brand).alias("id"),
-            "group_id",
-            "feat",
-            "value",
-            (F.col("value") / total).alias("group_norm"),
+        return (
+            counted.withColumns(totals)
+            .select("group_id", "feat", F.explode(F.array(*cells)).alias("cell"))
+            .where("cell.value > 0")
+            .select(
+                "cell.slice",
+                ((F.col("group_id") * 3 + F.col("cell.slice")) * 1000 + brand).alias("id"),
+                "group_id",
+                "feat",
+                "cell.value",
+                "cell.group_norm",
+            )
         )
 
     @cached_property
@@ -151,3 +161,28 @@ class Fixture:
                 (F.col("second_part") - F.col("first_part")).alias("diff_score"),
             )
         )
+
+
+class StoredFixture(Fixture):
+    """The same with the tables that studies read written out once, the way a study finds its inputs."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        super().__init__(spark, folder)
+        self._features: dict[int, DataFrame] = {}
+
+    @cached_property
+    def network(self) -> DataFrame:
+        return materialise(super().network, "network")
+
+    @cached_property
+    def accounts(self) -> DataFrame:
+        return materialise(super().accounts, "accounts")
+
+    @cached_property
+    def trust_scores(self) -> DataFrame:
+        return materialise(super().trust_scores, "scores")
+
+    def features(self, tercile: int = 0) -> DataFrame:
+        if tercile not in self._features:
+            self._features[tercile] = materialise(super().features(tercile), "features")
+        return self._features[tercile]

@@ -139,6 +139,15 @@ def scale_of(method: str | None) -> tuple[Column, Column]:
 
 
 def topic_scales(topics: DataFrame, method: str | None) -> DataFrame:
-    """(feat, shift, divisor, base_avg) of the varying topics; base_avg is the mean over all N users."""
+    """(feat, topic, shift, divisor, base_avg) of the varying topics; base_avg is the mean over all N users.
+
+    `topic` is a number that stands for the name in wide shuffles.  It is fixed once the table is written.
+    """
     shift, divisor = scale_of(method)
-    return topics.select("feat", shift.alias("shift"), divisor.alias("divisor"), F.col("mean2").alias("base_avg"))
+    return topics.select(
+        "feat",
+        F.monotonically_increasing_id().alias("topic"),
+        shift.alias("shift"),
+        divisor.alias("divisor"),
+        F.col("mean2").alias("base_avg"),
+    )

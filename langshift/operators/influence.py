@@ -32,52 +32,43 @@ def neighbour_sums(links: DataFrame, cells: DataFrame, shares: list[str], hot: D
     `links` are (source_id, dest_id, *shares); a share is the part this link has in an average of the
     source user.  Friends and drawn people are links with different shares, so one join serves both.
     """
-    scores = cells.select(F.col("group_id").alias("dest_id"), "feat", "s2")
+    scores = cells.select(F.col("group_id").alias("dest_id"), "topic", "s2")
     joined = fan_out_join(links, scores, "dest_id", left_hot=hot, left_spread=("source_id",))
     parts = [(F.col("s2") * F.col(share)).alias(share) for share in shares]
-    return joined.select(F.col("source_id").alias("id"), "feat", *parts)
+    return joined.select(F.col("source_id").alias("id"), "topic", *parts)
 
 
 def topic_averages(neighbours: DataFrame, share: str, name: str) -> DataFrame:
-    """(id, feat, name): one of the averages per user and topic; no row where it is zero throughout."""
-    return neighbours.groupBy("id", "feat").agg(F.sum(share).alias(name))
+    """(id, topic, name): one of the averages per user and topic; no row where it is zero throughout."""
+    return neighbours.groupBy("id", "topic").agg(F.sum(share).alias(name))
 
 
 def support_rows(own: DataFrame, neighbours: DataFrame, baseline: str, unaveraged: bool = False) -> DataFrame:
-    """(id, feat, tt, x, y, friend_flag, base_flag) for every non-zero cell of a kept user.
+    """(id, topic, tt, x, y, friend_flag, base_flag) for every non-zero cell of a kept user.
 
-    `own` are the kept users' (group_id, feat, s0, s1).  With `unaveraged` they also carry that flag:
-    users whose averages are unknown and stand at the mean over all users.
+    `own` are the kept users' (group_id, topic, s0, s1).  With `unaveraged` they also carry that flag:
+    users whose averages are unknown and stand at the mean over all users.  tt, x and y are sums of what
+    the user's own rows and the neighbours' rows contribute, so one aggregation forms them.
     """
     zero, carried = F.lit(0.0), ["unaveraged"] if unaveraged else []
-    shares = ["friend_share"] + (["base_share"] if baseline == "random" else [])
+    s0, s1 = F.coalesce("s0", zero), F.coalesce("s1", zero)
     mine = own.select(
-        F.col("group_id").alias("id"),
-        "feat",
-        F.coalesce("s0", zero).alias("s0"),
-        F.coalesce("s1", zero).alias("s1"),
-        *(zero.alias(share) for share in shares),
-        *carried,
-    )
-    theirs = neighbours.select(
-        "id", "feat", zero.alias("s0"), zero.alias("s1"), *shares, *(F.lit(0).alias(name) for name in carried)
-    )
-    cells = (
-        mine.unionByName(theirs)
-        .groupBy("id", "feat")
-        .agg(*(F.sum(name).alias(name) for name in ("s0", "s1", *shares)), *(F.max(name).alias(name) for name in carried))
+        F.col("group_id").alias("id"), "topic", (s1 - s0).alias("tt"), (-s0).alias("x"), (-s0).alias("y"), *carried
     )
-    flag = F.col("unaveraged") if unaveraged else F.lit(0)
     base_part = F.col("base_share") if baseline == "random" else zero
-    return cells.select(
+    theirs = neighbours.select(
         "id",
-        "feat",
-        (F.col("s1") - F.col("s0")).alias("tt"),
-        (F.col("friend_share") - F.col("s0")).alias("x"),
-        (base_part - F.col("s0")).alias("y"),
-        flag.alias("friend_flag"),
-        (flag if baseline == "random" else F.lit(1)).alias("base_flag"),
+        "topic",
+        zero.alias("tt"),
+        F.col("friend_share").alias("x"),
+        base_part.alias("y"),
+        *(F.lit(0).alias(name) for name in carried),
     )
+    sums = [F.sum(name).alias(name) for name in ("tt", "x", "y")]
+    cells = mine.unionByName(theirs).groupBy("id", "topic").agg(*sums, *(F.max(name).alias(name) for name in carried))
+    flag = F.col("unaveraged") if unaveraged else F.lit(0)
+    base_flag = flag if baseline == "random" else F.lit(1)
+    return cells.select("id", "topic", "tt", "x", "y", flag.alias("friend_flag"), base_flag.alias("base_flag"))
 
 
 def moments(support: DataFrame, topics: DataFrame, users: DataFrame) -> DataFrame:
@@ -89,7 +80,7 @@ def moments(support: DataFrame, topics: DataFrame, users: DataFrame) -> DataFram
         "zz": z * z, "xx": x * x, "yy": y * y, "zx": z * x, "zy": z * y, "xy": x * y,
         "fz": f * z, "fx": f * x, "fy": f * y, "bz": b * z, "bx": b * x, "by": b * y,
     }
-    sums = support.groupBy("feat").agg(
+    sums = support.groupBy("topic").agg(
         F.count(F.lit(1)).alias("support"), *(F.sum(term).alias(name) for name, term in terms.items())
     )
     totals = users.agg(
@@ -103,12 +94,12 @@ def moments(support: DataFrame, topics: DataFrame, users: DataFrame) -> DataFram
     a = F.col("base_avg")
     nf, nb, nfb = F.col("totals.nf"), F.col("totals.nb"), F.col("totals.nfb")
     return (
-        topics.join(sums, "feat", "left")
+        topics.join(sums, "topic", "left")
         .withColumn("totals", packed)
         .where("totals.users > 0")
         .select(
             "feat",
-            "shift",
+            "topic",
             "divisor",
             "base_avg",
             F.col("totals.users").alias("n"),
@@ -174,6 +165,7 @@ def least_squares(sums: DataFrame) -> DataFrame:
     b_base = solve(F.expr("str * sff - stf * sfr"), F.expr("sfr * stf + srr * str"))
     return centred.withColumn("b_friends", b_friends).withColumn("b_base", b_base).select(
         "feat",
+        "topic",
         "divisor",
         "base_avg",
         "n",
@@ -192,10 +184,10 @@ def fit_errors(support: DataFrame, fits: DataFrame, baseline_flag: int, attach)
     residual = F.expr(
         "tt - b_friends * (x + friend_flag * base_avg) - b_base * (y + base_flag * base_avg) - c"
     )
-    coefficients = fits.select("feat", "b_friends", "b_base", "base_avg", "c")
-    errors = attach(support, coefficients).groupBy("feat").agg(F.sum(F.abs(residual)).alias("error"))
+    coefficients = fits.select("topic", "b_friends", "b_base", "base_avg", "c")
+    errors = attach(support, coefficients).groupBy("topic").agg(F.sum(F.abs(residual)).alias("error"))
     rest = (F.col("n") - F.col("support")) * F.abs(F.col("b_base") * F.lit(baseline_flag) * F.col("base_avg") + F.col("c"))
-    return fits.join(errors, "feat", "left").select(
+    return fits.join(errors, "topic", "left").select(
         "feat",
         "b_friends",
         "b_base",

@@ -45,6 +45,9 @@ def fan_out_join(
     A row of a side with a hot key goes to one of the key's pieces, chosen by a hash of the spread
     columns, and the other side's rows of that key are copied to each piece.  Every pair still meets
     exactly once, and rows of ordinary keys are neither salted nor copied.
+
+    The left side gets the session's full number of shuffle partitions: its rows are few and narrow
+    beside the rows the join makes of them, and partitions merged by input size would make huge tasks.
     """
     for number, (hot, spread) in enumerate(((left_hot, left_spread), (right_hot, right_spread))):
         if hot is None:
@@ -58,7 +61,8 @@ def fan_out_join(
         copied = copied.join(hot, key, "left").withColumn(salt, copies).drop("pieces")
         left, right = (split, copied) if number == 0 else (copied, split)
     salts = [name for name in ("_salt0", "_salt1") if name in left.columns]
-    return left.join(right, [key, *salts]).drop(*salts)
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return left.repartition(tasks, key, *salts).join(right, [key, *salts]).drop(*salts)
 
 
 def attach_small(

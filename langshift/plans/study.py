@@ -136,8 +136,16 @@ class Study:
         """Exact, from the file footers of the stage table."""
         return self.topics.count()
 
-    def attach_topics(self, rows: DataFrame, table: DataFrame, *spread: str) -> DataFrame:
-        return attach_small(rows, table, "feat", self.topic_count, spread, self.broadcast_rows)
+    def attach_topics(self, rows: DataFrame, table: DataFrame, key: str, user: str) -> DataFrame:
+        """Rows joined with a table of one row per topic, broadcast if the vocabulary is small enough."""
+        return attach_small(rows, table, key, self.topic_count, (user,), self.broadcast_rows)
+
+    def _numbered(self, cells: DataFrame) -> DataFrame:
+        """Cells of varying topics with the topic's number in place of its name."""
+        return self.attach_topics(cells, self.topics.select("feat", "topic"), "feat", "group_id").drop("feat")
+
+    def _named(self, rows: DataFrame) -> DataFrame:
+        return self.attach_topics(rows, self.topics.select("topic", "feat"), "topic", "id")
 
     @cached_property
     def normalised(self) -> DataFrame:
@@ -154,7 +162,7 @@ class Study:
         ]
         rows = reduce(DataFrame.unionByName, stacked)
         shift, divisor = F.col("shift"), F.col("divisor")
-        return self.attach_topics(rows, self.topics.select("feat", "shift", "divisor"), "group_id").select(
+        return self.attach_topics(rows, self.topics.select("feat", "shift", "divisor"), "feat", "group_id").select(
             "slice",
             "group_id",
             "feat",
@@ -204,27 +212,22 @@ class Study:
         """Users with very many core followers."""
         return hot_keys(self.edges, "dest_id", self.min_hot_rows)
 
-    @cached_property
-    def _useful_cells(self) -> DataFrame:
-        """Reference scores of varying topics; a vocabulary too large to broadcast is pruned at the end."""
-        if self.topic_count > self.broadcast_rows:
-            return self.reference_cells
-        return self.reference_cells.join(F.broadcast(self.topics.select("feat")), "feat", "left_semi")
-
     def _neighbours(self, links: DataFrame, shares: list[str]) -> DataFrame:
-        return influence_ops.neighbour_sums(links, self._useful_cells, shares, self._hot_friends)
+        return influence_ops.neighbour_sums(links, self._numbered(self.reference_cells), shares, self._hot_friends)
 
     @cached_property
     def friend_averages(self) -> DataFrame:
         """(id, feat, friend_avg), not normalised; cells without a row are zero."""
         rows = self._neighbours(self.friend_links, ["friend_share"])
-        return influence_ops.topic_averages(rows, "friend_share", "friend_avg")
+        averages = influence_ops.topic_averages(rows, "friend_share", "friend_avg")
+        return self._named(averages).select("id", "feat", "friend_avg")
 
     @cached_property
     def base_averages(self) -> DataFrame:
         """(id, feat, base_avg) of the drawn people, not normalised; cells without a row are zero."""
         rows = self._neighbours(self.base_links, ["base_share"])
-        return influence_ops.topic_averages(rows, "base_share", "base_avg")
+        averages = influence_ops.topic_averages(rows, "base_share", "base_avg")
+        return self._named(averages).select("id", "feat", "base_avg")
 
     # ---- scores ----------------------------------------------------------------------------------
 
@@ -232,7 +235,7 @@ class Study:
     def support(self) -> DataFrame:
         shares = ["friend_share"] + (["base_share"] if self.variant.baseline == "random" else [])
         kept = self.kept.drop("degree").withColumnRenamed("id", "group_id")
-        own = self.core_cells.join(kept, "group_id")
+        own = self._numbered(self.core_cells.join(kept, "group_id"))
         neighbours = self._neighbours(self._links, shares)
         return influence_ops.support_rows(own, neighbours, self.variant.baseline, self.scores is not None)
 
@@ -254,7 +257,7 @@ class Study:
         Elsewhere tt is 0, and tf and tr are what the topic's constant baseline makes them.
         """
         a, divisor = F.col("base_avg"), F.col("divisor")
-        return self.attach_topics(self.support, self.topics, "id").select(
+        return self.attach_topics(self.support, self.topics, "topic", "id").select(
             "id",
             "feat",
             (F.col("tt") / divisor).alias("tt"),
@@ -278,7 +281,7 @@ class Study:
         sums = materialise(influence_ops.moments(support, self.topics, self._flags), "moments")
         solved = materialise(influence_ops.least_squares(sums), "fits")
         flag = 1 if self.variant.baseline == "population" else 0
-        return influence_ops.fit_errors(support, solved, flag, lambda rows, table: self.attach_topics(rows, table, "id"))
+        return influence_ops.fit_errors(support, solved, flag, lambda rows, table: self.attach_topics(rows, table, "topic", "id"))
 
     @cached_property
     def result(self) -> DataFrame:

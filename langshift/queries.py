@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from langshift.fixtures import VARIANTS, Fixture
+from langshift.fixtures import VARIANTS, Fixture, StoredFixture
 from langshift.functions.columns import rounded
 from langshift.operators import features as feature_ops
 from langshift.operators import influence as influence_ops
@@ -15,7 +15,6 @@ from langshift.operators import network as network_ops
 from langshift.operators import prep
 from langshift.operators import trust as trust_ops
 from langshift.operators import users as user_ops
-from langshift.operators.storage import materialise
 from langshift.plans.study import Study
 from langshift.sources import sinks
 from langshift.sources.tables import TRUST_COLUMNS, require_columns
@@ -24,13 +23,22 @@ FIRST_USER = 7
 THRESHOLD = 0.002
 
 
+_inputs: dict[tuple[str, str], StoredFixture] = {}
+
+
+def study_inputs(fixture: Fixture) -> StoredFixture:
+    """The input tables of the studies over a folder, written once per Spark application."""
+    key = (fixture.spark.sparkContext.applicationId, fixture.folder)
+    if key not in _inputs:
+        _inputs[key] = StoredFixture(fixture.spark, fixture.folder)
+    return _inputs[key]
+
+
 def study(fixture: Fixture, variant: str = "minmax_population", tercile: int = 0) -> Study:
-    """A study over the derived tables, which are written first, as a real study finds its inputs."""
-    settings = VARIANTS[variant]
-    stored = fixture.stored()
-    features = materialise(fixture.features(tercile), "features")
+    settings, stored = VARIANTS[variant], study_inputs(fixture)
+    features = stored.features(tercile)
     if variant == "trust":
-        return Study.of_trust(materialise(stored.trust_scores, "scores"), stored.network, features, settings)
+        return Study.of_trust(stored.trust_scores, stored.network, features, settings)
     return Study.of_accounts(stored.accounts, stored.network, features, settings)
 
 
@@ -80,7 +88,8 @@ def user_index(fx: Fixture) -> DataFrame:
 
 
 def edges_core(fx: Fixture) -> DataFrame:
-    return network_ops.between(fx.network, study(fx).users)
+    s = study(fx)
+    return network_ops.between(s.network, s.users)
 
 
 def edges_capped(fx: Fixture) -> DataFrame:
