@@ -89,24 +89,20 @@ class Fixture:
         )
 
     @cached_property
-    def halves(self) -> DataFrame:
-        """Non-retweets with `half` 0 or 1 of their user."""
-        return message_parts(self.messages_nrt, 2).withColumn("half", F.col("part") - 1).drop("part")
+    def parts(self) -> DataFrame:
+        """Non-retweets with the `half` (1, 2) and `third` (1, 2, 3) of their user's messages."""
+        return message_parts(self.messages_nrt, half=2, third=3)
 
     def features(self, tercile: int = 0) -> DataFrame:
         """Topic scores: slices 0 and 1 are the halves, slice 2 the whole period or one tercile.
 
         The three counts of a user and brand come from one aggregation and are unpacked afterwards.
         """
-        parted = self.halves.select("message_id", F.col("user_id").alias("group_id"), "half")
-        if tercile in (1, 2):
-            thirds = message_parts(self.messages_nrt, 3).select("message_id", (F.col("part") == tercile).alias("in_reference"))
-            parted = parted.join(thirds, "message_id")
-        else:
-            parted = parted.withColumn("in_reference", F.lit(True))
+        parted = self.parts.select("message_id", F.col("user_id").alias("group_id"), "half", "third")
+        in_reference = F.col("third") == tercile if tercile in (1, 2) else F.lit(True)
         lines = self.table("lineitem").select(F.col("l_orderkey").alias("message_id"), F.col("l_partkey").alias("p_partkey"))
         brands = self.table("part").select("p_partkey", F.col("p_brand").alias("feat"))
-        in_slice = (F.col("half") == 0, F.col("half") == 1, F.col("in_reference"))
+        in_slice = (F.col("half") == 1, F.col("half") == 2, in_reference)
         counted = (
             lines.join(parted, "message_id")
             .join(brands, "p_partkey")
@@ -142,11 +138,11 @@ class Fixture:
     def trust_scores(self) -> DataFrame:
         """Mean order value per customer: over all non-retweets, over the first half, and the change."""
         price = self.table("orders").select(F.col("o_orderkey").alias("message_id"), "o_totalprice")
-        priced = self.halves.join(price, "message_id")
+        priced = self.parts.join(price, "message_id")
         means = priced.groupBy("user_id").agg(
             F.avg("o_totalprice").alias("wo_retweets"),
-            F.avg(F.when(F.col("half") == 0, F.col("o_totalprice"))).alias("first_part"),
-            F.avg(F.when(F.col("half") == 1, F.col("o_totalprice"))).alias("second_part"),
+            F.avg(F.when(F.col("half") == 1, F.col("o_totalprice"))).alias("first_part"),
+            F.avg(F.when(F.col("half") == 2, F.col("o_totalprice"))).alias("second_part"),
         )
         followed = self.network.groupBy(F.col("source_id").alias("user_id")).agg(F.count(F.lit(1)).alias("num_of_friends"))
         customers = self.table("customer").select(F.col("c_custkey").alias("user_id"))

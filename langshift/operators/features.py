@@ -33,17 +33,21 @@ def _score(slice_number: int) -> Column:
 
 
 def core_cells(features: DataFrame, users: DataFrame) -> DataFrame:
-    """(group_id, feat, s0, s1) of core users; NULL where a slice has no row."""
-    core = core_of(users).select(F.col("id").alias("group_id"))
-    rows = features.where(F.col("slice") < REFERENCE_SLICE).join(core, "group_id", "left_semi")
-    return rows.groupBy("group_id", "feat").agg(_score(0).alias("s0"), _score(1).alias("s1"))
+    """(group_id, feat, s0, s1) of core users; NULL where a slice has no row.
+
+    Copies are resolved before the users are looked up, so that a user with very many rows is spread over
+    topics.  While the users fit a broadcast the planner looks them up first, below the aggregation.
+    """
+    rows = features.where(F.col("slice") < REFERENCE_SLICE)
+    cells = rows.groupBy("group_id", "feat").agg(_score(0).alias("s0"), _score(1).alias("s1"))
+    return cells.join(core_of(users).select(F.col("id").alias("group_id")), "group_id", "left_semi")
 
 
 def reference_cells(features: DataFrame, loaded: DataFrame) -> DataFrame:
     """(group_id, feat, s2) of loaded users."""
-    wanted = loaded.select(F.col("id").alias("group_id"))
-    rows = features.where(F.col("slice") == REFERENCE_SLICE).join(wanted, "group_id", "left_semi")
-    return rows.groupBy("group_id", "feat").agg(_score(2).alias("s2"))
+    rows = features.where(F.col("slice") == REFERENCE_SLICE)
+    cells = rows.groupBy("group_id", "feat").agg(_score(2).alias("s2"))
+    return cells.join(loaded.select(F.col("id").alias("group_id")), "group_id", "left_semi")
 
 
 def vocabulary(features: DataFrame, scope: str = "all") -> DataFrame:

@@ -110,10 +110,13 @@ def first_tercile_by_bounds(positions: DataFrame, bounds: DataFrame) -> DataFram
     return joined.where(3 * F.col("position") <= 2 * F.col("min_") + F.col("max_")).drop("min_", "max_")
 
 
-def message_parts(messages: DataFrame, parts: int, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """Messages with `part` 1..parts: part k ends where parts * (rank - 1) <= k * (n - 1)."""
+def message_parts(messages: DataFrame, min_hot_rows: int = MIN_HOT_ROWS, **parts: int) -> DataFrame:
+    """Messages with one column per period split, e.g. half=2, third=3, all from one ranking.
+
+    Part k of p ends where p * (rank - 1) <= k * (n - 1) inside the user; parts are numbered from 1.
+    """
     ranked = group_rank(messages, "user_id", "message_id", min_hot_rows)
-    return ranked.withColumn("part", _part(parts)).drop("rn", "n")
+    return ranked.withColumns({name: _part(number) for name, number in parts.items()}).drop("rn", "n")
 
 
 def _part(parts: int) -> Column:

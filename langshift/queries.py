@@ -292,9 +292,8 @@ def tercile_sizes(fx: Fixture) -> DataFrame:
 
 def message_parts(fx: Fixture) -> DataFrame:
     """Half and third of every message."""
-    halves = prep.message_parts(fx.messages_nrt, 2).select("message_id", "user_id", F.col("part").alias("half"))
-    thirds = prep.message_parts(fx.messages_nrt, 3).select("message_id", F.col("part").alias("third"))
-    return _long(halves.join(thirds, "message_id"), "half", "third")
+    parts = prep.message_parts(fx.messages_nrt, half=2, third=3)
+    return _long(parts.select("message_id", "user_id", "half", "third"), "half", "third")
 
 
 def accounts_core(fx: Fixture) -> DataFrame:

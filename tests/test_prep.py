@@ -50,10 +50,10 @@ def test_first_tercile_sizes(messages, min_hot_rows):
 
 
 def test_cumulative_parts_are_not_ntile(messages):
-    parted = prep.message_parts(messages, 3)
-    assert sizes(parted.where("part = 1")) == {1: 1, 2: 1, 3: 1, 4: 2, 5: 2, 6: 2, 7: 3}
-    assert sizes(parted.where("part <= 2")) == {1: 1, 2: 1, 3: 2, 4: 3, 5: 3, 6: 4, 7: 5}
-    assert sizes(prep.message_parts(messages, 2).where("part = 1")) == {1: 1, 2: 1, 3: 2, 4: 2, 5: 3, 6: 3, 7: 4}
+    parted = prep.message_parts(messages, third=3, half=2)
+    assert sizes(parted.where("third = 1")) == {1: 1, 2: 1, 3: 1, 4: 2, 5: 2, 6: 2, 7: 3}
+    assert sizes(parted.where("third <= 2")) == {1: 1, 2: 1, 3: 2, 4: 3, 5: 3, 6: 4, 7: 5}
+    assert sizes(parted.where("half = 1")) == {1: 1, 2: 1, 3: 2, 4: 2, 5: 3, 6: 3, 7: 4}
 
 
 def test_positions_and_bounds(messages):
