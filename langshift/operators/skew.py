@@ -7,6 +7,8 @@ always be broadcast.  It is measured first; without hot keys the plain join or w
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,15 +22,16 @@ SPREAD = 256
 def hot_keys(frame: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS) -> DataFrame | None:
     """(key, pieces) of every hot key: into how many pieces its rows should be cut.  None without any.
 
-    One job over the key column with partial counts; at most MAX_HOT rows come back.
+    The usual case is one job over the key column with partial counts; at most MAX_HOT rows come back.
     """
     counts = frame.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    total = counts.agg(F.sum("_rows").alias("_total")).scalar()
-    share = F.greatest(F.lit(min_rows), F.ceil(total / MAX_HOT)).cast("long")
+    total, largest = counts.agg(F.sum("_rows"), F.max("_rows")).first()
+    share = max(min_rows, math.ceil((total or 0) / MAX_HOT))
+    if (largest or 0) <= share:
+        return None
     hot = counts.where(F.col("_rows") > share).select(key, F.ceil(F.col("_rows") / share).cast("int").alias("pieces"))
-    rows = hot.collect()
     schema = T.StructType([frame.schema[key], T.StructField("pieces", T.IntegerType(), True)])
-    return frame.sparkSession.createDataFrame(rows, schema) if rows else None
+    return frame.sparkSession.createDataFrame(hot.collect(), schema)
 
 
 def fan_out_join(
@@ -46,8 +49,8 @@ def fan_out_join(
     columns, and the other side's rows of that key are copied to each piece.  Every pair still meets
     exactly once, and rows of ordinary keys are neither salted nor copied.
 
-    The left side gets the session's full number of shuffle partitions: its rows are few and narrow
-    beside the rows the join makes of them, and partitions merged by input size would make huge tasks.
+    The left side gets the session's full number of shuffle partitions and is never broadcast: its rows
+    are few and narrow beside the rows the join makes of them, so tasks sized by input would be huge.
     """
     for number, (hot, spread) in enumerate(((left_hot, left_spread), (right_hot, right_spread))):
         if hot is None:
@@ -62,7 +65,7 @@ def fan_out_join(
         left, right = (split, copied) if number == 0 else (copied, split)
     salts = [name for name in ("_salt0", "_salt1") if name in left.columns]
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return left.repartition(tasks, key, *salts).join(right, [key, *salts]).drop(*salts)
+    return left.repartition(tasks, key, *salts).hint("merge").join(right, [key, *salts]).drop(*salts)
 
 
 def attach_small(
