@@ -51,9 +51,9 @@ def messages_of(messages: DataFrame, users: DataFrame, column: str) -> DataFrame
 
 def core_accounts(accounts: DataFrame, members: DataFrame) -> DataFrame:
     """One row per core member, the one with the smallest counter, without the crawl columns."""
-    mine = accounts.join(members.select(F.col("dest_id").alias("id")), "id", "left_semi")
-    first = F.row_number().over(Window.partitionBy("id").orderBy("counter"))
-    return mine.withColumn("_first", first).where("_first = 1").select(*CORE_ACCOUNT_COLUMNS)
+    by_id = F.row_number().over(Window.partitionBy("id").orderBy("counter"))
+    first = accounts.withColumn("_first", by_id).where("_first = 1").select(*CORE_ACCOUNT_COLUMNS)
+    return first.join(members.select(F.col("dest_id").alias("id")), "id", "left_semi")
 
 
 # ---- positions and periods ------------------------------------------------------------------------
