@@ -136,13 +136,21 @@ class Fixture:
 
     @cached_property
     def trust_scores(self) -> DataFrame:
-        """Mean order value per customer: over all non-retweets, over the first half, and the change."""
-        price = self.table("orders").select(F.col("o_orderkey").alias("message_id"), "o_totalprice")
-        priced = self.parts.join(price, "message_id")
-        means = priced.groupBy("user_id").agg(
-            F.avg("o_totalprice").alias("wo_retweets"),
-            F.avg(F.when(F.col("half") == 1, F.col("o_totalprice"))).alias("first_part"),
-            F.avg(F.when(F.col("half") == 2, F.col("o_totalprice"))).alias("second_part"),
+        """Mean order value per customer: over all non-retweets, over the first half, and the change.
+
+        Values are added up in whole cents, so the means do not depend on the order of the rows.
+        """
+        cents = F.round(F.col("o_totalprice") * 100).cast("long")
+        price = self.table("orders").select(F.col("o_orderkey").alias("message_id"), cents.alias("cents"))
+
+        def mean(name: str, *halves: int):
+            wanted = F.when(F.col("half").isin(*halves), F.col("cents"))
+            return (F.try_divide(F.sum(wanted), F.count(wanted)) / 100).alias(name)
+
+        means = (
+            self.parts.join(price, "message_id")
+            .groupBy("user_id")
+            .agg(mean("wo_retweets", 1, 2), mean("first_part", 1), mean("second_part", 2))
         )
         followed = self.network.groupBy(F.col("source_id").alias("user_id")).agg(F.count(F.lit(1)).alias("num_of_friends"))
         customers = self.table("customer").select(F.col("c_custkey").alias("user_id"))

@@ -45,10 +45,11 @@ INPUTS = {
                m.second_part - m.first_part AS diff_score
         FROM customer
         LEFT JOIN (SELECT source_id, count(*) AS n FROM network GROUP BY source_id) f ON f.source_id = c_custkey
-        LEFT JOIN (SELECT user_id, avg(o_totalprice) AS wo_retweets,
-                          avg(o_totalprice) FILTER (half = 1) AS first_part,
-                          avg(o_totalprice) FILTER (half = 2) AS second_part
-                   FROM parts JOIN orders ON o_orderkey = message_id GROUP BY user_id) m ON m.user_id = c_custkey""",
+        LEFT JOIN (SELECT user_id, sum(cents)::DOUBLE / count(*) / 100 AS wo_retweets,
+                          sum(cents) FILTER (half = 1)::DOUBLE / nullif(count(*) FILTER (half = 1), 0) / 100 AS first_part,
+                          sum(cents) FILTER (half = 2)::DOUBLE / nullif(count(*) FILTER (half = 2), 0) / 100 AS second_part
+                   FROM parts JOIN (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS cents FROM orders)
+                        ON o_orderkey = message_id GROUP BY user_id) m ON m.user_id = c_custkey""",
 }
 
 
@@ -223,8 +224,8 @@ def compose(tables: dict[str, str], query: str) -> str:
     return f"WITH {', '.join(ordered)} {query}" if ordered else query
 
 
-def _r(*names: str) -> str:
-    return ", ".join(f"round({name}, 6) + 0.0 AS {name}" for name in names)
+def _r(*names: str, digits: int = 6) -> str:
+    return ", ".join(f"round({name}, {digits}) + 0.0 AS {name}" for name in names)
 
 
 _MAIN, _OLS, _RANDOM, _TRUST = "minmax_population", "ols_population", "capped_random", "trust"
@@ -323,13 +324,13 @@ STUDY_QUERIES: dict[str, tuple[str, int, str]] = {
         _TRUST, 0, f"SELECT user_id, num_of_friends, {_r('wo_retweets', 'first_part', 'diff_score')} FROM trust_scores",
     ),
     "trust_core": (_TRUST, 0, "SELECT user_id AS id FROM trust_scores WHERE num_of_friends > 1"),
-    "trust_friend_avg": (_TRUST, 0, f"SELECT user_id, {_r('avg_friends')} FROM averaged"),
+    "trust_friend_avg": (_TRUST, 0, f"SELECT user_id, {_r('avg_friends', digits=3)} FROM averaged"),
     "trust_diffs": (
         _TRUST, 0,
-        """SELECT t.user_id, round(a.avg_friends, 6) + 0.0 AS avg_friends,
-                  round(p.avg_people, 6) + 0.0 AS avg_random_people,
-                  round(a.avg_friends - t.first_part, 6) + 0.0 AS diff_friends,
-                  round(p.avg_people - t.first_part, 6) + 0.0 AS diff_random_people
+        """SELECT t.user_id, round(a.avg_friends, 3) + 0.0 AS avg_friends,
+                  round(p.avg_people, 3) + 0.0 AS avg_random_people,
+                  round(a.avg_friends - t.first_part, 3) + 0.0 AS diff_friends,
+                  round(p.avg_people - t.first_part, 3) + 0.0 AS diff_random_people
            FROM trust_scores t LEFT JOIN averaged a USING (user_id)
            LEFT JOIN (SELECT source_id, avg(wo_retweets) AS avg_people FROM draws JOIN trust_scores ON user_id = dest_id
                       GROUP BY source_id) p ON p.source_id = t.user_id""",
