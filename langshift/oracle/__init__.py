@@ -224,8 +224,8 @@ def compose(tables: dict[str, str], query: str) -> str:
     return f"WITH {', '.join(ordered)} {query}" if ordered else query
 
 
-def _r(*names: str, digits: int = 6) -> str:
-    return ", ".join(f"round({name}, {digits}) + 0.0 AS {name}" for name in names)
+def _r(*names: str) -> str:
+    return ", ".join(f"round({name}, 6) + 0.0 AS {name}" for name in names)
 
 
 _MAIN, _OLS, _RANDOM, _TRUST = "minmax_population", "ols_population", "capped_random", "trust"
@@ -324,13 +324,13 @@ STUDY_QUERIES: dict[str, tuple[str, int, str]] = {
         _TRUST, 0, f"SELECT user_id, num_of_friends, {_r('wo_retweets', 'first_part', 'diff_score')} FROM trust_scores",
     ),
     "trust_core": (_TRUST, 0, "SELECT user_id AS id FROM trust_scores WHERE num_of_friends > 1"),
-    "trust_friend_avg": (_TRUST, 0, f"SELECT user_id, {_r('avg_friends', digits=3)} FROM averaged"),
+    "trust_friend_avg": (_TRUST, 0, "SELECT user_id, round(avg_friends + 1e-7, 3) + 0.0 AS avg_friends FROM averaged"),
     "trust_diffs": (
         _TRUST, 0,
-        """SELECT t.user_id, round(a.avg_friends, 3) + 0.0 AS avg_friends,
-                  round(p.avg_people, 3) + 0.0 AS avg_random_people,
-                  round(a.avg_friends - t.first_part, 3) + 0.0 AS diff_friends,
-                  round(p.avg_people - t.first_part, 3) + 0.0 AS diff_random_people
+        """SELECT t.user_id, round(a.avg_friends + 1e-7, 3) + 0.0 AS avg_friends,
+                  round(p.avg_people + 1e-7, 3) + 0.0 AS avg_random_people,
+                  round(a.avg_friends - t.first_part + 1e-7, 3) + 0.0 AS diff_friends,
+                  round(p.avg_people - t.first_part + 1e-7, 3) + 0.0 AS diff_random_people
            FROM trust_scores t LEFT JOIN averaged a USING (user_id)
            LEFT JOIN (SELECT source_id, avg(wo_retweets) AS avg_people FROM draws JOIN trust_scores ON user_id = dest_id
                       GROUP BY source_id) p ON p.source_id = t.user_id""",

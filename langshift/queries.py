@@ -42,8 +42,13 @@ def study(fixture: Fixture, variant: str = "minmax_population", tercile: int = 0
     return Study.of_accounts(stored.accounts, stored.network, features, settings)
 
 
-def _round(frame: DataFrame, *names: str, digits: int = 6) -> DataFrame:
-    return frame.withColumns({name: rounded(F.col(name), digits) for name in names})
+def _round(frame: DataFrame, *names: str) -> DataFrame:
+    return frame.withColumns({name: rounded(F.col(name)) for name in names})
+
+
+def _round_money(frame: DataFrame, *names: str) -> DataFrame:
+    """Three digits; half units, frequent in means of prices, round up in spite of summation noise."""
+    return frame.withColumns({name: rounded(F.col(name) + F.lit(1e-7), 3) for name in names})
 
 
 def _long(frame: DataFrame, *names: str) -> DataFrame:
@@ -218,14 +223,14 @@ def trust_core(fx: Fixture) -> DataFrame:
 
 
 def trust_friend_avg(fx: Fixture) -> DataFrame:
-    return _round(study(fx, "trust").averaged, "avg_friends", digits=3)
+    return _round_money(study(fx, "trust").averaged, "avg_friends")
 
 
 def trust_diffs(fx: Fixture) -> DataFrame:
     s = study(fx, "trust")
     differences = trust_ops.trust_differences(s.scores, s.averaged, s.draws)
     names = ("avg_friends", "avg_random_people", "diff_friends", "diff_random_people")
-    return _round(differences.select("user_id", *names), *names, digits=3)
+    return _round_money(differences.select("user_id", *names), *names)
 
 
 # ---- preparation ----------------------------------------------------------------------------------
