@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from langshift.llm import bloom_cascade, hilbert, simhash_gray
+from langshift.llm import bloom_cascade, hilbert, range_join, simhash_gray
 
 SHARDS = 40
+NEAR_VECTORS = 0.93
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,6 +25,29 @@ def op1_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_range_join(spark: SparkSession, folder: str) -> DataFrame:
+    return range_join.near_vectors(table(spark, folder, "embeddings"), NEAR_VECTORS)
+
+
+OP4_SQL = f"""
+WITH RECURSIVE wide AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v, row_number() OVER () AS n FROM embeddings
+), usable AS (
+  SELECT *, sqrt(list_inner_product(v, v)) AS norm FROM wide
+  WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), links AS (
+  SELECT a.n AS a, b.n AS b FROM usable a JOIN usable b ON a.label = b.label AND len(a.v) = len(b.v) AND a.n <> b.n
+  WHERE a.norm > 0 AND b.norm > 0 AND list_inner_product(a.v, b.v) / (a.norm * b.norm) >= {NEAR_VECTORS}
+), reach AS (
+  SELECT n AS a, n AS b FROM wide UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), component AS (
+  SELECT r.a AS n, min(w.vec_id) AS component_id FROM reach r JOIN wide w ON w.n = r.b GROUP BY r.a
+)
+SELECT w.vec_id, (SELECT count(*) FROM links l WHERE l.a = w.n) AS n_links, c.component_id, w.vec_id = c.component_id AS kept
+FROM wide w JOIN component c USING (n)
+"""
+
+
 def op7_simhash_gray(spark: SparkSession, folder: str) -> DataFrame:
     prints = simhash_gray.materialised_fingerprints(table(spark, folder, "documents"))
     found = simhash_gray.gray_components(prints)
@@ -60,6 +84,6 @@ FROM ruled
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    function.__name__: function for function in (op1_hilbert_shards, op7_simhash_gray, op8_bloom_cascade)
+    function.__name__: function for function in (op1_hilbert_shards, op4_range_join, op7_simhash_gray, op8_bloom_cascade)
 }
-ORACLE_SQL: dict[str, str] = {"op8_bloom_cascade": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_range_join": OP4_SQL, "op8_bloom_cascade": OP8_SQL}

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
 from langshift.llm.components import connected_components
+from langshift.llm.forest import Forest
 from langshift.operators.storage import materialise
 
 BITS = 64
@@ -120,26 +121,6 @@ def _spread(counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
-class Forest:
-    """Labels of rows that are merged pair by pair, all at once."""
-
-    def __init__(self, n: int):
-        self.label = np.arange(n)
-
-    def merge(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            x, y = self.label[a], self.label[b]
-            keep = x != y
-            if not keep.any():
-                return
-            a, b, x, y = a[keep], b[keep], x[keep], y[keep]
-            parent = np.arange(len(self.label))
-            np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
-            while (parent[parent] != parent).any():
-                parent = parent[parent]
-            self.label = parent[self.label]
-
-
 class GrayTree:
     """Sorted fingerprints of many groups as one forest of shared bit patterns."""
 
