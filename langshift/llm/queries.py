@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from langshift.llm import bloom_cascade, hilbert, range_join, simhash_gray
+from langshift.llm import bloom_cascade, ftrl, hilbert, range_join, simhash_gray
 
 SHARDS = 40
 NEAR_VECTORS = 0.93
@@ -25,6 +25,18 @@ def op1_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def toxicity_model(spark: SparkSession, folder: str) -> ftrl.Model:
+    """Learned from the labels of all ids that are not held out."""
+    labels = table(spark, folder, "labels").where(~ftrl.held_out(F.col("doc_id")))
+    return ftrl.train(table(spark, folder, "documents"), labels, "toxic")
+
+
+def op2_ftrl_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    scored = ftrl.score(table(spark, folder, "documents"), toxicity_model(spark, folder))
+    predicted = (F.col("score") >= ftrl.THRESHOLD).cast("int")
+    return scored.select("doc_id", ftrl.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op4_range_join(spark: SparkSession, folder: str) -> DataFrame:
     return range_join.near_vectors(table(spark, folder, "embeddings"), NEAR_VECTORS)
 
@@ -84,6 +96,6 @@ FROM ruled
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    function.__name__: function for function in (op1_hilbert_shards, op4_range_join, op7_simhash_gray, op8_bloom_cascade)
+    function.__name__: function for function in (op1_hilbert_shards, op2_ftrl_toxicity, op4_range_join, op7_simhash_gray, op8_bloom_cascade)
 }
 ORACLE_SQL: dict[str, str] = {"op4_range_join": OP4_SQL, "op8_bloom_cascade": OP8_SQL}
