@@ -17,12 +17,13 @@ scored; without any label the score is 0.5; an empty table gives an empty result
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -101,6 +102,10 @@ def _learn_fold(rows: pd.DataFrame, start: pd.DataFrame | None, bits: int) -> pd
     return pd.DataFrame({"at": at, "z": state.z[at], "n": state.n[at]})
 
 
+def _fold_learner(start: Broadcast, bits: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda fold: _learn_fold(fold.sort_values("place"), start.value, bits)
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, sample: int, bits: int, key: str, text: str) -> DataFrame:
     """(fold, place, label, features) of at most `sample` labelled documents; the ids drawn are the bounded side."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
@@ -148,11 +153,7 @@ def train(
     spark, state = documents.sparkSession, None
     folds = max(1, rows.select("fold").distinct().count())
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(state)
-
-        def learn(fold: pd.DataFrame, shared=shared) -> pd.DataFrame:
-            return _learn_fold(fold.sort_values("place"), shared.value, bits)
-
+        learn = _fold_learner(spark.sparkContext.broadcast(state), bits)
         learned = rows.groupBy("fold").applyInPandas(learn, "at long, z double, n double")
         mean = learned.groupBy("at").agg((F.sum("z") / folds).alias("z"), (F.sum("n") / folds).alias("n"))
         state = mean.orderBy("at").toPandas()  # at most 2 ** bits + 1 rows
