@@ -167,20 +167,20 @@ def train(
 
 def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(key, carry..., score) for every row, from its whole text."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = documents.sparkSession.sparkContext.broadcast((model.at, model.weight, model.bias, model.bits))
     kept = documents.select(key, *carry)
     schema = kept.schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, features = shared.value, Features(shared.value.bits)
-        weight = np.zeros(1 << model.bits, np.float32)
-        weight[model.at] = model.weight
+        at, values, bias, bits = shared.value
+        features, weight = Features(bits), np.zeros(1 << bits, np.float32)
+        weight[at] = values
         for batch in batches:
             sums = []
             for text in batch.column("_text").cast(pa.binary()).to_pylist():
                 found = features(text)
                 sums.append(weight[np.unique(found[weight[found] != 0])].sum(dtype=np.float64))
-            odds = np.clip(np.array(sums, np.float64) + model.bias, -35, 35)
+            odds = np.clip(np.array(sums, np.float64) + bias, -35, 35)
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(1 / (1 + np.exp(-odds)))], names=schema.names)
 
