@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from langshift.llm import bloom_cascade, ftrl, hilbert, range_join, simhash_gray
+from langshift.llm import bloom_cascade, ftrl, hilbert, range_join, simhash_gray, va_file
 
 SHARDS = 40
 NEAR_VECTORS = 0.93
+NEAREST = 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -95,7 +96,29 @@ SELECT page_id, host, path, rule, CASE
 FROM ruled
 """
 
+def op10_va_file(spark: SparkSession, folder: str) -> DataFrame:
+    return va_file.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, NEAREST)
+
+
+OP10_SQL = f"""
+WITH usable AS (
+  SELECT vec_id, row_number() OVER () AS n,
+         list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, q.n, v.vec_id,
+         CAST(list_inner_product(CAST(q.c AS DOUBLE[]), CAST(v.c AS DOUBLE[])) AS BIGINT) AS score
+  FROM usable q JOIN usable v ON q.n <> v.n AND len(q.c) = len(v.c) WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {NEAREST}
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    function.__name__: function for function in (op1_hilbert_shards, op2_ftrl_toxicity, op4_range_join, op7_simhash_gray, op8_bloom_cascade)
+    function.__name__: function for function in (op1_hilbert_shards, op2_ftrl_toxicity, op4_range_join, op7_simhash_gray, op8_bloom_cascade, op10_va_file)
 }
-ORACLE_SQL: dict[str, str] = {"op4_range_join": OP4_SQL, "op8_bloom_cascade": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_range_join": OP4_SQL, "op8_bloom_cascade": OP8_SQL, "op10_va_file": OP10_SQL}
