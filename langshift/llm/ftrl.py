@@ -33,7 +33,8 @@ from langshift.operators.storage import materialise
 BITS = 20
 SAMPLE = 24_000  # labelled documents that training reads at most
 FOLDS = 4
-ROUNDS = 4
+ROUNDS = 3
+EPOCHS = 2  # passes over a fold in a round
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 3.0, 0.0
 THRESHOLD = 0.7
 CACHED_WORDS = 500_000
@@ -91,23 +92,24 @@ class State:
         self.z[at] += g - (np.sqrt(self.n[at]) - root) / ALPHA * w
 
 
-def _learn_fold(rows: pd.DataFrame, start: pd.DataFrame | None, bits: int) -> pd.DataFrame:
-    """One pass over a fold; returns the changed coordinates."""
-    state = State.empty(1 << bits)
-    if start is not None:
-        state.z[start["at"]], state.n[start["at"]] = start["z"], start["n"]
-    for features, label in zip(rows["features"], rows["label"], strict=True):
-        state.learn(features, label)
+def _learn_fold(rows: pd.DataFrame, start: tuple[np.ndarray, ...], bits: int) -> pd.DataFrame:
+    """EPOCHS passes over a fold from the common state; returns the coordinates that it has ever changed."""
+    state, features = State.empty(1 << bits), Features(bits)
+    at, state.z[at], state.n[at] = start
+    texts = [np.unique(features(text)).astype(np.int32) for text in rows["text"]]
+    for _ in range(EPOCHS):
+        for found, label in zip(texts, rows["label"], strict=True):
+            state.learn(found, label)
     at = np.flatnonzero(state.n)
-    return pd.DataFrame({"at": at, "z": state.z[at], "n": state.n[at]})
+    return pd.DataFrame({"at": at.astype(np.int32), "z": state.z[at].astype(np.float32), "n": state.n[at].astype(np.float32)})
 
 
 def _fold_learner(start: Broadcast, bits: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return lambda fold: _learn_fold(fold.sort_values("place"), start.value, bits)
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, sample: int, bits: int, key: str, text: str) -> DataFrame:
-    """(fold, place, label, features) of at most `sample` labelled documents; the ids drawn are the bounded side."""
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, sample: int, key: str, text: str) -> DataFrame:
+    """(fold, place, label, text) of at most `sample` labelled documents; the ids drawn are the bounded side."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
     known = known.groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("label"))
     ids = documents.select(F.col(key).alias("_key")).distinct()
@@ -117,16 +119,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, sample:
     texts = documents.select(F.col(key).alias("_key"), F.encode(text, "UTF-8").alias("text"))
     rows = texts.join(drawn, "_key").groupBy("_key", "place", "label").agg(F.min("text").alias("text"))
     fold = F.pmod(F.xxhash64("place", F.lit(7)), F.lit(FOLDS)).cast("int")
-    rows = rows.select(fold.alias("fold"), "place", F.col("label").cast("int").alias("label"), "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features(bits)
-        for batch in batches:
-            found = [np.unique(features(text)).astype(np.int32) for text in batch.column(3).to_pylist()]
-            columns = [*batch.columns[:3], pa.array(found, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["fold", "place", "label", "features"])
-
-    return rows.mapInArrow(run, "fold int, place long, label int, features array<int>")
+    return rows.select(fold.alias("fold"), "place", F.col("label").cast("int").alias("label"), "text")
 
 
 @dataclass(frozen=True)
@@ -149,17 +142,18 @@ def train(
     key: str = "doc_id",
     text: str = "text",
 ) -> Model:
-    rows = materialise(labelled_sample(documents, labels, label, sample, bits, key, text), "ftrl-sample")
-    spark, state = documents.sparkSession, None
+    rows = materialise(labelled_sample(documents, labels, label, sample, key, text), "ftrl-sample")
+    spark = documents.sparkSession
     folds = max(1, rows.select("fold").distinct().count())
+    start = (np.empty(0, np.int32), np.empty(0, np.float32), np.empty(0, np.float32))
     for _ in range(rounds):
-        learn = _fold_learner(spark.sparkContext.broadcast(state), bits)
-        learned = rows.groupBy("fold").applyInPandas(learn, "at long, z double, n double")
-        mean = learned.groupBy("at").agg((F.sum("z") / folds).alias("z"), (F.sum("n") / folds).alias("n"))
-        state = mean.orderBy("at").toPandas()  # at most 2 ** bits + 1 rows
+        learn = _fold_learner(spark.sparkContext.broadcast(start), bits)
+        learned = rows.groupBy("fold").applyInPandas(learn, "at int, z float, n float")
+        mean = learned.groupBy("at").agg(*[(F.sum(c) / folds).cast("float").alias(c) for c in ("z", "n")])
+        found = mean.toArrow()  # at most 2 ** bits + 1 rows of twelve bytes
+        start = tuple(found[c].to_numpy() for c in ("at", "z", "n"))
     full = State.empty(1 << bits)
-    if state is not None and len(state):
-        full.z[state["at"]], full.n[state["at"]] = state["z"], state["n"]
+    at, full.z[at], full.n[at] = start
     weight = full.weights(slice(None))
     at = np.flatnonzero(weight[:-1])
     return Model(at, weight[at].astype(np.float32), float(weight[-1]), bits)
