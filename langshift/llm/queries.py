@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from langshift.llm import bloom_cascade, ftrl, hilbert, range_join, simhash_gray, va_file
+from langshift.llm import bloom_cascade, ftrl, hilbert, length_buckets, pivotal, range_join, simhash_gray, va_file
 
 SHARDS = 40
 NEAR_VECTORS = 0.93
@@ -38,6 +38,11 @@ def op2_ftrl_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", ftrl.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op3_pivotal_mix(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = pivotal.mix_documents(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op4_range_join(spark: SparkSession, folder: str) -> DataFrame:
     return range_join.near_vectors(table(spark, folder, "embeddings"), NEAR_VECTORS)
 
@@ -61,6 +66,10 @@ FROM wide w JOIN component c USING (n)
 """
 
 
+def op5_length_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    return length_buckets.pack(table(spark, folder, "documents"))
+
+
 def op7_simhash_gray(spark: SparkSession, folder: str) -> DataFrame:
     prints = simhash_gray.materialised_fingerprints(table(spark, folder, "documents"))
     found = simhash_gray.gray_components(prints)
@@ -119,6 +128,6 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {NEAREST}
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    function.__name__: function for function in (op1_hilbert_shards, op2_ftrl_toxicity, op4_range_join, op7_simhash_gray, op8_bloom_cascade, op10_va_file)
+    function.__name__: function for function in (op1_hilbert_shards, op2_ftrl_toxicity, op3_pivotal_mix, op4_range_join, op5_length_buckets, op7_simhash_gray, op8_bloom_cascade, op10_va_file)
 }
 ORACLE_SQL: dict[str, str] = {"op4_range_join": OP4_SQL, "op8_bloom_cascade": OP8_SQL, "op10_va_file": OP10_SQL}
