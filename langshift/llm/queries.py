@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from langshift.llm import bloom_cascade, ftrl, hilbert, length_buckets, pivotal, range_join, simhash_gray, va_file
+from langshift.llm import bloom_cascade, ftrl, hilbert, length_buckets, notices, pivotal, range_join, simhash_gray, va_file
 
 SHARDS = 40
 NEAR_VECTORS = 0.93
@@ -70,6 +70,14 @@ def op5_length_buckets(spark: SparkSession, folder: str) -> DataFrame:
     return length_buckets.pack(table(spark, folder, "documents"))
 
 
+def op6_fuzzy_notices(spark: SparkSession, folder: str) -> DataFrame:
+    found = notices.scan(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
+        F.size("spans").alias("n_notices"),
+    )
+
+
 def op7_simhash_gray(spark: SparkSession, folder: str) -> DataFrame:
     prints = simhash_gray.materialised_fingerprints(table(spark, folder, "documents"))
     found = simhash_gray.gray_components(prints)
@@ -128,6 +136,10 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {NEAREST}
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    function.__name__: function for function in (op1_hilbert_shards, op2_ftrl_toxicity, op3_pivotal_mix, op4_range_join, op5_length_buckets, op7_simhash_gray, op8_bloom_cascade, op10_va_file)
+    function.__name__: function
+    for function in (
+        op1_hilbert_shards, op2_ftrl_toxicity, op3_pivotal_mix, op4_range_join, op5_length_buckets, op6_fuzzy_notices,
+        op7_simhash_gray, op8_bloom_cascade, op10_va_file,
+    )
 }
 ORACLE_SQL: dict[str, str] = {"op4_range_join": OP4_SQL, "op8_bloom_cascade": OP8_SQL, "op10_va_file": OP10_SQL}
