@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from langshift.llm import bloom_cascade, ftrl, hilbert, length_buckets, notices, pivotal, range_join, simhash_gray, va_file
+from langshift.llm import (
+    bloom_cascade,
+    content_tree,
+    ftrl,
+    hilbert,
+    length_buckets,
+    notices,
+    pivotal,
+    range_join,
+    simhash_gray,
+    va_file,
+)
+from langshift.llm.labelled_pages import labelled_pages
 
 SHARDS = 40
 NEAR_VECTORS = 0.93
@@ -113,6 +125,11 @@ SELECT page_id, host, path, rule, CASE
 FROM ruled
 """
 
+def op9_content_tree(spark: SparkSession, folder: str) -> DataFrame:
+    labelled = spark.createDataFrame([(page,) for page in labelled_pages()], "html string")
+    return content_tree.extract(table(spark, folder, "pages"), content_tree.train(labelled))
+
+
 def op10_va_file(spark: SparkSession, folder: str) -> DataFrame:
     return va_file.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, NEAREST)
 
@@ -139,7 +156,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     function.__name__: function
     for function in (
         op1_hilbert_shards, op2_ftrl_toxicity, op3_pivotal_mix, op4_range_join, op5_length_buckets, op6_fuzzy_notices,
-        op7_simhash_gray, op8_bloom_cascade, op10_va_file,
+        op7_simhash_gray, op8_bloom_cascade, op9_content_tree, op10_va_file,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op4_range_join": OP4_SQL, "op8_bloom_cascade": OP8_SQL, "op10_va_file": OP10_SQL}
