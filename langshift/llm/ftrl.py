@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from langshift.operators.storage import materialise
@@ -159,26 +160,49 @@ def train(
     return Model(at, weight[at].astype(np.float32), float(weight[-1]), bits)
 
 
-def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(key, carry..., score) for every row, from its whole text."""
-    shared = documents.sparkSession.sparkContext.broadcast((model.at, model.weight, model.bias, model.bits))
-    kept = documents.select(key, *carry)
-    schema = kept.schema.add("score", "double")
+def _scorer(shared: Broadcast) -> Callable[[list[bytes | None]], np.ndarray]:
+    at, values, bias, bits = shared.value
+    features, weight = Features(bits), np.zeros(1 << bits, np.float32)
+    weight[at] = values
+
+    def scores(texts: list[bytes | None]) -> np.ndarray:
+        sums = []
+        for text in texts:
+            found = features(text)
+            sums.append(weight[np.unique(found[weight[found] != 0])].sum(dtype=np.float64))
+        return 1 / (1 + np.exp(-np.clip(np.array(sums, np.float64) + bias, -35, 35)))
+
+    return scores
+
+
+def _shared(documents: DataFrame, model: Model) -> Broadcast:
+    return documents.sparkSession.sparkContext.broadcast((model.at, model.weight, model.bias, model.bits))
+
+
+def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, score) for every row, from its whole text."""
+    shared = _shared(documents, model)
+    schema = T.StructType([documents.schema[key], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, values, bias, bits = shared.value
-        features, weight = Features(bits), np.zeros(1 << bits, np.float32)
-        weight[at] = values
+        scores = _scorer(shared)
         for batch in batches:
-            sums = []
-            for text in batch.column("_text").cast(pa.binary()).to_pylist():
-                found = features(text)
-                sums.append(weight[np.unique(found[weight[found] != 0])].sum(dtype=np.float64))
-            odds = np.clip(np.array(sums, np.float64) + bias, -35, 35)
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(1 / (1 + np.exp(-odds)))], names=schema.names)
-
-    return documents.select(key, *carry, F.col(text).alias("_text")).mapInArrow(run, schema)
+            found = scores(batch.column(1).cast(pa.binary()).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=schema.names)
+
+    return documents.select(key, text).mapInArrow(run, schema)
+
+
+def below(documents: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows, unchanged, whose score is less than the threshold."""
+    shared, place = _shared(documents, model), documents.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _scorer(shared)
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column(place).cast(pa.binary()).to_pylist()) < threshold))
+
+    return documents.mapInArrow(run, documents.schema)
 
 
 def held_out(key: Column) -> Column:
