@@ -11,8 +11,8 @@ Copies of a vector cannot flood a query: a class keeps its k + 1 smallest ids, g
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor are they
 queries; vectors of different length do not meet; a null id takes no part; repeated ids are rows of their own, and a
-query row excludes one row with its id, itself; ties go to the smaller id; scores and components beyond the range of a
-long stop at its ends; an empty table gives an empty result; other columns are ignored.
+query row excludes one row with its id, itself; ties go to the smaller id; components and scores beyond the range of a
+long stop at its ends, though larger products still go first; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -162,9 +162,13 @@ def _exact(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     product = F.zip_with("ints", "_asks", lambda a, b: F.try_multiply(a, b))
     score = F.aggregate(product, F.lit(0).cast("long"), lambda s, x: F.try_add(s, x))
     wide = F.zip_with("ints", "_asks", lambda a, b: a.cast("double") * b)
-    end = F.signum(F.aggregate(wide, F.lit(0.0), lambda s, x: s + x))
-    stopped = F.when(end < 0, F.lit(-(2**63))).otherwise(F.lit(2**63 - 1))
-    return both.select("query", "class", F.coalesce(score, stopped).alias("score"))
+    rough = F.aggregate(wide, F.lit(0.0), lambda s, x: s + x)
+    digits = F.zip_with("ints", "_asks", lambda a, b: (a.cast("decimal(19,0)") * b.cast("decimal(19,0)")).cast("decimal(38,0)"))
+    whole = F.aggregate(digits, F.lit(0).cast("decimal(38,0)"), lambda s, x: F.try_add(s, x).cast("decimal(38,0)"))
+    least, most = F.lit(-(2**63)), F.lit(2**63 - 1)
+    beyond = F.when(rough < 0, least).otherwise(most)
+    slow = F.when(whole.between(least, most), whole.cast("long")).otherwise(beyond)  # where a product or sum overflows
+    return both.select("query", "class", F.coalesce(score, slow).alias("score"))
 
 
 def nearest_classes(classes: DataFrame, keep: int) -> DataFrame:

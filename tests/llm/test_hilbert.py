@@ -1,0 +1,48 @@
+import itertools
+import zlib
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from langshift.llm.hilbert import hilbert_shards, level, quantile_cuts, with_hilbert_index, write_shards
+
+
+def test_index_walks_the_whole_grid_in_unit_steps(spark):
+    for dims, bits in ((2, 3), (3, 2), (4, 1)):
+        cells = list(itertools.product(range(1 << bits), repeat=dims))
+        frame = spark.createDataFrame(cells, ", ".join(f"c{i} int" for i in range(dims)))
+        walked = with_hilbert_index(frame, [F.col(f"c{i}") for i in range(dims)], bits, "h").orderBy("h").collect()
+        assert [r["h"] for r in walked] == list(range(len(cells)))
+        for a, b in zip(walked, walked[1:]):
+            assert sum(abs(x - y) for x, y in zip(a[:-1], b[:-1])) == 1
+
+
+def test_levels_follow_the_cuts(spark):
+    frame = spark.range(1000).select(F.col("id").cast("double").alias("v"))
+    cuts = quantile_cuts(frame, 3)["v"]
+    assert len(cuts) == 7
+    got = {r["v"]: r["l"] for r in frame.withColumn("l", level(F.col("v"), cuts)).collect()}
+    assert all(got[v] == sum(c < v for c in cuts) for v in got)
+    assert max(Counter(got.values()).values()) - min(Counter(got.values()).values()) <= 2
+
+
+def test_shards_are_even_runs(odd_docs, odd_rows):
+    rows = hilbert_shards(odd_docs, 7).collect()
+    assert len(rows) == len(odd_rows)
+    counts = Counter(r["shard"] for r in rows)
+    assert set(counts) == set(range(7)) and max(counts.values()) - min(counts.values()) <= 1
+    assert sorted((r["shard"], r["slot"]) for r in rows) == [(s, k) for s in range(7) for k in range(counts[s])]
+    in_order = [r["curve"] for r in sorted(rows, key=lambda r: (r["shard"], r["slot"]))]
+    assert in_order == sorted(in_order)
+    crc = lambda t: None if t is None else zlib.crc32(t.encode())
+    expected = Counter((r[0], len((r[1] or "").encode()) + 16, crc(r[1])) for r in odd_rows)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == expected
+    again = hilbert_shards(odd_docs.repartition(5), 7).collect()
+    assert Counter(rows) == Counter(again)
+
+
+def test_empty_table_and_files(spark, no_docs, odd_docs, odd_rows, tmp_path):
+    assert hilbert_shards(no_docs, 4).count() == 0
+    placed = hilbert_shards(odd_docs.where("doc_id < 40"), 4)
+    write_shards(placed, f"{tmp_path}/shards")
+    assert spark.read.parquet(f"{tmp_path}/shards").count() == placed.count()

@@ -1,0 +1,71 @@
+from collections import Counter
+
+import corpus_pipeline
+from langshift.llm import ftrl, length_buckets
+from langshift.llm.simhash_gray import fingerprint
+
+
+def linked(texts):
+    """Groups of positions whose fingerprints link."""
+    prints = [fingerprint(t.encode() if t is not None else None) for t in texts]
+    group = list(range(len(prints)))
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3 and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    return group
+
+
+def test_near_duplicates_keep_one_of_each_group(spark, odd_docs, odd_rows):
+    kept = corpus_pipeline.drop_near_duplicates(spark, odd_docs, "")
+    assert kept.schema == odd_docs.schema
+    rows, group = kept.collect(), linked([r[1] for r in odd_rows])
+    assert len(rows) == len(set(group))
+    left = linked([r["text"] for r in rows])
+    assert len(set(left)) == len(rows)
+
+
+def test_near_duplicates_by_unique_ids_keep_the_smallest(spark, odd_docs, odd_rows):
+    once = [r for i, r in enumerate(odd_rows[:-5])]
+    group = linked([r[1] for r in once])
+    kept = corpus_pipeline.drop_near_duplicates(spark, odd_docs.sparkSession.createDataFrame(once, odd_docs.schema), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({g: once[g][0] for g in sorted(group)}.values())
+
+
+def test_mixing_repeats_rows(spark, odd_docs, odd_rows):
+    mixed = corpus_pipeline.mix_sources(spark, odd_docs, "")
+    assert mixed.schema == odd_docs.schema
+    counts = Counter(tuple(r) for r in mixed.collect())
+    given = Counter(odd_rows)
+    assert counts.keys() <= given.keys() and all(n <= 2 * given[r] for r, n in counts.items())
+
+
+def test_empty_documents_pass_all_stages(spark, no_docs, folder):
+    docs = no_docs
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder)
+    assert docs.count() == 0
+
+
+def test_run_equals_the_stages(spark, folder):
+    rows = corpus_pipeline.run(spark, folder).collect()
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where(~ftrl.held_out(corpus_pipeline.F.col("doc_id")))
+    scores = ftrl.score(docs, ftrl.train(docs, labels, "toxic")).collect()
+    clean = {r["doc_id"] for r in scores if r["score"] < ftrl.THRESHOLD}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] in clean}
+    ids = sorted(texts)
+    kept = {ids[g] for g in linked([texts[i] for i in ids])}
+    counts = Counter(r["doc_id"] for r in rows)
+    assert counts.keys() <= kept and max(counts.values()) <= 2
+    words = sum(len(corpus_pipeline_words(texts[i])) for i in kept)
+    taken = sum(n * len(corpus_pipeline_words(texts[i])) for i, n in counts.items())
+    assert abs(taken - 1.5 * words) < 0.05 * words
+    assert all(r["n_tokens"] == len(corpus_pipeline_words(texts[r["doc_id"]])) for r in rows)
+    assert all(r["slot"] < max(1, length_buckets.TOKEN_BUDGET // max(1, r["padded"])) for r in rows)
+    assert len({(r["batch"], r["slot"]) for r in rows}) == len(rows)
+
+
+def corpus_pipeline_words(text):
+    return text.encode().split()
