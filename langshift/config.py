@@ -14,6 +14,7 @@ class Variant:
     core_level: int | None = 2
     min_statuses: int | None = 200
     min_friends: int | None = 25
+    min_recorded: int | None = 0  # friends count that everybody needs; an unknown count fails, None is no test
     friend_cap: int | None = None
     restrict_to_loaded: bool = True
     vocab_scope: str = "all"  # "all": words of every slice, "first": words of slice 0
@@ -68,6 +69,7 @@ PRESETS: dict[str, Variant] = {
         core_level=1,
         min_statuses=None,
         min_friends=None,
+        min_recorded=None,
         friend_cap=100,
         normalise="variance",
         baseline="random",
@@ -80,6 +82,7 @@ PRESETS: dict[str, Variant] = {
         core_level=None,
         min_statuses=None,
         min_friends=None,
+        min_recorded=None,
         restrict_to_loaded=False,
         normalise="variance",
         baseline="random",

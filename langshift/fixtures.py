@@ -18,6 +18,9 @@ from langshift.sources.tables import read_table
 
 COPIED_IDS = 10
 COPY_COUNTER = 1_000_000
+UNCOUNTED = 17  # one account in so many has no recorded friends count
+LONELY = 13  # one scored customer in so many has a single friend
+LATE_TOPIC, EARLY_TOPIC = "Brand#25", "Brand#11"  # never in slice 0, only in slice 0
 
 # The published thresholds are made for a crawl; these suit about ten orders and forty lines per customer.
 _POPULATION = {"min_statuses": 5, "min_degree": 20}
@@ -78,7 +81,7 @@ class Fixture:
                 "username",
                 "level",
                 F.coalesce("statuses_count", F.lit(0)).alias("statuses_count"),
-                F.coalesce("recorded_friends_count", F.lit(0)).alias("recorded_friends_count"),
+                F.when(F.col("id") % UNCOUNTED != 0, F.coalesce("recorded_friends_count", F.lit(0))).alias("recorded_friends_count"),
                 F.lit(None).cast("long").alias("followers_count"),
                 F.coalesce("recorded_friends_count", F.lit(0)).alias("friends_count"),
                 F.lit(None).cast("long").alias("favourites_count"),
@@ -124,6 +127,8 @@ class Fixture:
             counted.withColumns(totals)
             .select("group_id", "feat", F.explode(F.array(*cells)).alias("cell"))
             .where("cell.value > 0")
+            .where(~((F.col("feat") == LATE_TOPIC) & (F.col("cell.slice") == 0)))
+            .where(~((F.col("feat") == EARLY_TOPIC) & (F.col("cell.slice") > 0)))
             .select(
                 "cell.slice",
                 ((F.col("group_id") * 3 + F.col("cell.slice")) * 1000 + brand).alias("id"),
@@ -159,7 +164,7 @@ class Fixture:
             .join(followed, "user_id", "left")
             .select(
                 "user_id",
-                F.coalesce("num_of_friends", F.lit(0)).alias("num_of_friends"),
+                F.when(F.col("user_id") % LONELY == 0, F.lit(1)).otherwise(F.coalesce("num_of_friends", F.lit(0))).alias("num_of_friends"),
                 "wo_retweets",
                 "first_part",
                 (F.col("second_part") - F.col("first_part")).alias("diff_score"),

@@ -26,13 +26,13 @@ def snapped(value: Column, eps: float = 1e-12) -> Column:
     return F.when(F.abs(value) < eps, F.lit(0.0)).otherwise(value)
 
 
-def hash32(*parts: Column) -> Column:
-    """First 32 bits of the md5 of the parts joined by ':', as a non-negative LONG.
+def hash60(*parts: Column) -> Column:
+    """First 60 bits of the md5 of the parts joined by ':', as a non-negative LONG.
 
     md5 rather than a Spark-specific hash, so that another SQL engine can redraw the same sample.
     """
     digest = F.md5(F.concat_ws(":", *parts))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
 def float_text(value: Column) -> Column:

@@ -35,19 +35,19 @@ def _score(slice_number: int) -> Column:
 def core_cells(features: DataFrame, users: DataFrame) -> DataFrame:
     """(group_id, feat, s0, s1) of core users; NULL where a slice has no row.
 
-    Copies are resolved before the users are looked up, so that a user with very many rows is spread over
-    topics.  While the users fit a broadcast the planner looks them up first, below the aggregation.
+    The users are looked up first, so that rows of others are neither aggregated nor, when the users fit a
+    broadcast, shuffled.
     """
-    rows = features.where(F.col("slice") < REFERENCE_SLICE)
-    cells = rows.groupBy("group_id", "feat").agg(_score(0).alias("s0"), _score(1).alias("s1"))
-    return cells.join(core_of(users).select(F.col("id").alias("group_id")), "group_id", "left_semi")
+    core = core_of(users).select(F.col("id").alias("group_id"))
+    rows = features.where(F.col("slice") < REFERENCE_SLICE).join(core, "group_id", "left_semi")
+    return rows.groupBy("group_id", "feat").agg(_score(0).alias("s0"), _score(1).alias("s1"))
 
 
 def reference_cells(features: DataFrame, loaded: DataFrame) -> DataFrame:
     """(group_id, feat, s2) of loaded users."""
-    rows = features.where(F.col("slice") == REFERENCE_SLICE)
-    cells = rows.groupBy("group_id", "feat").agg(_score(2).alias("s2"))
-    return cells.join(loaded.select(F.col("id").alias("group_id")), "group_id", "left_semi")
+    known = loaded.select(F.col("id").alias("group_id"))
+    rows = features.where(F.col("slice") == REFERENCE_SLICE).join(known, "group_id", "left_semi")
+    return rows.groupBy("group_id", "feat").agg(_score(2).alias("s2"))
 
 
 def vocabulary(features: DataFrame, scope: str = "all") -> DataFrame:
@@ -80,7 +80,7 @@ def _sums(cells: DataFrame, slices: tuple[int, ...]) -> DataFrame:
         aggregates += [
             F.count(score).alias(f"rows{number}"),
             F.sum(score).alias(f"sum{number}"),
-            F.sum(score * score).alias(f"squares{number}"),
+            F.var_pop(score).alias(f"spread{number}"),
             F.min(score).alias(f"min{number}"),
             F.max(score).alias(f"max{number}"),
         ]
@@ -90,20 +90,24 @@ def _sums(cells: DataFrame, slices: tuple[int, ...]) -> DataFrame:
 def topic_statistics(core: DataFrame, reference: DataFrame, people: Column) -> DataFrame:
     """One row per topic: mean, population variance, min and max of each slice over all N users.
 
-    A topic without rows in a slice is 0 for everybody there.
+    A topic without rows in a slice is 0 for everybody there.  The variance is that of the k rows, taken
+    about their own mean, merged with that of N - k zeros, so no large numbers are subtracted.
     """
     wide = _sums(core, (0, 1)).join(_sums(reference, (2,)), "feat", "full_outer").withColumn("n", people)
     columns = [F.col("feat"), F.col("n")]
     for number in SLICES:
         rows = F.coalesce(f"rows{number}", F.lit(0))
-        mean = F.coalesce(F.col(f"sum{number}"), F.lit(0.0)) / F.col("n")
-        spread = F.coalesce(F.col(f"squares{number}"), F.lit(0.0)) / F.col("n") - mean * mean
+        total = F.coalesce(F.col(f"sum{number}"), F.lit(0.0))
+        mean = total / F.col("n")
+        own = rows / F.col("n") * F.coalesce(F.col(f"spread{number}"), F.lit(0.0))
+        apart = F.when(rows > 0, mean * (total / F.greatest(rows, F.lit(1))) * (F.col("n") - rows) / F.col("n"))
+        spread = own + F.coalesce(apart, F.lit(0.0))
         has_zero = rows < F.col("n")
         low, high = F.col(f"min{number}"), F.col(f"max{number}")
         columns += [
             rows.alias(f"rows{number}"),
             mean.alias(f"mean{number}"),
-            F.greatest(spread, F.lit(0.0)).alias(f"var{number}"),
+            spread.alias(f"var{number}"),
             F.when(has_zero, F.least(low, F.lit(0.0))).otherwise(low).alias(f"min{number}"),
             F.when(has_zero, F.greatest(high, F.lit(0.0))).otherwise(high).alias(f"max{number}"),
         ]
@@ -131,14 +135,21 @@ def varying_topics(statistics: DataFrame) -> DataFrame:
     return kept
 
 
+def _divisor(spread: Column) -> Column:
+    return F.when(spread > 0, spread).otherwise(F.lit(1.0))
+
+
 def scale_of(method: str | None) -> tuple[Column, Column]:
-    """(shift, divisor) of a normalisation; both come from the reference slice."""
+    """(shift, divisor) of a normalisation; both come from the reference slice.
+
+    A spread too small for a double divides by 1.
+    """
     if method is None:
         return F.lit(0.0), F.lit(1.0)
     if method == "minmax":
-        return F.col("min2"), F.col("max2") - F.col("min2")
+        return F.col("min2"), _divisor(F.col("max2") - F.col("min2"))
     if method == "variance":
-        return F.col("mean2"), F.col("var2")
+        return F.col("mean2"), _divisor(F.col("var2"))
     raise ValueError(f"unknown normalisation: {method}")
 
 

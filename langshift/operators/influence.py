@@ -23,17 +23,22 @@ from langshift.functions.columns import snapped
 from langshift.operators.skew import fan_out_join
 
 RANK_EPS = 1e-10
-NOISE = 1e-12
+NOISE = 1e-28  # square of a double's relative rounding, with room
 
 
-def neighbour_sums(links: DataFrame, cells: DataFrame, shares: list[str], hot: DataFrame | None = None) -> DataFrame:
+Hot = tuple[DataFrame | None, DataFrame | None]
+
+
+def neighbour_sums(links: DataFrame, cells: DataFrame, shares: list[str], hot: Hot = (None, None)) -> DataFrame:
     """Each link joined with the reference scores of the user it leads to, one row per link and topic.
 
     `links` are (source_id, dest_id, *shares); a share is the part this link has in an average of the
     source user.  Friends and drawn people are links with different shares, so one join serves both.
     """
     scores = cells.select(F.col("group_id").alias("dest_id"), "topic", "s2")
-    joined = fan_out_join(links, scores, "dest_id", left_hot=hot, left_spread=("source_id",))
+    joined = fan_out_join(
+        links, scores, "dest_id", left_hot=hot[0], right_hot=hot[1], left_spread=("source_id",), right_spread=("topic",)
+    )
     parts = [(F.col("s2") * F.col(share)).alias(share) for share in shares]
     return joined.select(F.col("source_id").alias("id"), "topic", *parts)
 
@@ -72,16 +77,25 @@ def support_rows(own: DataFrame, neighbours: DataFrame, baseline: str, unaverage
 
 
 def moments(support: DataFrame, topics: DataFrame, users: DataFrame) -> DataFrame:
-    """Sums and second moments of tt, tf and tr per topic over all kept users, zero cells included."""
-    z, x, y = F.col("tt"), F.col("x"), F.col("y")
-    f, b = F.col("friend_flag"), F.col("base_flag")
-    terms = {
-        "z": z, "x": x, "y": y,
-        "zz": z * z, "xx": x * x, "yy": y * y, "zx": z * x, "zy": z * y, "xy": x * y,
-        "fz": f * z, "fx": f * x, "fy": f * y, "bz": b * z, "bx": b * x, "by": b * y,
-    }
-    sums = support.groupBy("topic").agg(
-        F.count(F.lit(1)).alias("support"), *(F.sum(term).alias(name) for name, term in terms.items())
+    """Sums, raw and centred second moments of tt, tf and tr per topic over all kept users, zero cells included.
+
+    The support rows carry `base_avg`, so that tf and tr are formed before they are squared.  The other
+    users of a topic have tt = 0 and the same tf and tr wherever they have the same flags; they are added
+    as terms of their own, never by subtracting from a total.
+    """
+    a, f, b = F.col("base_avg"), F.col("friend_flag"), F.col("base_flag")
+    rows = support.select("topic", "friend_flag", "base_flag", "tt", (F.col("x") + f * a).alias("tf"), (F.col("y") + b * a).alias("tr"))
+    values = ("tt", "tf", "tr")
+    pairs = (("tf", "tf"), ("tr", "tr"), ("tf", "tr"), ("tt", "tf"), ("tt", "tr"))
+    sums = rows.groupBy("topic").agg(
+        F.count(F.lit(1)).alias("support"),
+        *(F.sum(name).alias(f"sum_{name}") for name in values),
+        F.sum(F.col("tt") * F.col("tt")).alias("raw_tt_tt"),
+        *(F.sum(F.col(p) * F.col(q)).alias(f"raw_{p}_{q}") for p, q in pairs),
+        *(F.covar_pop(p, q).alias(f"own_{p}_{q}") for p, q in pairs),
+        F.sum(f).alias("sf"),
+        F.sum(b).alias("sb"),
+        F.sum(f * b).alias("sfb"),
     )
     totals = users.agg(
         F.count(F.lit(1)).alias("users"),
@@ -90,11 +104,27 @@ def moments(support: DataFrame, topics: DataFrame, users: DataFrame) -> DataFram
         F.coalesce(F.sum(F.col("friend_flag") * F.col("base_flag")), F.lit(0)).alias("nfb"),
     )
     packed = totals.select(F.struct("users", "nf", "nb", "nfb").alias("totals")).scalar()
-    s = {name: F.coalesce(F.col(name), F.lit(0.0)) for name in terms}
-    a = F.col("base_avg")
-    nf, nb, nfb = F.col("totals.nf"), F.col("totals.nb"), F.col("totals.nfb")
+    zeros = {name: 0 for name in ("support", "sf", "sb", "sfb")}
+    zeros |= {name: 0.0 for name in sums.columns if name.startswith(("sum_", "raw_", "own_"))}
+    n, k = F.col("totals.users"), F.col("support")
+    rest_f, rest_b = F.col("totals.nf") - F.col("sf"), F.col("totals.nb") - F.col("sb")
+    rest_fb, rest = F.col("totals.nfb") - F.col("sfb"), n - k
+
+    def mean_of_support(name: str) -> Column:
+        return F.when(k > 0, F.col(f"sum_{name}") / F.greatest(k, F.lit(1))).otherwise(F.lit(0.0))
+
+    def mean_of_rest(name: str) -> Column:
+        carried = {"tt": F.lit(0.0), "tf": rest_f * a, "tr": rest_b * a}[name]
+        return F.when(rest > 0, carried / F.greatest(rest, F.lit(1))).otherwise(F.lit(0.0))
+
+    def centred(p: str, q: str) -> Column:
+        """Both groups about their own means, and the distance of these; the rest is one constant."""
+        apart = (mean_of_support(p) - mean_of_rest(p)) * (mean_of_support(q) - mean_of_rest(q))
+        return k * F.col(f"own_{p}_{q}") + k * rest / n * apart
+
     return (
         topics.join(sums, "topic", "left")
+        .fillna(zeros)
         .withColumn("totals", packed)
         .where("totals.users > 0")
         .select(
@@ -102,17 +132,22 @@ def moments(support: DataFrame, topics: DataFrame, users: DataFrame) -> DataFram
             "topic",
             "divisor",
             "base_avg",
-            F.col("totals.users").alias("n"),
-            F.coalesce("support", F.lit(0)).alias("support"),
-            s["z"].alias("t"),
-            (s["x"] + a * nf).alias("f"),
-            (s["y"] + a * nb).alias("r"),
-            s["zz"].alias("tt"),
-            (s["xx"] + 2 * a * s["fx"] + a * a * nf).alias("ff"),
-            (s["yy"] + 2 * a * s["by"] + a * a * nb).alias("rr"),
-            (s["zx"] + a * s["fz"]).alias("tf"),
-            (s["zy"] + a * s["bz"]).alias("tr"),
-            (s["xy"] + a * s["bx"] + a * s["fy"] + a * a * nfb).alias("fr"),
+            n.alias("n"),
+            "support",
+            F.col("sum_tt").alias("t"),
+            (F.col("sum_tf") + a * rest_f).alias("f"),
+            (F.col("sum_tr") + a * rest_b).alias("r"),
+            F.col("raw_tt_tt").alias("tt"),
+            (F.col("raw_tf_tf") + a * a * rest_f).alias("ff"),
+            (F.col("raw_tr_tr") + a * a * rest_b).alias("rr"),
+            (F.col("raw_tf_tr") + a * a * rest_fb).alias("fr"),
+            F.col("raw_tt_tf").alias("tf"),
+            F.col("raw_tt_tr").alias("tr"),
+            centred("tf", "tf").alias("sff"),
+            centred("tr", "tr").alias("srr"),
+            centred("tf", "tr").alias("sfr"),
+            centred("tt", "tf").alias("stf"),
+            centred("tt", "tr").alias("str"),
         )
     )
 
@@ -128,25 +163,14 @@ def cosines(sums: DataFrame) -> DataFrame:
     return both.withColumn("cos_diff", snapped(F.col("cos_friends") - F.col("cos_base")))
 
 
-def _centred(product: str, left: str, right: str) -> Column:
-    """Sum of products about the means; pure rounding noise becomes 0."""
-    value = F.col(product) - F.col(left) * F.col(right) / F.col("n")
-    return F.when(F.abs(value) <= NOISE * F.abs(F.col(product)), F.lit(0.0)).otherwise(value)
-
-
 def least_squares(sums: DataFrame) -> DataFrame:
     """Fit tt ~ b_friends * tf + b_base * tr + c per topic, in raw scores.
 
-    The 2 x 2 normal equations are solved directly; collinear regressors get the shortest solution.
+    The 2 x 2 normal equations are solved directly; collinear regressors get the shortest solution.  A regressor
+    whose spread is no more than the rounding of its own values counts as constant.
     """
-    centred = sums.select(
-        "*",
-        _centred("ff", "f", "f").alias("sff"),
-        _centred("rr", "r", "r").alias("srr"),
-        _centred("fr", "f", "r").alias("sfr"),
-        _centred("tf", "t", "f").alias("stf"),
-        _centred("tr", "t", "r").alias("str"),
-    ).select(
+    spreads = {name: F.when(F.col(name) > NOISE * F.col(raw), F.col(name)).otherwise(F.lit(0.0)) for name, raw in (("sff", "ff"), ("srr", "rr"))}
+    centred = sums.withColumns(spreads).select(
         "*",
         (F.col("sff") * F.col("srr") - F.col("sfr") * F.col("sfr")).alias("det"),
         (F.col("sff") + F.col("srr")).alias("trace"),

@@ -31,13 +31,16 @@ def weighted(network: DataFrame) -> DataFrame:
 
 
 def cap_friends(edges: DataFrame, cap: int, seed: int = 42) -> DataFrame:
-    """At most `cap` edges per source, drawn uniformly without replacement by a seeded hash order.
+    """At most `cap` edges per source out of weighted edges, drawn uniformly without replacement; weighted.
 
-    The rank limit is applied before the shuffle as well, so at most `cap` rows per source and task move.
+    Every copy of an edge has a number of its own in the seeded hash order, so an edge that occurs twice is
+    twice as likely to be drawn.  The rank limit is applied before the shuffle as well, so at most `cap`
+    rows per source and task move.
     """
-    order = F.md5(F.concat_ws(":", "source_id", "dest_id", F.lit(seed)))
-    drawn = F.row_number().over(Window.partitionBy("source_id").orderBy(order))
-    return edges.withColumn("_drawn", drawn).where(F.col("_drawn") <= cap).drop("_drawn")
+    copies = edges.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("weight")))).drop("weight")
+    order = F.md5(F.concat_ws(":", "source_id", "dest_id", "_copy", F.lit(seed)))
+    drawn = F.row_number().over(Window.partitionBy("source_id").orderBy(order, "dest_id", "_copy"))
+    return weighted(copies.withColumn("_drawn", drawn).where(F.col("_drawn") <= cap))
 
 
 def degrees(users: DataFrame, edges: DataFrame) -> DataFrame:

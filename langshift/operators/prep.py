@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from langshift.operators.ranking import group_rank, running_total
-from langshift.operators.skew import MIN_HOT_ROWS, fan_out_join, hot_keys
+from langshift.operators.skew import MIN_HOT_ROWS, fan_out_join, heavy_pairs
 
 # Crawl counters of the seed accounts, and the columns a core account keeps.
 SEED_COUNTER = 74
@@ -169,12 +169,13 @@ def friend_messages(edges: DataFrame, messages: DataFrame, min_hot_rows: int = M
     """
     followers = edges.select("dest_id", F.col("source_id").alias("parent_id"))
     written = messages.withColumn("dest_id", F.col("user_id"))
+    followers_hot, written_hot = heavy_pairs(followers, written, "dest_id", min_hot_rows)
     joined = fan_out_join(
         followers,
         written,
         "dest_id",
-        left_hot=hot_keys(followers, "dest_id", min_hot_rows),
-        right_hot=hot_keys(written, "dest_id", min_hot_rows),
+        left_hot=followers_hot,
+        right_hot=written_hot,
         left_spread=("parent_id",),
         right_spread=("message_id",),
     )

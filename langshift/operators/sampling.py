@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from langshift.functions.columns import hash32
+from langshift.functions.columns import hash60
 from langshift.operators.ranking import dense_index
 
 DRAWS_PER_ROW = 10_000
@@ -40,7 +40,7 @@ def draw_people(drawers: DataFrame, users: DataFrame, seed: int = 42) -> DataFra
     )
     start = F.expr("j * people div draws")
     size = F.expr("(j + 1) * people div draws") - start
-    picked = start + F.pmod(hash32(F.col("source_id"), F.col("j"), F.lit(seed)), size)
+    picked = start + F.pmod(hash60(F.col("source_id"), F.col("j"), F.lit(seed)), size)
     return (
         drawn.select("source_id", picked.alias("position"), F.col("draws").alias("drawn"))
         .join(hashed_positions(users, seed), "position")

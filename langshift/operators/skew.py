@@ -34,6 +34,37 @@ def hot_keys(frame: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS) -> DataFr
     return frame.sparkSession.createDataFrame(hot.collect(), schema)
 
 
+def heavy_pairs(
+    left: DataFrame, right: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """(key, pieces) for each side of a join on `key`, by the rows that a key makes: left times right.
+
+    A key that makes more than 1/MAX_HOT of all rows (and over `min_rows`) is cut into pieces of about that
+    size, on its longer side first.  There can be at most MAX_HOT such keys.  (None, None) without any.
+    """
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_left"))
+    pairs = counts.join(right.groupBy(key).agg(F.count(F.lit(1)).alias("_right")), key)
+    pairs = pairs.withColumn("_made", F.col("_left").cast("double") * F.col("_right"))
+    total, largest = pairs.agg(F.sum("_made"), F.max("_made")).first()
+    share = max(min_rows, math.ceil((total or 0) / MAX_HOT))
+    if (largest or 0) <= share:
+        return None, None
+    cuts = F.ceil(F.col("_made") / share)
+    longer = F.least(cuts, F.greatest("_left", "_right"))
+    shorter = F.ceil(cuts / longer)
+    by_left = F.col("_left") >= F.col("_right")
+    heavy = pairs.where(F.col("_made") > share).select(
+        key,
+        F.when(by_left, longer).otherwise(shorter).cast("int").alias("_left"),
+        F.when(by_left, shorter).otherwise(longer).cast("int").alias("_right"),
+    )
+    found = heavy.collect()
+    schema = T.StructType([left.schema[key], T.StructField("pieces", T.IntegerType(), True)])
+    sides = ([(row[key], row[side]) for row in found if row[side] > 1] for side in ("_left", "_right"))
+    left_hot, right_hot = (left.sparkSession.createDataFrame(rows, schema) if rows else None for rows in sides)
+    return left_hot, right_hot
+
+
 def fan_out_join(
     left: DataFrame,
     right: DataFrame,

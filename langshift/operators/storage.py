@@ -26,9 +26,14 @@ def stage_folder(spark: SparkSession) -> str:
     return folder
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new path in the stage folder."""
+    return f"{stage_folder(spark)}/langshift-{name}-{uuid.uuid4().hex}"
+
+
 def materialise(frame: DataFrame, name: str = "stage") -> DataFrame:
     """Write the frame as a stage table and continue from the written rows."""
     spark = frame.sparkSession
-    path = f"{stage_folder(spark)}/langshift-{name}-{uuid.uuid4().hex}"
+    path = stage_path(spark, name)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)

@@ -26,8 +26,11 @@ def select_users(
 
 
 def study_users(accounts: DataFrame, variant: Variant) -> DataFrame:
-    """(id, is_core): everybody in the study, both sets from one pass over the accounts."""
-    everybody = _account_filter(variant.all_level, variant.min_statuses, None)
+    """(id, is_core): everybody in the study, both sets from one pass over the accounts.
+
+    A test on a NULL fails, so with `min_recorded` an account whose friends were never counted is out.
+    """
+    everybody = _account_filter(variant.all_level, variant.min_statuses, variant.min_recorded)
     core = _account_filter(variant.core_level, variant.min_statuses, variant.min_friends)
     return (
         accounts.where(everybody | core)

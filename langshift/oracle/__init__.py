@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from langshift.config import Variant
-from langshift.fixtures import COPIED_IDS, COPY_COUNTER, VARIANTS
+from langshift.fixtures import COPIED_IDS, COPY_COUNTER, EARLY_TOPIC, LATE_TOPIC, LONELY, UNCOUNTED, VARIANTS
 from langshift.operators.prep import RING_COUNTERS, SEED_COUNTER
 from langshift.queries import FIRST_USER, THRESHOLD
 
@@ -25,7 +25,8 @@ INPUTS = {
         WHERE o_custkey <> l_partkey""",
     "accounts": f"""
         SELECT c_custkey AS id, c_name AS username, c_custkey % 4 AS level, c_custkey + copy.shift AS counter,
-               coalesce(s.n, 0) AS statuses_count, coalesce(f.n, 0) AS recorded_friends_count,
+               coalesce(s.n, 0) AS statuses_count,
+               CASE WHEN c_custkey % {UNCOUNTED} <> 0 THEN coalesce(f.n, 0) END AS recorded_friends_count,
                coalesce(f.n, 0) AS friends_count
         FROM customer
         JOIN (VALUES (0), ({COPY_COUNTER})) copy(shift) ON copy.shift = 0 OR c_custkey <= {COPIED_IDS}
@@ -40,8 +41,8 @@ INPUTS = {
                CASE WHEN 2 * (rn - 1) <= n - 1 THEN 1 ELSE 2 END AS half,
                CASE WHEN 3 * (rn - 1) <= n - 1 THEN 1 WHEN 3 * (rn - 1) <= 2 * (n - 1) THEN 2 ELSE 3 END AS third
         FROM ranked""",
-    "trust_scores": """
-        SELECT c_custkey AS user_id, coalesce(f.n, 0) AS num_of_friends, m.wo_retweets, m.first_part,
+    "trust_scores": f"""
+        SELECT c_custkey AS user_id, CASE WHEN c_custkey % {LONELY} = 0 THEN 1 ELSE coalesce(f.n, 0) END AS num_of_friends, m.wo_retweets, m.first_part,
                m.second_part - m.first_part AS diff_score
         FROM customer
         LEFT JOIN (SELECT source_id, count(*) AS n FROM network GROUP BY source_id) f ON f.source_id = c_custkey
@@ -62,7 +63,8 @@ def _features(tercile: int) -> dict[str, str]:
               FROM (SELECT message_id, user_id, half - 1 AS slice FROM parts
                     UNION ALL SELECT message_id, user_id, 2 FROM parts WHERE {in_reference}) p
               JOIN lineitem ON l_orderkey = message_id JOIN part ON p_partkey = l_partkey
-              GROUP BY slice, user_id, p_brand)""",
+              GROUP BY slice, user_id, p_brand)
+        QUALIFY NOT (feat = '{LATE_TOPIC}' AND slice = 0) AND NOT (feat = '{EARLY_TOPIC}' AND slice > 0)""",
     }
 
 
@@ -74,18 +76,21 @@ def _study(name: str, variant: Variant, tercile: int = 0) -> dict[str, str]:
         loaded = "SELECT id FROM users"
     else:
         active = f"statuses_count >= {v.min_statuses or 0}"
-        popular = f"recorded_friends_count >= {v.min_friends or 0}"
+        popular = f"recorded_friends_count >= {v.min_friends}" if v.min_friends is not None else "true"
+        counted = f"recorded_friends_count >= {v.min_recorded}" if v.min_recorded is not None else "true"
         users = f"""
         SELECT id, bool_or(level <= {v.core_level} AND {popular}) AS is_core FROM accounts
-        WHERE level <= {v.all_level} AND {active} GROUP BY id"""
+        WHERE level <= {v.all_level} AND {active} AND {counted} GROUP BY id"""
         loaded = "SELECT id FROM users WHERE is_core UNION SELECT dest_id FROM edges"
     if v.friend_cap is None:
         followed = "SELECT * FROM network WHERE dest_id IN (SELECT id FROM users)"
     else:
         followed = f"""
-        SELECT source_id, dest_id FROM network WHERE dest_id IN (SELECT id FROM users)
+        SELECT source_id, dest_id
+        FROM (SELECT *, row_number() OVER (PARTITION BY source_id, dest_id) AS copy FROM network
+              WHERE dest_id IN (SELECT id FROM users))
         QUALIFY row_number() OVER (PARTITION BY source_id
-                                   ORDER BY md5(concat_ws(':', source_id, dest_id, {v.seed}))) <= {v.friend_cap}"""
+                                   ORDER BY md5(concat_ws(':', source_id, dest_id, copy, {v.seed})), dest_id, copy) <= {v.friend_cap}"""
     divisor = {None: "1.0", "minmax": "max2 - min2", "variance": "var2"}[v.normalise]
     shift = {None: "0.0", "minmax": "min2", "variance": "mean2"}[v.normalise]
     base = "mean2" if v.baseline == "population" else "coalesce(bs.total / d.drawn, 0)"
@@ -115,7 +120,7 @@ def _study(name: str, variant: Variant, tercile: int = 0) -> dict[str, str]:
         SELECT id, row_number() OVER (ORDER BY md5(concat_ws(':', id, {v.seed})), id) - 1 AS position FROM users""",
         "draws": f"""
         SELECT source_id, id AS dest_id, drawn
-        FROM (SELECT source_id, drawn, low + ('0x' || substr(md5(concat_ws(':', source_id, j, {v.seed})), 1, 8))::BIGINT
+        FROM (SELECT source_id, drawn, low + ('0x' || substr(md5(concat_ws(':', source_id, j, {v.seed})), 1, 15))::BIGINT
                                              % (high - low) AS position
               FROM (SELECT source_id, drawn, j, j * n // drawn AS low, (j + 1) * n // drawn AS high
                     FROM (SELECT id AS source_id, least(degree, n) AS drawn, n, unnest(range(least(degree, n))) AS j
@@ -297,6 +302,8 @@ STUDY_QUERIES: dict[str, tuple[str, int, str]] = {
     "topic_influence_random": (_RANDOM, 0, _COSINE_QUERY),
     "topic_influence_trust": (_TRUST, 0, _COSINE_QUERY),
     "topic_ols": (_OLS, 0, f"SELECT feat, {_r(*_FIT)}, n FROM fits"),
+    "vocab_lines": (_OLS, 0, "SELECT feat AS line FROM vocabulary"),
+    "influence_of_nobody": (_MAIN, 0, "SELECT 0::BIGINT AS topics, count(*) AS kept FROM degrees WHERE degree >= 1000000000"),
     "friend_coefficient": (_OLS, 0, f"SELECT feat, {_r('b_friends')} FROM fits WHERE abs(b_friends) > 0"),
     "influence_summary": (
         _MAIN, 0,
@@ -344,6 +351,8 @@ PREPARATION_QUERIES: dict[str, str] = {
     "core_members": "SELECT dest_id FROM members",
     "core_messages": "SELECT message_id, user_id, created_at, is_rt FROM core_messages",
     "message_positions": "SELECT * FROM positions",
+    "positions_appended": "SELECT * FROM positions",
+    "accounts_reshaped": "SELECT id, level::BIGINT AS level, counter, counter <> id AS is_copy FROM accounts",
     "position_bounds": "SELECT user_id, min_, max_ FROM bounds",
     "first_positions": "SELECT * FROM positions WHERE position <= 10",
     "user_first_messages": f"""

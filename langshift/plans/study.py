@@ -19,7 +19,7 @@ from langshift.operators import network as network_ops
 from langshift.operators import trust as trust_ops
 from langshift.operators import users as user_ops
 from langshift.operators.sampling import draw_people
-from langshift.operators.skew import BROADCAST_ROWS, MIN_HOT_ROWS, attach_small, hot_keys
+from langshift.operators.skew import BROADCAST_ROWS, MIN_HOT_ROWS, attach_small, heavy_pairs
 from langshift.operators.storage import materialise
 
 
@@ -69,14 +69,14 @@ class Study:
     def edges(self) -> DataFrame:
         """(source_id, dest_id, weight) from core users to anybody in the study.
 
-        Copies of an edge are combined first of all; a cap, however, draws from the copies.
+        The core comes first: it is the strongest filter, and the copies of its edges are then combined
+        where the filter's shuffle has left them.  A cap draws from the copies.
         """
-        if self.variant.friend_cap is None:
-            known = network_ops.to_known(network_ops.weighted(self.network), self.users)
-        else:
-            known = network_ops.to_known(self.network, self.users)
-            known = network_ops.weighted(network_ops.cap_friends(known, self.variant.friend_cap, self.variant.seed))
-        return materialise(network_ops.from_core(known, self.users), "edges")
+        combined = network_ops.weighted(network_ops.from_core(self.network, self.users))
+        known = network_ops.to_known(combined, self.users)
+        if self.variant.friend_cap is not None:
+            known = network_ops.cap_friends(known, self.variant.friend_cap, self.variant.seed)
+        return materialise(known, "edges")
 
     @cached_property
     def degrees(self) -> DataFrame:
@@ -175,7 +175,7 @@ class Study:
     @cached_property
     def averaged(self) -> DataFrame:
         """Trust only: users whose friend average is known."""
-        return trust_ops.averaged_users(self.scores, self.edges)
+        return materialise(trust_ops.averaged_users(self.scores, self.edges), "averaged")
 
     @cached_property
     def draws(self) -> DataFrame:
@@ -208,9 +208,10 @@ class Study:
         return friends.unionByName(drawn)
 
     @cached_property
-    def _hot_friends(self) -> DataFrame | None:
-        """Users with very many core followers."""
-        return hot_keys(self.edges, "dest_id", self.min_hot_rows)
+    def _hot_friends(self) -> influence_ops.Hot:
+        """Users whose followers times topics make very many rows."""
+        scores = self.reference_cells.select(F.col("group_id").alias("dest_id"))
+        return heavy_pairs(self.edges.select("dest_id"), scores, "dest_id", self.min_hot_rows)
 
     def _neighbours(self, links: DataFrame, shares: list[str]) -> DataFrame:
         return influence_ops.neighbour_sums(links, self._numbered(self.reference_cells), shares, self._hot_friends)
@@ -248,7 +249,10 @@ class Study:
 
     @cached_property
     def moments(self) -> DataFrame:
-        return influence_ops.moments(self.support, self.topics, self._flags)
+        return influence_ops.moments(self._with_baseline(self.support), self.topics, self._flags)
+
+    def _with_baseline(self, support: DataFrame) -> DataFrame:
+        return self.attach_topics(support, self.topics.select("topic", "base_avg"), "topic", "id")
 
     @cached_property
     def deltas(self) -> DataFrame:
@@ -278,7 +282,7 @@ class Study:
         if self.scores is not None:
             raise ValueError("the least-squares estimator is defined for account studies only")
         support = materialise(self.support, "support")
-        sums = materialise(influence_ops.moments(support, self.topics, self._flags), "moments")
+        sums = materialise(influence_ops.moments(self._with_baseline(support), self.topics, self._flags), "moments")
         solved = materialise(influence_ops.least_squares(sums), "fits")
         flag = 1 if self.variant.baseline == "population" else 0
         return influence_ops.fit_errors(support, solved, flag, lambda rows, table: self.attach_topics(rows, table, "topic", "id"))

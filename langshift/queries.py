@@ -15,6 +15,7 @@ from langshift.operators import network as network_ops
 from langshift.operators import prep
 from langshift.operators import trust as trust_ops
 from langshift.operators import users as user_ops
+from langshift.operators.storage import materialise, stage_path
 from langshift.plans.study import Study
 from langshift.sources import sinks
 from langshift.sources.tables import TRUST_COLUMNS, require_columns
@@ -64,7 +65,7 @@ _FIT = ("b_friends", "b_base", "intercept", "mae")
 
 def users_all(fx: Fixture) -> DataFrame:
     v = VARIANTS["minmax_population"]
-    return user_ops.select_users(fx.accounts, v.all_level, v.min_statuses)
+    return user_ops.select_users(fx.accounts, v.all_level, v.min_statuses, v.min_recorded)
 
 
 def users_core(fx: Fixture) -> DataFrame:
@@ -149,7 +150,9 @@ def unknown_topics(fx: Fixture) -> DataFrame:
 
 
 def slice_topic_stats(fx: Fixture) -> DataFrame:
-    stats = feature_ops.slice_statistics(study(fx).statistics)
+    s = study(fx)
+    known = s.vocabulary.join(s.statistics, "feat", "left").fillna(0)  # words without a row in scope are zero throughout
+    stats = feature_ops.slice_statistics(known)
     return _long(_round(stats, "mean", "var", "min", "max"), "slice")
 
 
@@ -248,8 +251,15 @@ def _core_accounts(fx: Fixture) -> DataFrame:
     return prep.core_accounts(fx.accounts, _members(fx))
 
 
-def _enriched_accounts(fx: Fixture) -> DataFrame:
-    return prep.with_last_messages(_core_accounts(fx), _core_messages(fx), fx.messages)
+def _stored_core(fx: Fixture) -> tuple[DataFrame, DataFrame]:
+    """Core members and core accounts, written once for several readers."""
+    members = materialise(_members(fx), "members")
+    return members, materialise(prep.core_accounts(fx.accounts, members), "core-accounts")
+
+
+def _enriched_accounts(fx: Fixture, members: DataFrame, accounts: DataFrame) -> DataFrame:
+    own = prep.messages_of(fx.messages_nrt, members, "dest_id")
+    return prep.with_last_messages(accounts, own, fx.messages)
 
 
 def ring_reach_count(fx: Fixture) -> DataFrame:
@@ -306,7 +316,7 @@ def accounts_core(fx: Fixture) -> DataFrame:
 
 
 def accounts_last_message(fx: Fixture) -> DataFrame:
-    return _enriched_accounts(fx).select(
+    return _enriched_accounts(fx, *_stored_core(fx)).select(
         "id", "last_message_id", "last_message_date", "last_nrt_message_id", "last_nrt_message_date"
     )
 
@@ -316,12 +326,13 @@ def network_core(fx: Fixture) -> DataFrame:
 
 
 def edges_last_message(fx: Fixture) -> DataFrame:
-    edges = prep.core_network(fx.network, _core_accounts(fx))
-    return prep.edges_with_last_messages(edges, _enriched_accounts(fx))
+    members, accounts = _stored_core(fx)
+    edges = prep.core_network(fx.network, accounts)
+    return prep.edges_with_last_messages(edges, _enriched_accounts(fx, members, accounts))
 
 
 def friend_messages(fx: Fixture) -> DataFrame:
-    edges = prep.core_network(fx.network, _core_accounts(fx))
+    edges = materialise(prep.core_network(fx.network, _core_accounts(fx)), "core-edges")
     return prep.friend_messages(edges, fx.messages_nrt)
 
 
@@ -329,6 +340,41 @@ def friend_message_key_dups(fx: Fixture) -> DataFrame:
     return prep.duplicate_keys(friend_messages(fx), ("parent_id", "message_id"))
 
 
+# ---- sinks ----------------------------------------------------------------------------------------
+
+
+def vocab_lines(fx: Fixture) -> DataFrame:
+    """The vocabulary as a list file, written and read again."""
+    path = stage_path(fx.spark, "vocab-lines")
+    sinks.write_lines(sinks.list_lines(vocab(fx), "feat"), path)
+    return fx.spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def positions_appended(fx: Fixture) -> DataFrame:
+    """Message positions appended to one table in two halves and read again."""
+    path, positions = stage_path(fx.spark, "positions"), materialise(message_positions(fx), "positions-whole")
+    for half in (0, 1):
+        sinks.append_rows(positions.where(F.col("user_id") % 2 == half), path)
+    return fx.spark.read.parquet(path)
+
+
+def accounts_reshaped(fx: Fixture) -> DataFrame:
+    """Account rows in a table made like the accounts, with a column added and one dropped."""
+    accounts = fx.accounts.select("id", "username", "level", "counter")
+    shaped = sinks.table_like(accounts, {"is_copy": "boolean"}, ("username",))
+    rows = accounts.withColumn("is_copy", F.col("counter") != F.col("id")).select(*shaped.columns)
+    return _long(shaped.unionByName(rows), "level")
+
+
+def influence_of_nobody(fx: Fixture) -> DataFrame:
+    """A study whose degree bound nobody reaches has no scores."""
+    stored = study_inputs(fx)
+    settings = VARIANTS["minmax_population"].but(min_degree=10**9)
+    nobody = Study.of_accounts(stored.accounts, stored.network, stored.features(0), settings)
+    kept = nobody.kept.agg(F.count(F.lit(1)).alias("kept")).scalar()
+    return nobody.cosines.agg(F.count(F.lit(1)).alias("topics")).withColumn("kept", kept)
+
+
 QUERIES: dict[str, Callable[[Fixture], DataFrame]] = {
     function.__name__: function
     for function in (
@@ -343,6 +389,7 @@ QUERIES: dict[str, Callable[[Fixture], DataFrame]] = {
         user_first_messages, first_tercile_messages, first_tercile_by_bounds, tercile_sizes, message_parts,
         accounts_core, accounts_last_message, network_core, edges_last_message,
         friend_messages, friend_message_key_dups,
+        vocab_lines, positions_appended, accounts_reshaped, influence_of_nobody,
     )
 }
 QUERIES |= {

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from langshift.config import DEFAULT_TOPICS, feature_table_name, slice_tables
+from langshift.sources import schema
 
 FEATURE_COLUMNS = ("id", "group_id", "feat", "value", "group_norm")
 TRUST_COLUMNS = ("user_id", "num_of_friends", "wo_retweets", "first_part", "diff_score")
@@ -25,6 +26,20 @@ def read_table(spark: SparkSession, location: str | None = None, fmt: str = "par
     return reader.load(location) if location is not None else reader.load()
 
 
+def read_accounts(spark: SparkSession, location: str | None = None, fmt: str = "parquet", **options) -> DataFrame:
+    """Accounts with typed columns; what a study does not use may be missing."""
+    return schema.conform(read_table(spark, location, fmt, **options), schema.ACCOUNTS, ("id",))
+
+
+def read_network(spark: SparkSession, location: str | None = None, fmt: str = "parquet", **options) -> DataFrame:
+    """Follow edges with ids as numbers; repeated rows stay."""
+    return schema.conform(read_table(spark, location, fmt, **options), schema.NETWORK, tuple(schema.NETWORK))
+
+
+def read_messages(spark: SparkSession, location: str | None = None, fmt: str = "parquet", **options) -> DataFrame:
+    return schema.conform(read_table(spark, location, fmt, **options), schema.MESSAGES, ("message_id", "user_id"))
+
+
 def require_columns(table: DataFrame, names: tuple[str, ...]) -> DataFrame:
     missing = sorted(set(names) - set(table.columns))
     if missing:
@@ -35,7 +50,7 @@ def require_columns(table: DataFrame, names: tuple[str, ...]) -> DataFrame:
 def tag_slices(*slices: DataFrame) -> DataFrame:
     """Stack the feature tables of slices 0, 1 and 2 under a literal `slice` column."""
     tagged = [
-        require_columns(part, FEATURE_COLUMNS).select(F.lit(number).alias("slice"), *FEATURE_COLUMNS)
+        schema.conform(part, schema.FEATURES, FEATURE_COLUMNS).select(F.lit(number).alias("slice"), *FEATURE_COLUMNS)
         for number, part in enumerate(slices)
     ]
     return reduce(DataFrame.unionByName, tagged)
@@ -43,17 +58,31 @@ def tag_slices(*slices: DataFrame) -> DataFrame:
 
 def read_features(
     spark: SparkSession,
-    root: str,
+    root: str | None = None,
     tercile: int = 0,
     topics: str = DEFAULT_TOPICS,
     fmt: str = "parquet",
+    options: dict[str, str] | None = None,
     **name_parts,
 ) -> DataFrame:
-    """The three feature tables of a study from a folder that holds one table per name."""
+    """The three feature tables of a study, from a folder or from a database.
+
+    With a folder each table is a file or folder of its name in `root`.  Without one the name goes into the
+    option `dbtable`, as `fmt="jdbc"` expects it, quoted because it holds dollar signs.
+    """
     names = [feature_table_name(table, topics, **name_parts) for table in slice_tables(tercile)]
-    return tag_slices(*(read_table(spark, f"{root}/{name}", fmt) for name in names))
+    return tag_slices(*(read_table(spark, **feature_source(root, name, fmt, options or {})) for name in names))
+
+
+def feature_source(root: str | None, name: str, fmt: str, options: dict[str, str]) -> dict[str, str]:
+    """What `read_table` gets for one feature table."""
+    if root is not None:
+        return {"location": f"{root}/{name}", "fmt": fmt, **options}
+    quote = options.get("quote", "`")
+    rest = {key: value for key, value in options.items() if key != "quote"}
+    return {"fmt": fmt, "dbtable": f"{quote}{name}{quote}", **rest}
 
 
 def read_trust_scores(spark: SparkSession, location: str | None = None, fmt: str = "parquet", **options) -> DataFrame:
     """The score table with whatever columns it has; the ones the trust study needs must be there."""
-    return require_columns(read_table(spark, location, fmt, **options), TRUST_COLUMNS)
+    return schema.conform(read_table(spark, location, fmt, **options), schema.TRUST_SCORES, TRUST_COLUMNS)

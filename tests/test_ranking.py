@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from langshift.operators.ranking import dense_index, group_rank, running_total
 from langshift.operators.sampling import draw_people
-from langshift.operators.network import cap_friends
-from langshift.operators.skew import attach_small, fan_out_join, hot_keys
+from langshift.operators.network import cap_friends, weighted
+from langshift.operators.skew import attach_small, fan_out_join, heavy_pairs, hot_keys
 
 
 def messages(spark, sizes, seed=0):
@@ -121,10 +121,31 @@ def test_draws_are_about_uniform(spark):
 
 def test_cap_is_a_repeatable_subset(spark):
     edges = [(1, i) for i in range(50)] + [(2, i) for i in range(5)] + [(3, 9)] * 30
-    frame = spark.createDataFrame(edges, "source_id long, dest_id long")
-    capped = sorted((row.source_id, row.dest_id) for row in cap_friends(frame, 10).collect())
-    assert capped == sorted((row.source_id, row.dest_id) for row in cap_friends(frame.repartition(3), 10).collect())
-    assert [sum(1 for edge in capped if edge[0] == source) for source in (1, 2, 3)] == [10, 5, 10]
-    assert set(capped) <= set(edges)
+    frame = weighted(spark.createDataFrame(edges, "source_id long, dest_id long"))
+    capped = sorted(tuple(row) for row in cap_friends(frame, 10).collect())
+    assert capped == sorted(tuple(row) for row in cap_friends(frame.repartition(3), 10).collect())
+    assert [sum(edge[2] for edge in capped if edge[0] == source) for source in (1, 2, 3)] == [10, 5, 10]
+    assert {edge[:2] for edge in capped} <= set(edges)
     limited = cap_friends(frame, 10)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in limited
+
+
+def test_cap_draws_copies_alike(spark):
+    """Of the edges A, A, B each copy is drawn in a third of all cases."""
+    edges = [(i, dest, weight) for i in range(4000) for dest, weight in ((1, 2), (2, 1))]
+    drawn = cap_friends(spark.createDataFrame(edges, "source_id long, dest_id long, weight long"), 1).collect()
+    assert len(drawn) == 4000
+    assert abs(sum(row.dest_id == 2 for row in drawn) / 4000 - 1 / 3) < 0.03
+
+
+def test_a_key_that_makes_many_rows_is_split_though_short_on_both_sides(spark):
+    left = spark.createDataFrame([(1, i) for i in range(900)] + [(k, 0) for k in range(2, 400)], "k long, a long")
+    right = spark.createDataFrame([(1, i) for i in range(900)] + [(k, 0) for k in range(2, 400)], "k long, b long")
+    left_hot, right_hot = heavy_pairs(left, right, "k", 1000)
+    split = fan_out_join(left, right, "k", left_hot, right_hot, ("a",), ("b",))
+    rows = split.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    total = sum(row["count"] for row in rows)
+    assert total == 900 * 900 + 398
+    assert max(row["count"] for row in rows) <= 2 * total / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert split.distinct().count() == total
+    assert heavy_pairs(left, right, "k", 10**6) == (None, None)
