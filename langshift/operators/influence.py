@@ -23,24 +23,43 @@ from langshift.functions.columns import snapped
 from langshift.operators.skew import fan_out_join
 
 RANK_EPS = 1e-10
+BLOCK_TOPICS = 512  # about so many scores travel in one row
+LINKS_PER_TASK = 20_000  # links of one user that a task gathers
 NOISE = 1e-28  # square of a double's relative rounding, with room
 
 
 Hot = tuple[DataFrame | None, DataFrame | None]
 
 
-def neighbour_sums(links: DataFrame, cells: DataFrame, shares: list[str], hot: Hot = (None, None)) -> DataFrame:
+def packed_scores(cells: DataFrame, topic_count: int) -> DataFrame:
+    """(dest_id, block, scores): a user's reference scores as arrays of (topic, s2), in blocks of bounded length."""
+    blocks = max(1, -(-topic_count // BLOCK_TOPICS))
+    block = F.pmod(F.xxhash64("topic"), F.lit(blocks)).cast("int").alias("block")
+    return cells.groupBy(F.col("group_id").alias("dest_id"), block).agg(
+        F.collect_list(F.struct("topic", "s2")).alias("scores")
+    )
+
+
+def neighbour_sums(links: DataFrame, packed: DataFrame, shares: list[str], hot: Hot = (None, None)) -> DataFrame:
     """Each link joined with the reference scores of the user it leads to, one row per link and topic.
 
     `links` are (source_id, dest_id, *shares); a share is the part this link has in an average of the
     source user.  Friends and drawn people are links with different shares, so one join serves both.
+
+    The join and the shuffle behind it move one row per link and block of topics.  The arrays are unpacked
+    where all links of a user have met, so that an aggregation combines them before anything moves again.
+    A user with very many links, which its shares tell, is dealt to several tasks.
     """
-    scores = cells.select(F.col("group_id").alias("dest_id"), "topic", "s2")
     joined = fan_out_join(
-        links, scores, "dest_id", left_hot=hot[0], right_hot=hot[1], left_spread=("source_id",), right_spread=("topic",)
+        links, packed, "dest_id", left_hot=hot[0], right_hot=hot[1], left_spread=("source_id",), right_spread=("block",)
     )
-    parts = [(F.col("s2") * F.col(share)).alias(share) for share in shares]
-    return joined.select(F.col("source_id").alias("id"), "topic", *parts)
+    share = F.greatest(*shares) if len(shares) > 1 else F.col(shares[0])
+    pieces = F.ceil(1 / (share * LINKS_PER_TASK))
+    piece = F.coalesce(F.pmod(F.xxhash64("dest_id"), pieces), F.lit(0))
+    met = joined.repartition("source_id", "block", piece)
+    rows = met.select(F.col("source_id").alias("id"), *shares, F.explode("scores").alias("cell"))
+    parts = [(F.col("cell.s2") * F.col(share)).alias(share) for share in shares]
+    return rows.select("id", F.col("cell.topic").alias("topic"), *parts)
 
 
 def topic_averages(neighbours: DataFrame, share: str, name: str) -> DataFrame:

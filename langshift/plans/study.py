@@ -209,12 +209,17 @@ class Study:
 
     @cached_property
     def _hot_friends(self) -> influence_ops.Hot:
-        """Users whose followers times topics make very many rows."""
-        scores = self.reference_cells.select(F.col("group_id").alias("dest_id"))
-        return heavy_pairs(self.edges.select("dest_id"), scores, "dest_id", self.min_hot_rows)
+        """Users whose followers times blocks of topics make very many rows."""
+        return heavy_pairs(self.edges.select("dest_id"), self._packed.select("dest_id"), "dest_id", self.min_hot_rows)
+
+    @cached_property
+    def _packed(self) -> DataFrame:
+        """Reference scores of varying topics, packed for the join with links."""
+        packed = influence_ops.packed_scores(self._numbered(self.reference_cells), self.topic_count)
+        return materialise(packed, "packed")
 
     def _neighbours(self, links: DataFrame, shares: list[str]) -> DataFrame:
-        return influence_ops.neighbour_sums(links, self._numbered(self.reference_cells), shares, self._hot_friends)
+        return influence_ops.neighbour_sums(links, self._packed, shares, self._hot_friends)
 
     @cached_property
     def friend_averages(self) -> DataFrame:
