@@ -122,7 +122,7 @@ def _scan(keep: int):
                 q_names, c_names = np.frombuffer(row["q_names"], np.int64), np.frombuffer(row["names"], np.int64)
                 asks = np.frombuffer(row["q_data"], np.int64).reshape(len(q_names), -1).astype(np.float64)
                 codes = np.frombuffer(row["data"], np.int8).reshape(len(c_names), -1)
-                floor = np.full(len(q_names), -np.inf)
+                floor, left = np.full(len(q_names), -np.inf), []
                 for first in range(0, len(c_names), CHUNK):
                     place = codes[first : first + CHUNK].astype(np.int64) + 127
                     low, high = _bounds(asks, low_edge[place], high_edge[place])
@@ -130,10 +130,11 @@ def _scan(keep: int):
                         at = low.shape[1] - keep
                         floor = np.maximum(floor, np.partition(low, at, axis=1)[:, at])
                     x, y = np.nonzero(high >= floor[:, None])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(q_names[x]), pa.array(c_names[first + y]), pa.array(low[x, y]), pa.array(high[x, y])],
-                        names=["query", "class", "low", "high"],
-                    )
+                    left.append((x, first + y, low[x, y], high[x, y]))
+                x, y, low, high = (np.concatenate(parts) for parts in zip(*left, strict=True))
+                still = high >= floor[x]  # the floor has risen since the first chunks
+                columns = (q_names[x[still]], c_names[y[still]], low[still], high[still])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "class", "low", "high"])
 
     return run
 
