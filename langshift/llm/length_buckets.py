@@ -1,8 +1,8 @@
 """Packing into length buckets whose boundaries minimise padding over the whole corpus.
 
-One aggregation makes the global histogram of lengths, exact below 2 ** KEPT_BITS and with that many leading bits
-beyond, so it has a few thousand bins whatever the corpus; each bin knows its largest length, and a boundary is such
-a length.  Dynamic programming over the bins finds the best boundaries.  Inside a bucket documents stand in hash order
+One aggregation makes the exact global histogram: distinct lengths sum to at most the words of the corpus, so there are
+fewer than the root of twice that number.  Dynamic programming over all of them finds the best boundaries, in time
+linear in the distinct lengths for each bucket.  Inside a bucket documents stand in hash order
 and are cut into batches: as many documents as fit the token budget when all are padded to the bucket's boundary.
 Positions come from one range sort over all buckets, so a bucket of any size is shared by many tasks.
 
@@ -38,27 +38,44 @@ def length_bin(length: Column) -> Column:
 def best_boundaries(longest: np.ndarray, rows: np.ndarray, buckets: int) -> list[int]:
     """Largest lengths of at most `buckets` buckets with the least total of rows times boundary.
 
-    longest and rows describe the bins in ascending order.  cost[j] is the least total of the first j
-    bins; each round allows one more bucket, which covers the bins from some i on.
+    longest are distinct lengths, ascending, and rows (none 0) their counts.  cost[j] is the least total of the
+    first j lengths; each round allows one more bucket, which covers the lengths from some i on.  As a
+    function of the boundary, what i gives is the line cost[i] + boundary * (rows before j - rows before i), so
+    the best i is read off the lower hull of these lines, in whole numbers and in time linear in the lengths.
     """
-    before = np.concatenate(([0], np.cumsum(rows)))
-    n = len(longest)
-    cost = np.concatenate(([0.0], np.full(n, np.inf)))
+    lengths, n = [int(x) for x in longest], len(longest)
+    before = [0, *np.cumsum(rows).tolist()]
+    cost: list[int | None] = [0, *[None] * n]
     cuts = []
     for _ in range(min(buckets, n)):
-        new, cut = cost.copy(), np.full(n + 1, -1)
+        new, cut = list(cost), [-1] * (n + 1)
+        hull: list[tuple[int, int, int]] = []  # rows before i, cost[i], i
+        head = 0
         for j in range(1, n + 1):
-            totals = cost[:j] + longest[j - 1] * (before[j] - before[:j]).astype(np.float64)
-            i = int(totals.argmin())
-            if totals[i] < new[j]:
-                new[j], cut[j] = totals[i], i
+            c = cost[j - 1]
+            if c is not None:
+                p = before[j - 1]
+                while len(hull) > 1:
+                    (p1, c1, _), (p2, c2, _) = hull[-2:]
+                    if (c - c1) * (p2 - p1) > (c2 - c1) * (p - p1):
+                        break
+                    hull.pop()
+                hull.append((p, c, j - 1))
+                head = min(head, len(hull) - 1)
+            boundary = lengths[j - 1]
+            while head + 1 < len(hull) and hull[head + 1][1] - hull[head + 1][0] * boundary < hull[head][1] - hull[head][0] * boundary:
+                head += 1
+            p, c, i = hull[head]
+            total = c + boundary * (before[j] - p)
+            if new[j] is None or total < new[j]:
+                new[j], cut[j] = total, i
         cuts.append(cut)
         cost = new
     chosen, j = [], n
     for cut in reversed(cuts):
         if j and cut[j] >= 0:
-            chosen.append(int(longest[j - 1]))
-            j = int(cut[j])
+            chosen.append(lengths[j - 1])
+            j = cut[j]
     return chosen[::-1]
 
 
@@ -74,10 +91,8 @@ class Buckets:
 
 def plan_buckets(lengths: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET) -> Buckets:
     """Boundaries over all rows of a table with the column n_tokens; only the histogram comes to the driver."""
-    bins = lengths.groupBy(length_bin(F.col("n_tokens")).alias("bin")).agg(
-        F.max("n_tokens").alias("longest"), F.count(F.lit(1)).alias("rows")
-    )
-    found = sorted((r["longest"], r["rows"]) for r in bins.collect())
+    histogram = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("rows"))
+    found = sorted((r["n_tokens"], r["rows"]) for r in histogram.collect())
     longest, rows = (np.array([r[k] for r in found], np.int64) for k in (0, 1))
     boundary = best_boundaries(longest, rows, buckets)
     held = [int(rows[(longest <= b) & (longest > a)].sum()) for a, b in zip([-1, *boundary], boundary, strict=False)]

@@ -53,3 +53,31 @@ def test_plan_counts_everything(spark):
 
 def test_empty(no_docs):
     assert pack(no_docs).count() == 0
+
+
+def least_padded(lengths, rows, buckets):
+    """Least total of rows times boundary, by trying every start of the last bucket."""
+    before = [0, *itertools.accumulate(rows)]
+    cost = [0] + [float("inf")] * len(lengths)
+    for _ in range(buckets):
+        cost = [0] + [min(cost[i] + lengths[j - 1] * (before[j] - before[i]) for i in range(j)) for j in range(1, len(cost))]
+    return cost[-1]
+
+
+def test_boundaries_are_optimal_over_long_lengths():
+    draw = random.Random(7)
+    for n in (150, 300):
+        lengths = sorted(draw.sample(range(20_000), n))
+        rows = [draw.choice((1, 2, 3, 50, 5000)) for _ in lengths]
+        for buckets in (2, 5, 16):
+            found = best_boundaries(np.array(lengths), np.array(rows), buckets)
+            cost = sum(n * min(b for b in found if b >= x) for x, n in zip(lengths, rows))
+            assert len(found) <= buckets and cost == least_padded(lengths, rows, buckets)
+
+
+def test_plan_is_optimal_with_a_hot_length_at_the_low_end_of_a_bin(spark):
+    counts = {300: 9, 700: 40, 2048: 5000, 2049: 5, 2060: 3, 2061: 2, 9000: 1}
+    frame = spark.createDataFrame([(x,) for x, n in counts.items() for _ in range(n)], "n_tokens long")
+    boundary = plan_buckets(frame, 4).boundary
+    assert 2048 in boundary
+    assert sum(n * min(b for b in boundary if b >= x) for x, n in counts.items()) == least_padded(list(counts), list(counts.values()), 4)
