@@ -1,6 +1,6 @@
 """Sharding in Hilbert-curve order, with built-in expressions only.
 
-Several metadata columns are quantised by their own quantiles over all rows, the cell's index on the Hilbert curve is
+Several metadata columns, texts by their rank among all distinct ones, are quantised by their quantiles over all rows, the cell's index on the Hilbert curve is
 computed, and the rows in curve order are cut into runs of equal counts.  Rows of a shard are close in all dimensions
 at once, so the minima and maxima in its file footer let readers skip the file on a filter on any of them.
 
@@ -20,18 +20,26 @@ from langshift.operators.storage import materialise
 
 ROW_BYTES = 16  # counted for every row beside its text
 BITS = 5  # levels of each dimension: 2 ** BITS
+BROADCAST_TEXTS = 4096  # distinct texts of a dimension up to which their ranks are broadcast
 ACCURACY = 20_000  # of the quantile sketch: rank error is one part in so many
 DIMENSIONS = ("source", "lang", "n_chars", "doc_id")
 
 
-def ordered_number(column: Column, kind: T.DataType) -> Column:
-    """A number that sorts like the column; of a text the first seven UTF-8 bytes, null is -1."""
-    if isinstance(kind, T.StringType):
-        digits = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 7)), 14, "0")
-        column = F.conv(digits, 16, 10).cast("long")
+def ordered_number(column: Column) -> Column:
+    """A number that sorts like the column, null is -1."""
     return F.coalesce(column.cast("double"), F.lit(-1.0))
 
 
+def with_ranks(rows: DataFrame, column: str) -> DataFrame:
+    """The rows with a text column replaced by its rank among the distinct texts of the whole table; null stays null."""
+    distinct = materialise(rows.where(F.col(column).isNotNull()).select(F.col(column).alias("_of")).distinct(), "hilbert-texts")
+    ranks = materialise(dense_index(distinct, [F.col("_of")], "_place"), "hilbert-ranks")
+    if ranks.count() <= BROADCAST_TEXTS:
+        ranks = F.broadcast(ranks)
+    joined = rows.join(ranks, F.col(column) == F.col("_of"), "left")
+    return joined.withColumn(column, F.col("_place")).drop("_of", "_place")
+
+
 def quantile_cuts(numbers: DataFrame, bits: int) -> dict[str, list[float]]:
     """For each column at most 2 ** bits - 1 ascending cut points, from one pass over all rows."""
     steps = [k / 2**bits for k in range(1, 2**bits)]
@@ -106,15 +114,22 @@ def hilbert_shards(
     bits: int = BITS,
 ) -> DataFrame:
     """(key, size, text_crc32, curve, shard, slot): runs of the curve whose row counts are at most one apart."""
-    used = [F.col(key).alias("_key"), F.col(text).alias("_text")]
-    places = [ordered_number(F.col(d), rows.schema[d].dataType).alias(f"_{i}") for i, d in enumerate(dimensions)]
-    cuts = quantile_cuts(rows.select(*places), bits)
     utf8 = F.encode("_text", "UTF-8")
-    narrow = rows.select(*used, *places).select(
+    narrow = rows.select(F.col(key).alias("_key"), F.col(text).alias("_text"), *[F.col(d).alias(f"_{i}") for i, d in enumerate(dimensions)])
+    narrow = narrow.select(
         F.col("_key").alias(key),
         (F.coalesce(F.octet_length("_text"), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(utf8).alias("text_crc32"),
-        *[level(F.col(f"_{i}"), cuts[f"_{i}"]).alias(f"_{i}") for i in range(len(dimensions))],
+        *[f"_{i}" for i in range(len(dimensions))],
+    )
+    narrow = materialise(narrow, "hilbert-rows")
+    for i, d in enumerate(dimensions):
+        if isinstance(rows.schema[d].dataType, T.StringType):
+            narrow = with_ranks(narrow, f"_{i}")
+    places = [ordered_number(F.col(f"_{i}")).alias(f"_{i}") for i in range(len(dimensions))]
+    cuts = quantile_cuts(narrow.select(*places), bits)
+    narrow = narrow.select(key, "size", "text_crc32", *places).select(
+        key, "size", "text_crc32", *[level(F.col(f"_{i}"), cuts[f"_{i}"]).alias(f"_{i}") for i in range(len(dimensions))]
     )
     levels = [F.col(f"_{i}") for i in range(len(dimensions))]
     placed = with_hilbert_index(narrow, levels, bits, "curve").select(key, "size", "text_crc32", "curve")

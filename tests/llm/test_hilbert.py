@@ -46,3 +46,11 @@ def test_empty_table_and_files(spark, no_docs, odd_docs, odd_rows, tmp_path):
     placed = hilbert_shards(odd_docs.where("doc_id < 40"), 4)
     write_shards(placed, f"{tmp_path}/shards")
     assert spark.read.parquet(f"{tmp_path}/shards").count() == placed.count()
+
+
+def test_texts_with_a_long_common_prefix_get_levels_of_their_own(spark):
+    rows = [(i, "t", None if i % 5 == 4 else f"common_crawl_{'abcd'[i % 5]}", "en", i) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").repartition(3)
+    got = {r["doc_id"]: r["curve"] for r in hilbert_shards(docs, 4, dimensions=("source", "lang")).collect()}
+    curves = [{got[i] for i in range(k, 200, 5)} for k in range(5)]
+    assert all(len(c) == 1 for c in curves) and len(set.union(*curves)) == 5
