@@ -14,7 +14,9 @@ _NAMES = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 #: Element names by their part in a page, as the HTML standard has them.
-SKIPPED = frozenset("script style noscript template textarea title svg math iframe object".split())
+RAW = frozenset("script style textarea title".split())  # hold no elements; an unclosed one reaches to the end
+HIDDEN = frozenset("template iframe".split())  # not shown; skipped to the matching end, and an unclosed one is no element
+FOREIGN = frozenset("svg math".split())  # inside, a slash closes an element
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "html head body address article aside blockquote button center dd details dialog div dl dt fieldset figcaption figure "
@@ -62,6 +64,16 @@ def _attributes(raw: str) -> tuple[tuple[str, ...], str | None]:
     return tuple(dict.fromkeys(names)), marked
 
 
+def _past(html: str, tag: str, at: int) -> int:
+    """Where the element that begins before `at` has ended, nested ones of its kind counted; `at` if it never ends."""
+    depth = 1
+    for found in re.compile(rf"<(/?){tag}\b[^>]*(?:>|\Z)", re.I).finditer(html, at):
+        depth += -1 if found.group(1) else 1 if tag == "template" else 0
+        if not depth:
+            return found.end()
+    return at
+
+
 def parse(html: str) -> Page:
     """The tree of a page; unclosed and misplaced tags are repaired as browsers do in the common cases."""
     page = Page([Node("#page", (), -1)])
@@ -113,10 +125,12 @@ def parse(html: str) -> Page:
             elif tag == "br":
                 fresh = True
             continue
-        if tag in SKIPPED:
-            if not raw.endswith("/") or tag in ("script", "style", "textarea", "title"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
-                at = end.end() if end else n
+        if tag in RAW:
+            end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(html, at)
+            at = end.end() if end else n
+            continue
+        if tag in HIDDEN:
+            at = _past(html, tag, at)
             continue
         if tag in VOID:
             fresh = fresh or tag in ("br", "hr")
@@ -133,7 +147,7 @@ def parse(html: str) -> Page:
             nodes.append(Node(tag, names, inner, marked))
             inner = len(nodes) - 1
             fresh = fresh or tag in BLOCKS
-        if not raw.endswith("/") or tag not in ("p", "div"):
+        if not raw.endswith("/") or tag not in ("p", "div") and tag not in FOREIGN and not nearest(FOREIGN):
             stack.append((tag, inner))
             links += tag == "a"
     for i in range(len(nodes) - 1, -1, -1):

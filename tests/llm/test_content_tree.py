@@ -82,3 +82,20 @@ def test_odd_rows(spark, model):
 def test_untrained_model_is_defined(spark):
     model = train(spark.createDataFrame([], "html string"))
     assert isinstance(model, Model) and isinstance(main_text("<p>x</p>", model), str)
+
+
+def whole(html):
+    page = parse(html)
+    return joined(page, [True] * len(page.nodes))
+
+
+def test_text_in_and_after_foreign_elements_is_kept():
+    assert whole("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p>") == "Let x=2 hold."
+    for tag in ("math", "object", "svg", "noscript"):
+        assert whole(f"<div>a <{tag} class=k>b</div><p>c</p>") == "a b c"
+        assert whole(f"<div>a <{tag}>b <{tag}>c</{tag}> d</{tag}> e</div>") == "a b c d e"
+    assert whole("<div>a <iframe src=x> b</div><p>c</p>") == "a b c"
+    assert whole("<div>a <template>b<template>c</template>d</template> e</div>") == "a e"
+    assert whole("<div>a <iframe>b</iframe> e<script>f</script></div>") == "a e"
+    page = parse('<p><svg><path id="q" d="z"/><text>b</text></svg> c</p>')
+    assert [(node.tag, node.text) for node in page.nodes if node.tag == "path"] == [("path", 0)]
