@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from langshift.operators.ranking import dense_index
+from langshift.operators.ranking import dense_index, group_rank
 from langshift.operators.storage import materialise
 
 WEIGHTS = (5, 2, 1)
@@ -106,6 +106,22 @@ def _round_block(level: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+def dealt(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Add to rows of (id, source, size, documents) an `order`, different for each copy of a row, and the `block` of its meetings."""
+    rows = rows.withColumn("order", F.xxhash64(F.lit(SEED), "id", "source", "size"))
+    place = F.xxhash64("id", "size", F.lit(SEED))
+    counts = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("order").alias("keys")).first()
+    if counts["rows"] > counts["keys"]:
+        numbered = materialise(rows.withColumn("_at", F.monotonically_increasing_id()), "mix-numbered")
+        rows, more = group_rank(numbered, "order", "_at"), F.col("rn") > 1
+        place = F.when(more, F.xxhash64("id", "size", F.lit(SEED), "rn")).otherwise(place)
+        order = F.when(more, F.xxhash64("order", "rn")).otherwise(F.col("order"))
+        rows = rows.withColumn("_place", place).withColumn("order", order).drop("_at", "rn", "n")
+    else:
+        rows = rows.withColumn("_place", place)
+    return rows.withColumn("block", F.pmod("_place", F.ceil(F.col("documents") / block))).drop("_place")
+
+
 def mix(sizes: DataFrame, block: int = BLOCK) -> DataFrame:
     """(id, source, size, source_size, target, copies) for each row of (id, source, size)."""
     stored = materialise(sizes.select("id", "source", "size"), "mix-rows")
@@ -116,11 +132,9 @@ def mix(sizes: DataFrame, block: int = BLOCK) -> DataFrame:
     whole = F.floor("rate").cast("int")
     placed = placed.withColumn("whole", whole).withColumn("part", F.col("rate") - F.col("whole"))
     spread = max(1, math.ceil(stored.count() / block))
-    key = F.xxhash64(F.lit(SEED), "id", "source", "size")
-    placed = placed.select(
-        "id", "source", "size", "source_size", "target", "whole", "part", key.alias("order"),
-        F.pmod(F.xxhash64("id", "size", F.lit(SEED)), F.ceil(F.col("documents") / block)).alias("block"),
-    )
+    placed = dealt(placed, block).select(
+        "id", "source", "size", "source_size", "target", "whole", "part", "order", "block"
+    )
     schema = placed.withColumn("open", F.lit(True)).schema
     level, done = 0, []
     work = placed

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from langshift.llm.pivotal import mix, mix_documents, source_targets
+from langshift.llm.pivotal import dealt, mix, mix_documents, source_targets
 
 
 def water_fill(sizes, share=1.5, most=2):
@@ -69,3 +69,13 @@ def test_odd_rows(odd_docs, no_docs, odd_rows):
     assert all(r["taken"] <= 2 * r["size"] for r in got)
     assert mix_documents(no_docs).count() == 0
     assert {r["taken"] for r in mix_documents(odd_docs.where("text is null")).collect()} == {0}
+
+
+def test_repeated_rows_spread_over_blocks(spark):
+    rows = [(None, "a", 10, 3000)] * 1000 + [(7, "a", 20, 3000)] * 1000 + [(i, "a", 5, 3000) for i in range(1000)]
+    frame = spark.createDataFrame(rows, "id long, source string, size long, documents long").repartition(5)
+    placed = dealt(frame, 100).collect()
+    assert len(placed) == 3000 and len({r["order"] for r in placed}) == 3000
+    assert max(Counter(r["block"] for r in placed).values()) < 200
+    sizes = frame.select("id", "source", "size")
+    assert Counter(mix(sizes, block=100).collect()) == Counter(mix(sizes.repartition(9), block=100).collect())
