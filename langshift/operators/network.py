@@ -7,9 +7,10 @@ the first shuffle and no group of copies can grow large.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from langshift.functions.columns import hash60
 from langshift.operators.users import core_of
 
 
@@ -30,16 +31,31 @@ def weighted(network: DataFrame) -> DataFrame:
     return network.groupBy("source_id", "dest_id").agg(F.count(F.lit(1)).alias("weight"))
 
 
+def _copy_orders(cap: int, seed: int) -> Column:
+    """The places in a random order of the first min(weight, cap) of an edge's copies, ascending.
+
+    The smallest of w exponential numbers and the distances to the next ones are exponential again, with means 1 / w,
+    1 / (w - 1) and so on, so the first few come without the others.
+    """
+    weight = F.col("weight")
+    copies = F.sequence(F.lit(1).cast("long"), F.least(weight, F.lit(cap).cast("long")))
+
+    def spacing(copy: Column) -> Column:
+        uniform = (hash60(F.col("source_id"), F.col("dest_id"), copy, F.lit(seed)) + 1) / F.lit(float(1 << 60))
+        return -F.log(uniform) / (weight - copy + 1)
+
+    return F.transform(copies, lambda last: F.aggregate(F.transform(F.sequence(F.lit(1).cast("long"), last), spacing), F.lit(0.0), lambda a, x: a + x))
+
+
 def cap_friends(edges: DataFrame, cap: int, seed: int = 42) -> DataFrame:
     """At most `cap` edges per source out of weighted edges, drawn uniformly without replacement; weighted.
 
-    Every copy of an edge has a number of its own in the seeded hash order, so an edge that occurs twice is
-    twice as likely to be drawn.  The rank limit is applied before the shuffle as well, so at most `cap`
-    rows per source and task move.
+    Every copy of an edge has a place of its own in a seeded random order, so an edge that occurs twice is
+    twice as likely to be drawn; but an edge makes at most `cap` rows, whatever its weight.  The rank limit is
+    applied before the shuffle as well, so at most `cap` rows per source and task move.
     """
-    copies = edges.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("weight")))).drop("weight")
-    order = F.md5(F.concat_ws(":", "source_id", "dest_id", "_copy", F.lit(seed)))
-    drawn = F.row_number().over(Window.partitionBy("source_id").orderBy(order, "dest_id", "_copy"))
+    copies = edges.select("source_id", "dest_id", F.posexplode(_copy_orders(cap, seed)).alias("_copy", "_order"))
+    drawn = F.row_number().over(Window.partitionBy("source_id").orderBy("_order", "dest_id", "_copy"))
     return weighted(copies.withColumn("_drawn", drawn).where(F.col("_drawn") <= cap))
 
 

@@ -1,28 +1,72 @@
-"""Random people as a baseline, drawn without replacement and without pairing users with users."""
+"""Random people as a baseline, drawn without replacement and without pairing users with users.
+
+Every drawing user has a permutation of everybody of its own: a Feistel network over the positions 0..N-1 whose round
+keys come from the user's id.  The j-th person drawn is what the permutation makes of j, so a user's people are
+distinct and any set of them is as likely as any other, as in a shuffled list, without a list being made.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from langshift.functions.columns import hash60
 from langshift.operators.ranking import dense_index
 
 DRAWS_PER_ROW = 10_000
+PRIME = 2**31 - 1  # products of two remainders stay within a long
+ROUNDS = 4
+WALK = 64  # steps back into 0..N-1; of the at most sqrt(N) places outside, a step leaves one in sqrt(N) outside
+
+
+def positions(users: DataFrame) -> DataFrame:
+    """(id, position): everybody numbered from 0, by id."""
+    return dense_index(users.select("id"), [F.col("id")], "position")
+
+
+def round_keys(key: Column, seed: int) -> Column:
+    """Two numbers below PRIME for each round, as an array of structs (p, q)."""
+    digests = [F.md5(F.concat_ws(":", key, F.lit(seed), F.lit(part))) for part in range(ROUNDS // 2)]
+    hexes = [F.substring(digest, 1 + 8 * at, 8) for digest in digests for at in range(4)]
+    numbers = [F.pmod(F.conv(text, 16, 10).cast("long"), F.lit(PRIME)) for text in hexes]
+    return F.array(*[F.struct(p.alias("p"), q.alias("q")) for p, q in zip(numbers[::2], numbers[1::2], strict=True)])
+
+
+def _mixed(value: Column, key: Column) -> Column:
+    shifted = F.pmod(value + key, F.lit(PRIME))
+    return F.pmod(F.pmod(shifted * shifted, F.lit(PRIME)) * shifted, F.lit(PRIME))
 
 
-def hashed_positions(users: DataFrame, seed: int = 42) -> DataFrame:
-    """(id, position): everybody in a seeded hash order, numbered from 0."""
-    digest = F.md5(F.concat_ws(":", "id", F.lit(seed)))
-    return dense_index(users.select("id", digest.alias("_digest")), [F.col("_digest"), F.col("id")], "position").drop("_digest")
+def _network(place: Column, wide: Column, high: Column, keys: Column) -> Column:
+    """A permutation of 0..wide*high-1: the place as (left, right), each half moved by a mix of the other."""
+    start = F.struct((F.floor((place - F.pmod(place, high)) / high)).cast("long").alias("l"), F.pmod(place, high).alias("r"))
+
+    def turn(halves: Column, key: Column) -> Column:
+        left = F.pmod(halves["l"] + _mixed(halves["r"], key["p"]), wide)
+        return F.struct(left.alias("l"), F.pmod(halves["r"] + _mixed(left, key["q"]), high).alias("r"))
+
+    return F.aggregate(keys, start, turn, lambda halves: halves["l"] * high + halves["r"])
+
+
+def permuted(rows: DataFrame, place: str, size: str, keys: str, name: str) -> DataFrame:
+    """Add where the permutation of 0..size-1 with these keys takes each place.
+
+    The network works on the least rectangle with about equal sides that holds `size` places; where it leads outside it is
+    applied again until it comes back, which keeps it a permutation.
+    """
+    size_ = F.col(size)
+    rows = rows.withColumn("_wide", F.ceil(F.sqrt(size_.cast("double"))).cast("long"))
+    rows = rows.withColumn("_high", F.expr(f"cast(({size} + _wide - 1) div _wide as long)"))
+    once = lambda x: _network(x, F.col("_wide"), F.col("_high"), F.col(keys))
+    rows = rows.withColumn(name, once(F.col(place)))
+    again = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.col(name), lambda x, _: F.when(x < size_, x).otherwise(once(x)))
+    return rows.withColumn(name, F.when(F.col(name) < size_, F.col(name)).otherwise(again)).drop("_wide", "_high")
 
 
 def draw_people(drawers: DataFrame, users: DataFrame, seed: int = 42) -> DataFrame:
     """For each (id, degree), `degree` different people out of all users: (source_id, dest_id, drawn).
 
-    The hash order of everybody is cut into `degree` equal strata and one person is drawn from each,
-    so people are distinct and everybody is equally likely (up to rounding of the strata).  More
-    draws than there are users give everybody once.
+    A simple random sample without replacement for each user, independent of those of others.  More draws than there
+    are users give everybody once.
     """
     spark = users.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -35,14 +79,13 @@ def draw_people(drawers: DataFrame, users: DataFrame, seed: int = 42) -> DataFra
         .where("draws > 0")
         .withColumn("chunk", chunk)
         .repartition(tasks, "source_id", "chunk")
+        .withColumn("keys", round_keys(F.col("source_id"), seed))
         .withColumn("j", F.explode(F.sequence(first, last)))
-        .select("source_id", "j", "draws", "people")
+        .select("source_id", "j", "draws", "people", "keys")
     )
-    start = F.expr("j * people div draws")
-    size = F.expr("(j + 1) * people div draws") - start
-    picked = start + F.pmod(hash60(F.col("source_id"), F.col("j"), F.lit(seed)), size)
     return (
-        drawn.select("source_id", picked.alias("position"), F.col("draws").alias("drawn"))
-        .join(hashed_positions(users, seed), "position")
+        permuted(drawn, "j", "people", "keys", "position")
+        .select("source_id", "position", F.col("draws").alias("drawn"))
+        .join(positions(users), "position")
         .select("source_id", F.col("id").alias("dest_id"), "drawn")
     )

@@ -68,6 +68,26 @@ def _features(tercile: int) -> dict[str, str]:
     }
 
 
+_PRIME, _ROUNDS = 2147483647, 4
+_KEY_NAMES = ", ".join(f"k{number}" for number in range(2 * _ROUNDS))
+
+
+def _round_keys(seed: int) -> str:
+    """Two keys per round from the hexadecimal digits of digests of the drawing user."""
+    digests = [f"md5(concat_ws(':', id, {seed}, {part}))" for part in range(_ROUNDS // 2)]
+    keys = [f"('0x' || substr({digest}, {1 + 8 * at}, 8))::BIGINT % {_PRIME}" for digest in digests for at in range(4)]
+    return ", ".join(f"{key} AS k{number}" for number, key in enumerate(keys))
+
+
+def _feistel(rows: str) -> str:
+    """All half rounds, one subquery each, over rows with the halves l and r."""
+    for number in range(2 * _ROUNDS):
+        half, other, modulus = ("l", "r", "wide") if number % 2 == 0 else ("r", "l", "high")
+        y = f"(({other} + k{number}) % {_PRIME})"
+        rows = f"SELECT * REPLACE (({half} + {y} * {y} % {_PRIME} * {y} % {_PRIME}) % {modulus} AS {half}) FROM ({rows})"
+    return rows
+
+
 def _study(name: str, variant: Variant, tercile: int = 0) -> dict[str, str]:
     """All tables of one study."""
     v = variant
@@ -87,10 +107,14 @@ def _study(name: str, variant: Variant, tercile: int = 0) -> dict[str, str]:
     else:
         followed = f"""
         SELECT source_id, dest_id
-        FROM (SELECT *, row_number() OVER (PARTITION BY source_id, dest_id) AS copy FROM network
-              WHERE dest_id IN (SELECT id FROM users))
-        QUALIFY row_number() OVER (PARTITION BY source_id
-                                   ORDER BY md5(concat_ws(':', source_id, dest_id, copy, {v.seed})), dest_id, copy) <= {v.friend_cap}"""
+        FROM (SELECT source_id, dest_id, copy, sum(spacing) OVER (PARTITION BY source_id, dest_id ORDER BY copy) AS place
+              FROM (SELECT source_id, dest_id, copy,
+                           -ln((('0x' || substr(md5(concat_ws(':', source_id, dest_id, copy, {v.seed})), 1, 15))::BIGINT + 1)
+                               / 1152921504606846976.0::DOUBLE) / (weight - copy + 1) AS spacing
+                    FROM (SELECT source_id, dest_id, weight, unnest(range(1, least(weight, {v.friend_cap}) + 1)) AS copy
+                          FROM (SELECT source_id, dest_id, count(*) AS weight FROM network
+                                WHERE dest_id IN (SELECT id FROM users) GROUP BY source_id, dest_id))))
+        QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY place, dest_id, copy) <= {v.friend_cap}"""
     divisor = {None: "1.0", "minmax": "max2 - min2", "variance": "var2"}[v.normalise]
     shift = {None: "0.0", "minmax": "min2", "variance": "mean2"}[v.normalise]
     base = "mean2" if v.baseline == "population" else "coalesce(bs.total / d.drawn, 0)"
@@ -116,15 +140,19 @@ def _study(name: str, variant: Variant, tercile: int = 0) -> dict[str, str]:
         WHERE t.num_of_friends > 1 AND isfinite(t.diff_score)
         GROUP BY t.user_id HAVING avg(f.wo_retweets) IS NOT NULL""",
         "drawers": "SELECT * FROM degrees" + (" WHERE id IN (SELECT user_id FROM averaged)" if name == "trust" else ""),
-        "positions": f"""
-        SELECT id, row_number() OVER (ORDER BY md5(concat_ws(':', id, {v.seed})), id) - 1 AS position FROM users""",
-        "draws": f"""
-        SELECT source_id, id AS dest_id, drawn
-        FROM (SELECT source_id, drawn, low + ('0x' || substr(md5(concat_ws(':', source_id, j, {v.seed})), 1, 15))::BIGINT
-                                             % (high - low) AS position
-              FROM (SELECT source_id, drawn, j, j * n // drawn AS low, (j + 1) * n // drawn AS high
-                    FROM (SELECT id AS source_id, least(degree, n) AS drawn, n, unnest(range(least(degree, n))) AS j
-                          FROM drawers, people))) JOIN positions USING (position)""",
+        "positions": "SELECT id, row_number() OVER (ORDER BY id) - 1 AS position FROM users",
+        "draw_keys": f"""
+        SELECT id AS source_id, least(degree, n) AS drawn, n, ceil(sqrt(n::DOUBLE))::BIGINT AS wide,
+               (n + ceil(sqrt(n::DOUBLE))::BIGINT - 1) // ceil(sqrt(n::DOUBLE))::BIGINT AS high,
+               {_round_keys(v.seed)}
+        FROM drawers, people""",
+        "draw_walk": f"""
+        SELECT *, j AS place, 0 AS step FROM (SELECT *, unnest(range(drawn)) AS j FROM draw_keys)
+        UNION ALL
+        SELECT source_id, drawn, n, wide, high, {_KEY_NAMES}, j, l * high + r AS place, step + 1 AS step
+        FROM ({_feistel("SELECT *, place // high AS l, place % high AS r FROM draw_walk WHERE step = 0 OR place >= n")})""",
+        "draws": """
+        SELECT source_id, id AS dest_id, drawn FROM draw_walk JOIN positions ON position = place WHERE step > 0 AND place < n""",
         "restricted": """
         SELECT * FROM features
         WHERE (slice < 2 AND group_id IN (SELECT id FROM users WHERE is_core))
@@ -226,7 +254,7 @@ def compose(tables: dict[str, str], query: str) -> str:
         needed |= found
         pending += [tables[name] for name in found]
     ordered = [f"{name} AS ({body})" for name, body in tables.items() if name in needed]
-    return f"WITH {', '.join(ordered)} {query}" if ordered else query
+    return f"WITH RECURSIVE {', '.join(ordered)} {query}" if ordered else query
 
 
 def _r(*names: str) -> str:

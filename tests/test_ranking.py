@@ -1,12 +1,13 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from langshift.operators.ranking import dense_index, group_rank, running_total
-from langshift.operators.sampling import draw_people
+from langshift.operators.sampling import draw_people, permuted, round_keys
 from langshift.operators.network import cap_friends, weighted
 from langshift.operators.skew import attach_small, fan_out_join, heavy_pairs, hot_keys
 
@@ -119,6 +120,62 @@ def test_draws_are_about_uniform(spark):
     assert all(abs(row["count"] - 500) < 6 * math.sqrt(500) for row in counts)
 
 
+def test_pairs_of_draws_are_about_uniform(spark):
+    """Over many drawing users every pair of people, neighbours in the order too, is drawn together alike."""
+    people, draws, drawers = 13, 4, 6000
+    users = spark.createDataFrame([(i,) for i in range(people)], "id long")
+    frame = spark.createDataFrame([(i, draws) for i in range(drawers)], "id long, degree long")
+    sets = draw_people(frame, users).groupBy("source_id").agg(F.collect_set("dest_id").alias("people")).collect()
+    assert len(sets) == drawers and all(len(row.people) == draws for row in sets)
+    pairs = Counter(pair for row in sets for pair in itertools.combinations(sorted(row.people), 2))
+    share = draws * (draws - 1) / (people * (people - 1))
+    chi2 = sum((pairs[pair] - drawers * share) ** 2 / (drawers * share * (1 - share)) for pair in itertools.combinations(range(people), 2))
+    assert len(pairs) == 78 and chi2 < 78 + 5 * math.sqrt(2 * 78)
+
+
+def test_permutations_are_permutations_of_every_size(spark):
+    rows = [(size, place) for size in [*range(1, 40), 101, 1000] for place in range(size)]
+    frame = spark.createDataFrame(rows, "size long, place long").withColumn("keys", round_keys(F.col("size"), 1))
+    got: dict[int, list] = {}
+    for row in permuted(frame, "place", "size", "keys", "to").collect():
+        got.setdefault(row["size"], []).append(row["to"])
+    assert all(sorted(places) == list(range(size)) for size, places in got.items())
+    wide = spark.range(1000).select((F.col("id") * 10**12 + 7).alias("place"), F.lit(10**15 + 3).alias("size"))
+    far = permuted(wide.withColumn("keys", round_keys(F.lit(5), 1)), "place", "size", "keys", "to").select("to").collect()
+    assert len({row["to"] for row in far}) == 1000 and all(0 <= row["to"] < 10**15 + 3 for row in far)
+    assert abs(sum(row["to"] for row in far) / 1000 / 10**15 - 0.5) < 0.06
+
+
+def test_drawing_takes_no_more_shuffles_than_the_join(spark):
+    users = spark.createDataFrame([(i,) for i in range(50)], "id long")
+    plan = draw_people(users.withColumn("degree", F.lit(3)), users)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(source_id") == 1 and "CartesianProduct" not in plan
+
+
+def test_cap_of_an_edge_with_a_huge_weight(spark):
+    edges = [(1, 1, 10**9), (1, 2, 10**9), (2, 3, 10**9), (2, 4, 1)]
+    capped = {tuple(row) for row in cap_friends(spark.createDataFrame(edges, "source_id long, dest_id long, weight long"), 10).collect()}
+    assert sum(row[2] for row in capped if row[0] == 1) == 10 and (2, 3, 10) in capped
+    many = [(source, dest, 10**9 * dest) for source in range(3000) for dest in (1, 2)]
+    drawn = cap_friends(spark.createDataFrame(many, "source_id long, dest_id long, weight long"), 3).collect()
+    of_two, total = sum(row.weight for row in drawn if row.dest_id == 2), sum(row.weight for row in drawn)
+    assert total == 9000 and abs(of_two / total - 2 / 3) < 0.02  # draws from so many copies are as good as with replacement
+
+
+def test_cap_leaves_out_each_copy_alike(spark):
+    """With 5, 3 and 1 copies and a cap of 4, the copies drawn follow the multivariate hypergeometric law."""
+    edges = [(source, dest, weight) for source in range(5000) for dest, weight in ((1, 5), (2, 3), (3, 1))]
+    capped = cap_friends(spark.createDataFrame(edges, "source_id long, dest_id long, weight long"), 4).collect()
+    drawn: dict = {}
+    for row in capped:
+        drawn.setdefault(row.source_id, {})[row.dest_id] = row.weight
+    seen = Counter(tuple(d.get(dest, 0) for dest in (1, 2, 3)) for d in drawn.values())
+    for (a, b, c), n in seen.items():
+        share = math.comb(5, a) * math.comb(3, b) * math.comb(1, c) / math.comb(9, 4)
+        assert abs(n - 5000 * share) < 5 * math.sqrt(5000 * share)
+    assert sum(seen.values()) == 5000
+
+
 def test_cap_is_a_repeatable_subset(spark):
     edges = [(1, i) for i in range(50)] + [(2, i) for i in range(5)] + [(3, 9)] * 30
     frame = weighted(spark.createDataFrame(edges, "source_id long, dest_id long"))
