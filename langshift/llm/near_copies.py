@@ -325,7 +325,8 @@ class NearCopies:
             return pa.Table.from_arrays(columns, names=["family", "class", "n", "root"])
 
         shape = f"family bigint, class {self.kind}, n int, root {self.kind}"
-        return _grid(members, self.sketch_block).groupBy("family", "low", "high").applyInArrow(run, shape).distinct()
+        tasks = _grid(members, self.sketch_block).repartition("family", "low", "high")  # else a family would stay in one task
+        return tasks.groupBy("family", "low", "high").applyInArrow(run, shape).distinct()
 
     def forest(self, alive: DataFrame) -> DataFrame:
         """(src, dst) that connect what is similar among the rows (family, class, n, root) of each family; written."""

@@ -1,34 +1,23 @@
 from collections import Counter
 
 import corpus_pipeline
-from langshift.llm import ftrl, length_buckets
-from langshift.llm.simhash_gray import fingerprint
-
+from test_near_copies import brute_components
 
-def linked(texts):
-    """Groups of positions whose fingerprints link."""
-    prints = [fingerprint(t.encode() if t is not None else None) for t in texts]
-    group = list(range(len(prints)))
-    for i in range(len(prints)):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 3 and group[i] != group[j]:
-                low, high = sorted((group[i], group[j]))
-                group = [low if g == high else g for g in group]
-    return group
+from langshift.llm import ftrl, length_buckets
 
 
 def test_near_duplicates_keep_one_of_each_group(spark, odd_docs, odd_rows):
     kept = corpus_pipeline.drop_near_duplicates(spark, odd_docs, "")
     assert kept.schema == odd_docs.schema
-    rows, group = kept.collect(), linked([r[1] for r in odd_rows])
+    rows, group = kept.collect(), brute_components([r[1] for r in odd_rows])
     assert len(rows) == len(set(group))
-    left = linked([r["text"] for r in rows])
+    left = brute_components([r["text"] for r in rows])
     assert len(set(left)) == len(rows)
 
 
 def test_near_duplicates_by_unique_ids_keep_the_smallest(spark, odd_docs, odd_rows):
     once = [r for i, r in enumerate(odd_rows[:-5])]
-    group = linked([r[1] for r in once])
+    group = brute_components([r[1] for r in once])
     kept = corpus_pipeline.drop_near_duplicates(spark, odd_docs.sparkSession.createDataFrame(once, odd_docs.schema), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({g: once[g][0] for g in sorted(group)}.values())
 
@@ -41,6 +30,14 @@ def test_mixing_repeats_rows(spark, odd_docs, odd_rows):
     assert counts.keys() <= given.keys() and all(n <= 2 * given[r] for r, n in counts.items())
 
 
+def test_columns_with_the_names_the_stages_use(spark, odd_docs, odd_rows):
+    named = odd_docs.selectExpr("*", "1 as _copies", "'m' as _Mixed", "2 as copies", "3 as component_id", "4 as member", "5 as digest", "6 as _text")
+    for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.mix_sources):
+        out = stage(spark, named, "")
+        assert out.columns == named.columns
+        assert {tuple(r)[: len(odd_rows[0])] for r in out.collect()} <= set(odd_rows)
+
+
 def test_empty_documents_pass_all_stages(spark, no_docs, folder):
     docs = no_docs
     for _, stage in corpus_pipeline.STAGES:
@@ -56,7 +53,7 @@ def test_run_equals_the_stages(spark, folder):
     clean = {r["doc_id"] for r in scores if r["score"] < ftrl.THRESHOLD}
     texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] in clean}
     ids = sorted(texts)
-    kept = {ids[g] for g in linked([texts[i] for i in ids])}
+    kept = {ids[g] for g in brute_components([texts[i] for i in ids])}
     counts = Counter(r["doc_id"] for r in rows)
     assert counts.keys() <= kept and max(counts.values()) <= 2
     words = sum(len(corpus_pipeline_words(texts[i])) for i in kept)
