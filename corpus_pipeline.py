@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from langshift.llm import ftrl, length_buckets, near_copies, pivotal
-from langshift.llm.rows import keyed
+from langshift.llm.rows import free_name, keyed
 from langshift.operators.storage import materialise
 
 
@@ -24,7 +24,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group that links by five-word Jaccard of 0.8 or more."""
+    """One document, that with the smallest doc_id, of each group that links by five-word Jaccard of 0.8 or more.
+
+    Groups of the SimHash Gray-order index are settled first; every other pair is found by exact comparison.
+    """
     rows, row = keyed(docs)
     kept = near_copies.near_copies(rows, row).where(F.col(row) == F.col("component_id")).select(row)
     return rows.join(materialise(kept, "deduplicated"), row, "left_semi").select(*docs.columns)
@@ -33,10 +36,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     rows, row = keyed(docs)
-    mixed = pivotal.mix_documents(rows, key=row).where("copies > 0")
-    mixed = materialise(mixed.select(F.col(row).alias("_mixed"), F.col("copies").alias("_copies")), "mixed")
-    taken = rows.join(mixed, F.col(row) == F.col("_mixed"))
-    again = taken.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    mixed, copies = free_name(rows, "_mixed"), free_name(rows, "_copies")
+    taken = pivotal.mix_documents(rows, key=row).where("copies > 0").select(F.col(row).alias(mixed), F.col("copies").alias(copies))
+    joined = rows.join(materialise(taken, "mixed"), F.col(row) == F.col(mixed))
+    again = joined.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies))))
     return again.select(*docs.columns)
 
 
