@@ -16,19 +16,25 @@ cosines and slopes, so raw scores are used and only intercept and error are divi
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from langshift.functions.columns import snapped
 from langshift.operators.skew import fan_out_join
+from langshift.operators.storage import materialise
 
 RANK_EPS = 1e-10
 BLOCK_TOPICS = 512  # about so many scores travel in one row
 LINKS_PER_TASK = 20_000  # links of one user that a task gathers
+MAP_SIDE_BYTES = 64 << 20  # packed scores that are copied to every task
+ROW_BYTES, SCORE_BYTES = 64, 40  # of a packed row in memory, without and for each of its scores
 NOISE = 1e-28  # square of a double's relative rounding, with room
 
 
 Hot = tuple[DataFrame | None, DataFrame | None]
+Parts = tuple[DataFrame | None, DataFrame | None]  # heavy and light
 
 
 def packed_scores(cells: DataFrame, topic_count: int) -> DataFrame:
@@ -40,12 +46,58 @@ def packed_scores(cells: DataFrame, topic_count: int) -> DataFrame:
     )
 
 
-def neighbour_sums(links: DataFrame, packed: DataFrame, shares: list[str], hot: Hot = (None, None)) -> DataFrame:
+def map_side_people(followed: DataFrame, packed: DataFrame, max_bytes: int = MAP_SIDE_BYTES) -> tuple[DataFrame | None, DataFrame | None]:
+    """The packed scores to copy to every task, and the rest: (heavy, light); None for a part that is empty.
+
+    Heavy are the people whom most links in `followed` (dest_id) lead to, as many as surely fit `max_bytes`: the
+    longest array is measured and counts for all.  So the copies have a proven bound, whatever the number of people.
+    """
+    facts = packed.agg(
+        F.count(F.lit(1)).alias("rows"), F.max(F.size("scores")).alias("longest"), F.max("block").alias("last_block")
+    ).first()
+    if not facts["rows"]:
+        return None, packed
+    row_bytes = ROW_BYTES + SCORE_BYTES * facts["longest"]
+    if facts["rows"] * row_bytes <= max_bytes:
+        return packed, None
+    people = max_bytes // (row_bytes * (facts["last_block"] + 1))
+    if not people:
+        return None, packed
+    most = followed.groupBy("dest_id").agg(F.count(F.lit(1)).alias("_links")).orderBy(F.desc("_links"), "dest_id").limit(people)
+    chosen = materialise(most.select("dest_id"), "most-followed")
+    heavy = materialise(packed.join(chosen, "dest_id", "left_semi"), "heavy-scores")
+    return heavy, packed.join(chosen, "dest_id", "left_anti")
+
+
+def neighbour_sums(
+    links: DataFrame, heavy: DataFrame | None, light: DataFrame | None, shares: list[str], hot: Hot = (None, None)
+) -> DataFrame:
     """Each link joined with the reference scores of the user it leads to, one row per link and topic.
 
     `links` are (source_id, dest_id, *shares); a share is the part this link has in an average of the
     source user.  Friends and drawn people are links with different shares, so one join serves both.
 
+    Scores of the most-followed people are at hand in every task (`map_side_people`): their links are not moved at
+    all, and an aggregation by user and topic combines them where they lie.  Links to others are shuffled.
+    """
+    share = F.greatest(*shares) if len(shares) > 1 else F.col(shares[0])
+    parts = [(F.col("cell.s2") * F.col(share)).alias(share) for share in shares]
+
+    def unpacked(joined: DataFrame) -> DataFrame:
+        rows = joined.select(F.col("source_id").alias("id"), *shares, F.explode("scores").alias("cell"))
+        return rows.select("id", F.col("cell.topic").alias("topic"), *parts)
+
+    found = []
+    if heavy is not None:
+        found.append(unpacked(links.join(F.broadcast(heavy), "dest_id")))
+    if light is not None:
+        found.append(unpacked(_met_links(links, light, share, hot)))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _met_links(links: DataFrame, packed: DataFrame, share: Column, hot: Hot) -> DataFrame:
+    """The links with packed scores, those of a user and block of topics in one task.
+
     The join and the shuffle behind it move one row per link and block of topics.  The arrays are unpacked
     where all links of a user have met, so that an aggregation combines them before anything moves again.
     A user with very many links, which its shares tell, is dealt to several tasks.
@@ -53,13 +105,9 @@ def neighbour_sums(links: DataFrame, packed: DataFrame, shares: list[str], hot:
     joined = fan_out_join(
         links, packed, "dest_id", left_hot=hot[0], right_hot=hot[1], left_spread=("source_id",), right_spread=("block",)
     )
-    share = F.greatest(*shares) if len(shares) > 1 else F.col(shares[0])
     pieces = F.ceil(1 / (share * LINKS_PER_TASK))
     piece = F.coalesce(F.pmod(F.xxhash64("dest_id"), pieces), F.lit(0))
-    met = joined.repartition("source_id", "block", piece)
-    rows = met.select(F.col("source_id").alias("id"), *shares, F.explode("scores").alias("cell"))
-    parts = [(F.col("cell.s2") * F.col(share)).alias(share) for share in shares]
-    return rows.select("id", F.col("cell.topic").alias("topic"), *parts)
+    return joined.repartition("source_id", "block", piece)
 
 
 def topic_averages(neighbours: DataFrame, share: str, name: str) -> DataFrame:

@@ -39,10 +39,11 @@ class Study:
         scores: DataFrame | None = None,
         min_hot_rows: int = MIN_HOT_ROWS,
         broadcast_rows: int = BROADCAST_ROWS,
+        map_side_bytes: int = influence_ops.MAP_SIDE_BYTES,
     ):
         self._users, self.network, self.features, self.variant = users, network, features, variant
         self.scores = scores
-        self.min_hot_rows, self.broadcast_rows = min_hot_rows, broadcast_rows
+        self.min_hot_rows, self.broadcast_rows, self.map_side_bytes = min_hot_rows, broadcast_rows, map_side_bytes
 
     @classmethod
     def of_accounts(cls, accounts: DataFrame, network: DataFrame, features: DataFrame, variant: Variant, **options):
@@ -208,18 +209,21 @@ class Study:
         return friends.unionByName(drawn)
 
     @cached_property
-    def _hot_friends(self) -> influence_ops.Hot:
-        """Users whose followers times blocks of topics make very many rows."""
-        return heavy_pairs(self.edges.select("dest_id"), self._packed.select("dest_id"), "dest_id", self.min_hot_rows)
+    def _packed(self) -> influence_ops.Parts:
+        """Reference scores of varying topics, packed: those copied to every task, and the rest that links are shuffled to."""
+        packed = influence_ops.packed_scores(self._numbered(self.reference_cells), self.topic_count)
+        followed = self.edges.select("dest_id")
+        return influence_ops.map_side_people(followed, materialise(packed, "packed"), self.map_side_bytes)
 
     @cached_property
-    def _packed(self) -> DataFrame:
-        """Reference scores of varying topics, packed for the join with links."""
-        packed = influence_ops.packed_scores(self._numbered(self.reference_cells), self.topic_count)
-        return materialise(packed, "packed")
+    def _hot_friends(self) -> influence_ops.Hot:
+        """Users of the shuffled rest whose followers times blocks of topics make very many rows."""
+        if self._packed[1] is None:
+            return None, None
+        return heavy_pairs(self.edges.select("dest_id"), self._packed[1].select("dest_id"), "dest_id", self.min_hot_rows)
 
     def _neighbours(self, links: DataFrame, shares: list[str]) -> DataFrame:
-        return influence_ops.neighbour_sums(links, self._packed, shares, self._hot_friends)
+        return influence_ops.neighbour_sums(links, *self._packed, shares, self._hot_friends)
 
     @cached_property
     def friend_averages(self) -> DataFrame:

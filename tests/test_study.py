@@ -125,13 +125,40 @@ def test_an_inactive_user_changes_the_population_mean(spark):
 def test_hot_keys_and_large_vocabulary_change_nothing(spark):
     inputs = random_inputs(9)
     plain = make(spark, inputs)
-    split = make(spark, inputs, min_hot_rows=3, broadcast_rows=0)
+    split = make(spark, inputs, min_hot_rows=3, broadcast_rows=0, map_side_bytes=0)
     assert split._hot_friends != (None, None)
     assert_close(by_topic(split.cosines, *COSINES), by_topic(plain.cosines, *COSINES), 1e-12)
-    fits = [make(spark, inputs, "ols_population", **options).fits for options in ({}, {"min_hot_rows": 3, "broadcast_rows": 0})]
+    fits = [make(spark, inputs, "ols_population", **options).fits for options in ({}, {"min_hot_rows": 3, "broadcast_rows": 0, "map_side_bytes": 0})]
     assert_close(by_topic(fits[1], *FIT), by_topic(fits[0], *FIT), 1e-9)
 
 
+@pytest.mark.parametrize("variant", ["minmax_population", "capped_random"])
+def test_scores_copied_to_tasks_and_shuffled_ones_add_up(spark, variant):
+    """With room for none, some and all of the most-followed people the scores are the same."""
+    inputs = random_inputs(11)
+    whole = make(spark, inputs, variant)
+    assert whole._packed[1] is None
+    expected = by_topic(whole.cosines, *COSINES)
+    none = make(spark, inputs, variant, map_side_bytes=0)
+    assert none._packed[0] is None
+    some = make(spark, inputs, variant, map_side_bytes=3000)
+    heavy, light = some._packed
+    chosen = {row.dest_id for row in heavy.collect()}
+    links = {row.dest_id: row["count"] for row in some.edges.groupBy("dest_id").count().collect()}
+    others = {row.dest_id for row in light.collect()}
+    assert chosen and others and not chosen & others
+    assert min(links[person] for person in chosen) >= max(links.get(person, 0) for person in others)
+    for study in (none, some):
+        assert_close(by_topic(study.cosines, *COSINES), expected, 1e-12)
+
+
+def test_copied_scores_leave_links_where_they_lie(spark):
+    """No exchange of the joined arrays: only sums by user and topic move."""
+    study = make(spark, random_inputs(11))
+    plan = study.friend_averages._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning(source_id" not in plan.split("Generate explode(scores")[0]
+
+
 def test_partition_count_does_not_matter(spark):
     inputs = random_inputs(10)
     expected = by_topic(make(spark, inputs, "capped_random").cosines, *COSINES)
