@@ -25,7 +25,7 @@ from langshift.functions.columns import snapped
 from langshift.operators.skew import fan_out_join
 from langshift.operators.storage import materialise
 
-RANK_EPS = 1e-10
+RANK_EPS = 1e-24  # square of the angle between the regressors up to which they count as collinear
 BLOCK_TOPICS = 512  # about so many scores travel in one row
 LINKS_PER_TASK = 20_000  # links of one user that a task gathers
 MAP_SIDE_BYTES = 64 << 20  # packed scores that are copied to every task
@@ -230,30 +230,63 @@ def cosines(sums: DataFrame) -> DataFrame:
     return both.withColumn("cos_diff", snapped(F.col("cos_friends") - F.col("cos_base")))
 
 
-def least_squares(sums: DataFrame) -> DataFrame:
+def residual_sums(support: DataFrame, sums: DataFrame, baseline_flag: int, attach) -> DataFrame:
+    """Moments of what is left of the baseline once the friends' part is taken out of it, row by row: (topic, left_*).
+
+    This is the second column of an orthogonal triangle of the regressors.  It is formed from differences, not from
+    products, so regressors that are nearly collinear keep the digits that their normal equations would lose.  All sums
+    can be merged; `attach` joins the topics' means to the support rows, and users without one have the same residual.
+    """
+    n = F.col("n")
+    centre = sums.select(
+        "topic", "base_avg", n, "support", (F.col("f") / n).alias("mean_f"), (F.col("r") / n).alias("mean_r"),
+        F.when(_spread("sff", "ff") > 0, F.col("sfr") / F.col("sff")).otherwise(F.lit(0.0)).alias("slope"),
+    )
+    f = F.col("x") + F.col("friend_flag") * F.col("base_avg") - F.col("mean_f")
+    r = F.col("y") + F.col("base_flag") * F.col("base_avg") - F.col("mean_r")
+    rows = attach(support, centre.drop("n", "support")).select("topic", "tt", f.alias("f"), (r - F.col("slope") * f).alias("e"))
+    own = rows.groupBy("topic").agg(
+        F.sum("e").alias("e"), F.sum(F.col("e") * F.col("e")).alias("ee"), F.sum(F.col("e") * F.col("f")).alias("ef"),
+        F.sum(F.col("e") * F.col("tt")).alias("et"),
+    )
+    rest, constant = F.col("n") - F.col("support"), F.lit(baseline_flag) * F.col("base_avg") - F.col("mean_r") + F.col("slope") * F.col("mean_f")
+    both = centre.withColumn("_e", constant).join(own, "topic", "left").fillna(0.0, ["e", "ee", "ef", "et"])
+    return both.select(
+        "topic", "slope", (F.col("e") + rest * F.col("_e")).alias("left_e"), (F.col("ee") + rest * F.col("_e") * F.col("_e")).alias("left_ee"),
+        (F.col("ef") - rest * F.col("_e") * F.col("mean_f")).alias("left_ef"), F.col("et").alias("left_et"),
+    )
+
+
+def _spread(name: str, raw: str) -> Column:
+    """A centred square, zero where it is no more than the rounding of the values themselves."""
+    return F.when(F.col(name) > NOISE * F.col(raw), F.col(name)).otherwise(F.lit(0.0))
+
+
+def least_squares(sums: DataFrame, residuals: DataFrame) -> DataFrame:
     """Fit tt ~ b_friends * tf + b_base * tr + c per topic, in raw scores.
 
-    The 2 x 2 normal equations are solved directly; collinear regressors get the shortest solution.  A regressor
-    whose spread is no more than the rounding of its own values counts as constant.
+    The triangle of the centred regressors is solved from below: the baseline's coefficient from what `residual_sums`
+    left of it, then that of the friends.  Its last entry decides the rank: collinear regressors get the shortest
+    solution.  A regressor whose spread is no more than the rounding of its own values counts as constant.
     """
-    spreads = {name: F.when(F.col(name) > NOISE * F.col(raw), F.col(name)).otherwise(F.lit(0.0)) for name, raw in (("sff", "ff"), ("srr", "rr"))}
-    centred = sums.withColumns(spreads).select(
-        "*",
-        (F.col("sff") * F.col("srr") - F.col("sfr") * F.col("sfr")).alias("det"),
+    joined = sums.withColumns({"sff": _spread("sff", "ff"), "srr": _spread("srr", "rr")}).join(residuals, "topic")
+    again = F.when(F.col("sff") > 0, F.col("left_ef") / F.col("sff")).otherwise(F.lit(0.0))
+    centred = joined.withColumn("again", again).select(
+        *sums.columns,
+        (F.col("slope") + F.col("again")).alias("slope"),
+        (F.col("left_ee") - F.col("again") * F.col("left_ef")).alias("see"),
+        (F.col("left_et") - F.col("left_e") * F.col("t") / F.col("n") - F.col("again") * F.col("stf")).alias("sxt"),
         (F.col("sff") + F.col("srr")).alias("trace"),
     )
-    full_rank = F.col("det") > RANK_EPS * F.col("sff") * F.col("srr")
+    full_rank = (F.col("sff") > 0) & (F.col("see") > RANK_EPS * F.col("srr"))
     some_rank = F.col("trace") > 0
 
     def solve(regular: Column, shortest: Column) -> Column:
-        return (
-            F.when(full_rank, regular / F.col("det"))
-            .when(some_rank, shortest / (F.col("trace") * F.col("trace")))
-            .otherwise(F.lit(0.0))
-        )
+        short = F.when(some_rank, shortest / (F.col("trace") * F.col("trace"))).otherwise(F.lit(0.0))
+        return F.when(full_rank, regular).otherwise(short)
 
-    b_friends = solve(F.expr("stf * srr - str * sfr"), F.expr("sff * stf + sfr * str"))
-    b_base = solve(F.expr("str * sff - stf * sfr"), F.expr("sfr * stf + srr * str"))
+    b_friends = solve(F.expr("stf / sff - slope * sxt / see"), F.expr("sff * stf + sfr * str"))
+    b_base = solve(F.expr("sxt / see"), F.expr("sfr * stf + srr * str"))
     return centred.withColumn("b_friends", b_friends).withColumn("b_base", b_base).select(
         "feat",
         "topic",

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from langshift.operators import idsets
 from langshift.operators.ranking import group_rank, running_total
 from langshift.operators.skew import MIN_HOT_ROWS, fan_out_join, heavy_pairs
+from langshift.operators.storage import materialise
 
 # Crawl counters of the seed accounts, and the columns a core account keeps.
 SEED_COUNTER = 74
@@ -35,9 +37,17 @@ def reached_by(network: DataFrame, accounts: DataFrame, seeds: Column) -> DataFr
 
 
 def ring_reach_count(network: DataFrame, accounts: DataFrame, low: int = 3, high: int = 74) -> DataFrame:
-    """How many accounts those with low < counter < high follow."""
-    reached = reached_by(network, accounts, (F.col("counter") > low) & (F.col("counter") < high))
-    return reached.agg(F.count_distinct("dest_id").alias("reached"))
+    """How many accounts those with low < counter < high follow.
+
+    With dense ids the accounts followed and the accounts there are meet as bitmaps, one row for a range of ids.
+    """
+    seeds = (F.col("counter") > low) & (F.col("counter") < high)
+    if not idsets.is_dense(accounts, "id"):
+        return reached_by(network, accounts, seeds).agg(F.count_distinct("dest_id").alias("reached"))
+    sources = accounts.where(seeds).select(F.col("id").alias("source_id"))
+    followed = idsets.id_set(network.join(sources, "source_id", "left_semi"), "dest_id")
+    sets = materialise(followed, "followed-set"), materialise(idsets.id_set(accounts, "id"), "account-set")
+    return accounts.sparkSession.range(1).select(idsets.overlap(*sets).alias("reached"))
 
 
 def core_members(network: DataFrame, accounts: DataFrame, max_counter: int = SEED_COUNTER) -> DataFrame:

@@ -280,6 +280,17 @@ STUDY_QUERIES: dict[str, tuple[str, int, str]] = {
     "users_core": (_MAIN, 0, "SELECT id FROM users WHERE is_core"),
     "users_kept": (_MAIN, 0, "SELECT id, degree FROM kept"),
     "users_loaded": (_MAIN, 0, "SELECT id FROM loaded"),
+    "users_loaded_set": (_MAIN, 0, "SELECT id FROM loaded"),
+    "user_set_sizes": (
+        _MAIN, 0,
+        """SELECT (SELECT count(*) FROM users) AS all_users, (SELECT count(*) FROM users WHERE is_core) AS core_users,
+                  (SELECT count(*) FROM loaded) AS loaded_users, (SELECT count(*) FROM users WHERE NOT is_core) AS periphery,
+                  (SELECT count(*) FROM users WHERE is_core AND id IN (SELECT dest_id FROM edges)) AS core_followed""",
+    ),
+    "followers_bucketed": (
+        _MAIN, 0,
+        """SELECT dest_id, count(*) AS followers FROM network WHERE dest_id IN (SELECT id FROM users) GROUP BY dest_id""",
+    ),
     "users_periphery": (_MAIN, 0, "SELECT id FROM users WHERE NOT is_core"),
     "user_degree": (_MAIN, 0, "SELECT id, degree FROM degrees"),
     "user_index": (_MAIN, 0, "SELECT id, is_core, row_number() OVER (ORDER BY is_core DESC, id) - 1 AS user_index FROM users"),
@@ -391,10 +402,14 @@ PREPARATION_QUERIES: dict[str, str] = {
     "tercile_sizes": "SELECT user_id, count(*) AS messages FROM tercile GROUP BY user_id",
     "message_parts": "SELECT message_id, user_id, half::BIGINT AS half, third::BIGINT AS third FROM parts",
     "accounts_core": "SELECT id, username, friends_count, statuses_count FROM core_accounts",
+    "accounts_inserted": "SELECT id, username, friends_count, statuses_count FROM core_accounts",
     "accounts_last_message": "SELECT * FROM enriched",
+    "accounts_last_merged": "SELECT * FROM enriched",
     "network_core": "SELECT source_id, dest_id FROM core_edges",
     "edges_last_message": """
         SELECT source_id, dest_id, last_message_id, last_nrt_message_id FROM core_edges JOIN enriched ON id = source_id""",
+    "edges_last_bucketed": """
+        SELECT source_id, dest_id, last_message_id, last_nrt_message_id FROM core_edges JOIN enriched ON id = source_id""",
     "friend_messages": "SELECT * FROM fan_out",
     "friend_message_key_dups": """
         SELECT count(*) AS duplicate_keys

@@ -286,15 +286,21 @@ class Study:
     def fits(self) -> DataFrame:
         """Least-squares coefficients, intercept and error per topic.
 
-        The errors need the coefficients, which need all support rows, so these become a stage table.
+        The coefficients need the means of the support rows, and the errors the coefficients, so these rows become a
+        stage table.
         """
         if self.scores is not None:
             raise ValueError("the least-squares estimator is defined for account studies only")
         support = materialise(self.support, "support")
         sums = materialise(influence_ops.moments(self._with_baseline(support), self.topics, self._flags), "moments")
-        solved = materialise(influence_ops.least_squares(sums), "fits")
         flag = 1 if self.variant.baseline == "population" else 0
-        return influence_ops.fit_errors(support, solved, flag, lambda rows, table: self.attach_topics(rows, table, "topic", "id"))
+
+        def attach(rows: DataFrame, table: DataFrame) -> DataFrame:
+            return self.attach_topics(rows, table, "topic", "id")
+
+        residuals = influence_ops.residual_sums(support, sums, flag, attach)
+        solved = materialise(influence_ops.least_squares(sums, residuals), "fits")
+        return influence_ops.fit_errors(support, solved, flag, attach)
 
     @cached_property
     def result(self) -> DataFrame:

@@ -10,17 +10,20 @@ from pyspark.sql import functions as F
 from langshift.fixtures import VARIANTS, Fixture, StoredFixture
 from langshift.functions.columns import rounded
 from langshift.operators import features as feature_ops
+from langshift.operators import idsets, insert, last_messages, prep
 from langshift.operators import influence as influence_ops
 from langshift.operators import network as network_ops
-from langshift.operators import prep
 from langshift.operators import trust as trust_ops
 from langshift.operators import users as user_ops
 from langshift.operators.storage import materialise, stage_path
 from langshift.plans.study import Study
 from langshift.sources import sinks
+from langshift.sources.bucketed import bucketed
 from langshift.sources.tables import TRUST_COLUMNS, require_columns
 
 FIRST_USER = 7
+BATCHES = 4
+ENRICHED = ("id", "last_message_id", "last_message_date", "last_nrt_message_id", "last_nrt_message_date")
 THRESHOLD = 0.002
 
 
@@ -81,6 +84,27 @@ def users_loaded(fx: Fixture) -> DataFrame:
     return study(fx).loaded
 
 
+def users_loaded_set(fx: Fixture) -> DataFrame:
+    """The loaded users as the members of the union of two bitmap sets."""
+    s = study(fx)
+    return idsets.members(idsets.union(idsets.id_set(user_ops.core_of(s.users), "id"), idsets.id_set(s.edges, "dest_id")))
+
+
+def user_set_sizes(fx: Fixture) -> DataFrame:
+    """Sizes of the user sets and of what they share, from bitmaps alone."""
+    s = study(fx)
+    everybody = materialise(idsets.id_set(s.users, "id"), "set-all")
+    core = materialise(idsets.id_set(user_ops.core_of(s.users), "id"), "set-core")
+    followed = materialise(idsets.id_set(s.edges, "dest_id"), "set-followed")
+    return fx.spark.range(1).select(
+        idsets.size(everybody).alias("all_users"),
+        idsets.size(core).alias("core_users"),
+        idsets.size(idsets.union(core, followed)).alias("loaded_users"),
+        (idsets.size(everybody) - idsets.overlap(everybody, core)).alias("periphery"),
+        idsets.overlap(core, followed).alias("core_followed"),
+    )
+
+
 def users_periphery(fx: Fixture) -> DataFrame:
     return user_ops.periphery_of(study(fx).users)
 
@@ -251,14 +275,13 @@ def _core_accounts(fx: Fixture) -> DataFrame:
     return prep.core_accounts(fx.accounts, _members(fx))
 
 
-def _stored_core(fx: Fixture) -> tuple[DataFrame, DataFrame]:
-    """Core members and core accounts, written once for several readers."""
-    members = materialise(_members(fx), "members")
-    return members, materialise(prep.core_accounts(fx.accounts, members), "core-accounts")
+def _stored_core(fx: Fixture) -> DataFrame:
+    """Core accounts, written once for several readers; their ids are those of the core members."""
+    return materialise(_core_accounts(fx), "core-accounts")
 
 
-def _enriched_accounts(fx: Fixture, members: DataFrame, accounts: DataFrame) -> DataFrame:
-    own = prep.messages_of(fx.messages_nrt, members, "dest_id")
+def _enriched_accounts(fx: Fixture, accounts: DataFrame) -> DataFrame:
+    own = prep.messages_of(fx.messages_nrt, accounts, "id")
     return prep.with_last_messages(accounts, own, fx.messages)
 
 
@@ -316,9 +339,33 @@ def accounts_core(fx: Fixture) -> DataFrame:
 
 
 def accounts_last_message(fx: Fixture) -> DataFrame:
-    return _enriched_accounts(fx, *_stored_core(fx)).select(
-        "id", "last_message_id", "last_message_date", "last_nrt_message_id", "last_nrt_message_date"
-    )
+    return _enriched_accounts(fx, _stored_core(fx)).select(*ENRICHED)
+
+
+def accounts_last_merged(fx: Fixture) -> DataFrame:
+    """The same from tables that batches of messages were merged into: late ones, one twice, with a compaction between."""
+    accounts, stored = _stored_core(fx), []
+    own = prep.messages_of(fx.messages_nrt, accounts, "id")
+    for name, messages in (("nrt", own), ("all", fx.messages)):
+        path, target = stage_path(fx.spark, f"last-{name}"), stage_path(fx.spark, f"last-{name}-compact")
+        batch = F.pmod(F.col("message_id"), F.lit(BATCHES))
+        last_messages.add_messages(messages.where(batch > 1), path)
+        last_messages.compact(fx.spark, path, target)
+        for number in (0, 1, 0):
+            last_messages.add_messages(messages.where(batch == number), target)
+        stored.append(last_messages.read_last(fx.spark, target))
+    return last_messages.with_stored_last(accounts, *stored).select(*ENRICHED)
+
+
+def accounts_inserted(fx: Fixture) -> DataFrame:
+    """Core accounts, inserted in batches of the crawl's order into one table that keeps the first row of an id."""
+    path, accounts = stage_path(fx.spark, "inserted"), fx.accounts
+    cuts = accounts.agg(F.percentile_approx("counter", [0.4, 0.8], 1000)).first()[0] or [0, 0]
+    rows = materialise(accounts.join(_members(fx).select(F.col("dest_id").alias("id")), "id", "left_semi"), "core-rows")
+    counter = F.col("counter")
+    for number, batch in enumerate((counter <= cuts[0], (counter > cuts[0]) & (counter <= cuts[1]), counter > cuts[1])):
+        insert.insert_ignore(fx.spark, rows.where(batch), path, "id", "counter", exists=number > 0)
+    return fx.spark.read.parquet(path).select("id", "username", "friends_count", "statuses_count")
 
 
 def network_core(fx: Fixture) -> DataFrame:
@@ -326,9 +373,22 @@ def network_core(fx: Fixture) -> DataFrame:
 
 
 def edges_last_message(fx: Fixture) -> DataFrame:
-    members, accounts = _stored_core(fx)
+    accounts = _stored_core(fx)
     edges = prep.core_network(fx.network, accounts)
-    return prep.edges_with_last_messages(edges, _enriched_accounts(fx, members, accounts))
+    return prep.edges_with_last_messages(edges, _enriched_accounts(fx, accounts))
+
+
+def edges_last_bucketed(fx: Fixture) -> DataFrame:
+    """The same over edges stored in buckets of their source, which neither the core filter nor the enrichment moves."""
+    accounts = _stored_core(fx)
+    edges = prep.core_network(bucketed(fx.network, "source_id"), accounts)
+    return prep.edges_with_last_messages(edges, _enriched_accounts(fx, accounts))
+
+
+def followers_bucketed(fx: Fixture) -> DataFrame:
+    """Followers of every account in the study, counted over edges stored in buckets of their destination."""
+    edges = network_ops.to_known(bucketed(fx.network, "dest_id"), study(fx).users)
+    return edges.groupBy("dest_id").agg(F.count(F.lit(1)).alias("followers"))
 
 
 def friend_messages(fx: Fixture) -> DataFrame:
@@ -353,8 +413,7 @@ def vocab_lines(fx: Fixture) -> DataFrame:
 def positions_appended(fx: Fixture) -> DataFrame:
     """Message positions appended to one table in two halves and read again."""
     path, positions = stage_path(fx.spark, "positions"), materialise(message_positions(fx), "positions-whole")
-    for half in (0, 1):
-        sinks.append_rows(positions.where(F.col("user_id") % 2 == half), path)
+    sinks.append_in_parts(positions, "user_id", 2, path)
     return fx.spark.read.parquet(path)
 
 
@@ -378,7 +437,7 @@ def influence_of_nobody(fx: Fixture) -> DataFrame:
 QUERIES: dict[str, Callable[[Fixture], DataFrame]] = {
     function.__name__: function
     for function in (
-        users_all, users_core, users_kept, users_loaded, users_periphery, user_degree, user_index,
+        users_all, users_core, users_kept, users_loaded, users_loaded_set, user_set_sizes, users_periphery, user_degree, user_index,
         edges_core, edges_capped, random_people,
         features_loaded, features_by_tercile, features_var_norm, features_minmax_norm,
         vocab, topic_dictionary, unknown_topics, slice_topic_stats, topics_kept,
@@ -387,7 +446,8 @@ QUERIES: dict[str, Callable[[Fixture], DataFrame]] = {
         pipeline_counts, trust_scan, trust_core, trust_friend_avg, trust_diffs,
         ring_reach_count, core_members, core_messages, message_positions, position_bounds, first_positions,
         user_first_messages, first_tercile_messages, first_tercile_by_bounds, tercile_sizes, message_parts,
-        accounts_core, accounts_last_message, network_core, edges_last_message,
+        accounts_core, accounts_inserted, accounts_last_message, accounts_last_merged, network_core, edges_last_message,
+        edges_last_bucketed, followers_bucketed,
         friend_messages, friend_message_key_dups,
         vocab_lines, positions_appended, accounts_reshaped, influence_of_nobody,
     )

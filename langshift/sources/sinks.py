@@ -40,6 +40,13 @@ def append_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def append_in_parts(rows: DataFrame, column: str, parts: int, path: str) -> None:
+    """The same in several appends that every row is in one of, whatever the number in `column`; a null is in the first."""
+    part = F.coalesce(F.pmod(F.col(column), F.lit(parts)), F.lit(0))
+    for number in range(parts):
+        append_rows(rows.where(part == number), path)
+
+
 def table_like(table: DataFrame, add: dict[str, str] | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
     """An empty table with the schema of another, with columns added (name -> type) and dropped."""
     fields = [field for field in table.schema.fields if field.name not in drop]
