@@ -3,17 +3,27 @@
 A stage table cuts the lineage (a lost executor costs no recomputation of earlier stages), is computed
 once however often it is read, keeps column pruning and filter pushdown, and tells the planner its real
 size, so that the choice between a broadcast and a shuffled join rests on a measured number.
+
+Stage tables stay until the folder is emptied, or until the block ends that `stage_tables` opened:
+
+    with stage_tables(spark):
+        export_study(Study.of_accounts(...), folder)
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
+_written: ContextVar[tuple[list[str], ...]] = ContextVar("stage_paths", default=())
+
 
 def stage_folder(spark: SparkSession) -> str:
     """The folder the session names; only a local session may fall back to a temporary one."""
@@ -28,7 +38,10 @@ def stage_folder(spark: SparkSession) -> str:
 
 def stage_path(spark: SparkSession, name: str) -> str:
     """A new path in the stage folder."""
-    return f"{stage_folder(spark)}/langshift-{name}-{uuid.uuid4().hex}"
+    path = f"{stage_folder(spark)}/langshift-{name}-{uuid.uuid4().hex}"
+    for paths in _written.get():
+        paths.append(path)
+    return path
 
 
 def materialise(frame: DataFrame, name: str = "stage") -> DataFrame:
@@ -37,3 +50,21 @@ def materialise(frame: DataFrame, name: str = "stage") -> DataFrame:
     path = stage_path(spark, name)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+@contextmanager
+def stage_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Remove the stage tables that are written inside the block when it ends; gives their paths.
+
+    Nothing else in the folder is touched.  Frames built on them must have been used or written elsewhere by then.
+    """
+    paths: list[str] = []
+    token = _written.set((*_written.get(), paths))
+    try:
+        yield paths
+    finally:
+        _written.reset(token)
+        jvm, settings = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in paths:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(settings).delete(place, True)

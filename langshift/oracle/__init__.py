@@ -390,6 +390,7 @@ PREPARATION_QUERIES: dict[str, str] = {
     "core_members": "SELECT dest_id FROM members",
     "core_messages": "SELECT message_id, user_id, created_at, is_rt FROM core_messages",
     "message_positions": "SELECT * FROM positions",
+    "positions_after_append": "SELECT * FROM positions",
     "positions_appended": "SELECT * FROM positions",
     "accounts_reshaped": "SELECT id, level::BIGINT AS level, counter, counter <> id AS is_copy FROM accounts",
     "position_bounds": "SELECT user_id, min_, max_ FROM bounds",

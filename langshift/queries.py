@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from langshift.fixtures import VARIANTS, Fixture, StoredFixture
 from langshift.functions.columns import rounded
 from langshift.operators import features as feature_ops
-from langshift.operators import idsets, insert, last_messages, prep
+from langshift.operators import idsets, insert, last_messages, positioned, prep
 from langshift.operators import influence as influence_ops
 from langshift.operators import network as network_ops
 from langshift.operators import trust as trust_ops
@@ -23,6 +23,7 @@ from langshift.sources.tables import TRUST_COLUMNS, require_columns
 
 FIRST_USER = 7
 BATCHES = 4
+LATE = 7  # of the last two digits of a message's id
 ENRICHED = ("id", "last_message_id", "last_message_date", "last_nrt_message_id", "last_nrt_message_date")
 THRESHOLD = 0.002
 
@@ -301,6 +302,14 @@ def message_positions(fx: Fixture) -> DataFrame:
     return prep.message_positions(fx.messages_nrt).select("message_id", "user_id", "created_at", "position")
 
 
+def positions_after_append(fx: Fixture) -> DataFrame:
+    """Message positions of a table that one message in a hundred came to later."""
+    messages, late = fx.messages_nrt, F.pmod(F.col("message_id"), F.lit(100)) == LATE
+    stored = positioned.write_positions(messages.where(~late), stage_path(fx.spark, "positioned"))
+    stored, _ = positioned.append_positions(stored, messages.where(late))
+    return stored.read().select("message_id", "user_id", "created_at", "position")
+
+
 def position_bounds(fx: Fixture) -> DataFrame:
     return prep.position_bounds(fx.messages_nrt)
 
@@ -444,7 +453,7 @@ QUERIES: dict[str, Callable[[Fixture], DataFrame]] = {
         friend_topic_avg, random_topic_avg, population_topic_avg, topic_deltas, topic_cosine,
         topic_ols, friend_coefficient, influence_summary, influence_above_threshold, ols_export_lines,
         pipeline_counts, trust_scan, trust_core, trust_friend_avg, trust_diffs,
-        ring_reach_count, core_members, core_messages, message_positions, position_bounds, first_positions,
+        ring_reach_count, core_members, core_messages, message_positions, positions_after_append, position_bounds, first_positions,
         user_first_messages, first_tercile_messages, first_tercile_by_bounds, tercile_sizes, message_parts,
         accounts_core, accounts_inserted, accounts_last_message, accounts_last_merged, network_core, edges_last_message,
         edges_last_bucketed, followers_bucketed,

@@ -1,10 +1,12 @@
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from langshift.operators import idsets, influence, insert, last_messages, network, prep
+from langshift.operators import idsets, influence, insert, last_messages, network, positioned, prep
+from langshift.operators.storage import materialise, stage_tables
 from langshift.sources import sinks
 from langshift.sources.bucketed import bucketed
 
@@ -162,3 +164,47 @@ def test_collinear_regressors_get_the_shortest_solution(spark):
     sums = influence.moments(attach(support, topics.select("topic", "base_avg")), topics, flags)
     fit = influence.least_squares(sums, influence.residual_sums(support, sums, 0, attach)).first()
     assert np.allclose((fit.b_friends, fit.b_base), (0.6, 1.2), rtol=1e-9)
+
+
+def test_appended_messages_are_numbered_in_their_ranges_only(spark, tmp_path):
+    draw = random.Random(12)
+    rows = [(i, draw.choice([3, *(draw.randrange(-40, 200) for _ in range(2))]), f"m{i}") for i in draw.sample(range(10_000), 600)]
+    schema = "message_id long, user_id long, text string"
+    late = [r for r in rows if r[1] in (3, 77, 199) and r[0] % 2] + [(20_000, 500, "beyond"), (20_001, -99, "before")]
+    base = [r for r in rows if r not in late]
+    stored = positioned.write_positions(spark.createDataFrame(base, schema), str(tmp_path / "p"), ranges=8)
+    files = lambda: {f: os.stat(f).st_mtime_ns for f in map(str, (tmp_path / "p").glob("range=*/*.parquet"))}
+    before = files()
+    stored, touched = positioned.append_positions(stored, spark.createDataFrame(late[:-1], schema))
+    stored, more = positioned.append_positions(stored, spark.createDataFrame(late[-1:], schema))
+    kept = {f for f, t in files().items() if before.get(f) == t}
+    ranges = len({os.path.dirname(f) for f in before})
+    assert more == [0] and 0 < len({*touched, 0}) < ranges and len(kept) == ranges - len({*touched, 0})
+    expected = {key[1]: at for at, key in enumerate(sorted((user, message) for message, user, _ in base + late), 1)}
+    assert {r["message_id"]: r["position"] for r in stored.read().collect()} == expected
+    assert sorted(r["message_id"] for r in stored.of_user(77).collect()) == sorted(r[0] for r in base + late if r[1] == 77)
+    plan = stored.of_user(77)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [range" in plan or "range#" in plan.split("PartitionFilters:")[1][:80]
+    assert sorted(r["position"] for r in stored.stretch(100, 130).collect()) == list(range(100, 131))
+    assert positioned.append_positions(stored, spark.createDataFrame([], schema))[1] == []
+
+
+def test_positions_of_nothing(spark, tmp_path):
+    none = spark.createDataFrame([], "message_id long, user_id long")
+    stored = positioned.write_positions(none, str(tmp_path / "p"))
+    stored, touched = positioned.append_positions(stored, spark.createDataFrame([(5, 1), (4, 1)], "message_id long, user_id long"))
+    assert touched == [0] and sorted(tuple(r) for r in stored.read().select("message_id", "position").collect()) == [(4, 1), (5, 2)]
+
+
+def test_stage_tables_are_removed_with_their_block(spark):
+    outside = materialise(spark.range(3), "outside")
+    with stage_tables(spark) as outer:
+        materialise(spark.range(4), "a")
+        with stage_tables(spark) as inner:
+            kept = materialise(spark.range(5), "b").count()
+        assert kept == 5 and len(inner) == 1 and len(outer) == 2 and os.path.exists(outer[0]) and not os.path.exists(inner[0])
+    assert not any(map(os.path.exists, outer)) and outside.count() == 3
+    with pytest.raises(ZeroDivisionError), stage_tables(spark) as failed:
+        materialise(spark.range(1), "c")
+        raise ZeroDivisionError
+    assert not os.path.exists(failed[0])
