@@ -3,12 +3,15 @@
 A notice of a given length may hold a bounded number of edits.  Split into one more piece than edits, at least one
 piece must stand in the text unchanged, so an exact multi-pattern search for all pieces finds every place where a
 notice can be.  Only there the regex library's bounded-error matching verifies the whole notice and tells where it
-stands and how many edits it holds.  Of overlapping matches the one with fewer edits counts.
+stands and how many edits it holds.  A match starts and ends where words do, and the words that tell licences apart
+(version numbers, `by`, `nc`, `nd`, `sa`) must stand in it unedited, in order, and no others of their kind: an edit may blur
+a notice but not turn it into another.  Of overlapping matches the one with fewer edits counts.
 
 Texts are compared as words: A-Z lower-cased, all other ASCII but digits and letters between words.
 
 Defined results: a null text has no words; empty and blank texts have no matches; very long texts are searched whole;
-repeated rows are scanned alike; an empty table gives an empty result; other columns are ignored.
+repeated rows are scanned alike; an empty table gives an empty result; other columns, also those with names of the
+result, are ignored.
 """
 
 from __future__ import annotations
@@ -47,6 +50,14 @@ NOTICES = (
 EDIT_SHARE = 12  # one edit per so many characters
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 CACHED = 10_000
+ROOM = 32  # characters behind a place where a notice can be, so that the end of its last word shows
+#: Words that tell licences of one family apart, beside numbers.
+TELLING = frozenset(("by", "nc", "nd", "sa"))
+
+
+def telling(text: str) -> list[str]:
+    """The words of a text that must stand as they are."""
+    return [word for word in text.split() if word in TELLING or word.isdigit()]
 
 
 @dataclass(frozen=True)
@@ -65,9 +76,10 @@ class Scanner:
         self.notices = notices
         self.edits = [len(text) // EDIT_SHARE for text, _ in notices]
         self.verify = [
-            regex.compile(f"(?b)(?:{regex.escape(text)}){{e<={e}}}") for (text, _), e in zip(notices, self.edits, strict=True)
+            regex.compile(rf"(?b)(?<!\S)(?:{regex.escape(text)}){{e<={e}}}(?!\S)") for (text, _), e in zip(notices, self.edits, strict=True)
         ]
-        self.seen: dict[tuple[int, str], tuple[int, int, int] | None] = {}
+        self.telling = [telling(text) for text, _ in notices]
+        self.seen: dict[tuple[int, int, str], tuple[int, int, int] | None] = {}
         seeds: dict[str, list[tuple[int, int]]] = {}
         for number, ((text, _), edits) in enumerate(zip(notices, self.edits, strict=True)):
             cuts = [round(k * len(text) / (edits + 1)) for k in range(edits + 2)]
@@ -78,13 +90,15 @@ class Scanner:
             self.seeds.add_word(seed, (len(seed), places))
         self.seeds.make_automaton()
 
-    def _verified(self, number: int, window: str) -> tuple[int, int, int] | None:
-        """(start, end, edits) of the notice in the window."""
-        known = (number, window)
+    def _verified(self, number: int, window: str, before: int) -> tuple[int, int, int] | None:
+        """(start, end, edits) of the notice in the window, of which the first `before` characters only stand before it."""
+        known = (number, before, window)
         if known not in self.seen:
             if len(self.seen) >= CACHED:
                 self.seen = {}
-            found = self.verify[number].search(window)
+            found = self.verify[number].search(window, before)
+            if found and telling(found.group()) != self.telling[number]:
+                found = None
             self.seen[known] = (*found.span(), sum(found.fuzzy_counts)) if found else None
         return self.seen[known]
 
@@ -98,10 +112,13 @@ class Scanner:
                 if start == tried.get(number):
                     continue
                 tried[number] = start
-                low = max(0, start - edits)
-                match = self._verified(number, text[low : start + whole + edits])
+                low, high = max(0, start - edits), start + whole + edits
+                before = min(low, 1)  # the character before tells whether a word starts
+                match = self._verified(number, text[low - before : high + ROOM], before)
                 if match:
-                    found.append((match[2], low + match[0], low + match[1], number))
+                    first, last = low - before + match[0], low - before + match[1]
+                    if last == len(text) or text[last] == " ":
+                        found.append((match[2], first, last, number))
         return self._words(text, self._apart(found))
 
     def _apart(self, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
