@@ -2,8 +2,8 @@
 
 Integer vectors that are equal form one class.  Each class is approximated by one byte per component: the cell that
 holds it, one number wide near zero and an eighth to a quarter of its value further out.  Queries meet the
-approximations in blocks: from the cells follow a lower and an upper bound of every score.  A candidate stays only if
-its upper bound reaches the k-th largest lower bound of its query.  Exact vectors are then read in bound order: first
+approximations in blocks: from the cells follow a lower and an upper bound of every score.  A first scan finds the k-th
+largest lower bound of each query over all blocks, a second returns the candidates whose upper bound reaches it.  Exact vectors are then read in bound order: first
 those of the k largest upper bounds, which fixes a k-th exact score, and after them only those whose upper bound still
 reaches it.  Nothing else can be among the first k, so the result is exact.
 
@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from langshift.operators.ranking import dense_index
 from langshift.operators.storage import materialise
 
 SCALE = 64.0
 QUERY_ROWS = 1024  # of a block of queries
 CLASS_ROWS = 8192  # of a block of approximations
 CHUNK = 2048  # approximations compared at once
+LANES = 64  # blocks whose lower bounds one group brings together first
 GROUP = 1024  # ids or id lists that one group of the gathering tree merges
 _EXACT = float(1 << 53)
 
@@ -83,20 +85,31 @@ def gather_classes(rows: DataFrame, keep: int) -> DataFrame:
 
 
 def _pack(classes: DataFrame, rows: int, approximate: bool) -> DataFrame:
-    """Blocks of at most `rows` classes of one length: their numbers and their vectors or approximations, as bytes."""
+    """Blocks of `rows` classes of one length (fewer where a task ends): their numbers and vectors or approximations, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def block(dim: int, full: bool) -> Iterator[pa.RecordBatch]:
+            names, values = (np.concatenate(part) for part in zip(*held.pop(dim), strict=True))
+            end = len(names) // rows * rows if full else len(names)
+            for first in range(0, end, rows):
+                piece = slice(first, min(first + rows, end))
+                data = {"dim": [dim], "names": [names[piece].tobytes()], "data": [values[piece].tobytes()]}
+                yield pa.RecordBatch.from_pydict(data, schema=out)
+            if end < len(names):
+                held[dim] = [(names[end:], values[end:])]
+
         for batch in batches:
             dims = batch.column("dim").to_numpy()
-            for dim in np.unique(dims):
+            for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
-                names = part.column("class").to_numpy()
                 ints = part.column("ints").flatten().to_numpy().reshape(-1, dim)
-                values = encode(ints) if approximate else ints
-                for first in range(0, len(names), rows):
-                    piece = slice(first, first + rows)
-                    data = {"dim": [int(dim)], "names": [names[piece].tobytes()], "data": [values[piece].tobytes()]}
-                    yield pa.RecordBatch.from_pydict(data, schema=out)
+                held.setdefault(dim, []).append((part.column("class").to_numpy(), encode(ints) if approximate else ints))
+                if sum(len(names) for names, _ in held[dim]) >= rows:
+                    yield from block(dim, full=True)
+        for dim in list(held):
+            yield from block(dim, full=False)
 
     out = pa.schema([("dim", pa.int32()), ("names", pa.binary()), ("data", pa.binary())])
     return classes.select("class", "dim", "ints").mapInArrow(run, "dim int, names binary, data binary")
@@ -112,48 +125,80 @@ def _bounds(asks: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.nda
     return centre - swing, centre + swing
 
 
-def _scan(keep: int):
+def _chunks(row: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first place, lower bounds, upper bounds) of a block of approximations for a block of queries, chunk by chunk."""
     low_edge, high_edge = cell_edges()
+    asks = np.frombuffer(row["q_data"], np.int64).reshape(len(row["q_names"]) // 8, -1).astype(np.float64)
+    codes = np.frombuffer(row["data"], np.int8).reshape(len(row["names"]) // 8, -1)
+    for first in range(0, len(codes), CHUNK):
+        place = codes[first : first + CHUNK].astype(np.int64) + 127
+        yield first, *_bounds(asks, low_edge[place], high_edge[place])
+
+
+def _largest(values: np.ndarray, keep: int) -> np.ndarray:
+    """The `keep` largest of each row, in any order."""
+    return np.partition(values, values.shape[1] - keep, axis=1)[:, values.shape[1] - keep :] if values.shape[1] > keep else values
 
+
+def _lower_bounds(keep: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Candidates of each joined pair (block of queries, block of approximations)."""
+        """The `keep` largest lower bounds of each query of each joined pair (block of queries, block of approximations)."""
+        for batch in batches:
+            for row in batch.to_pylist():
+                best = np.full((len(row["q_names"]) // 8, keep), -np.inf)
+                for _, low, _ in _chunks(row):
+                    best = _largest(np.concatenate((best, low), axis=1), keep)
+                yield pa.RecordBatch.from_pydict({"q_block": [row["q_block"]], "part": [row["lane"] // LANES], "best": [best.tobytes()]})
+
+    return run
+
+
+def _merge_bounds(keep: int):  # noqa: ANN202
+    def run(parts: pa.Table) -> pa.Table:
+        best = [np.frombuffer(raw, np.float64).reshape(-1, keep) for raw in parts["best"].to_pylist()]
+        merged = _largest(np.concatenate(best, axis=1), keep)
+        return pa.table({"q_block": parts["q_block"][:1], "best": [merged.tobytes()]})
+
+    return run
+
+
+def _reaching(keep: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Classes of each joined pair of blocks whose upper bound reaches the query's floor."""
         for batch in batches:
             for row in batch.to_pylist():
                 q_names, c_names = np.frombuffer(row["q_names"], np.int64), np.frombuffer(row["names"], np.int64)
-                asks = np.frombuffer(row["q_data"], np.int64).reshape(len(q_names), -1).astype(np.float64)
-                codes = np.frombuffer(row["data"], np.int8).reshape(len(c_names), -1)
-                floor, left = np.full(len(q_names), -np.inf), []
-                for first in range(0, len(c_names), CHUNK):
-                    place = codes[first : first + CHUNK].astype(np.int64) + 127
-                    low, high = _bounds(asks, low_edge[place], high_edge[place])
-                    if low.shape[1] > keep:
-                        at = low.shape[1] - keep
-                        floor = np.maximum(floor, np.partition(low, at, axis=1)[:, at])
+                floor = np.frombuffer(row["best"], np.float64).reshape(-1, keep).min(axis=1)
+                for first, _, high in _chunks(row):
                     x, y = np.nonzero(high >= floor[:, None])
-                    left.append((x, first + y, low[x, y], high[x, y]))
-                x, y, low, high = (np.concatenate(parts) for parts in zip(*left, strict=True))
-                still = high >= floor[x]  # the floor has risen since the first chunks
-                columns = (q_names[x[still]], c_names[y[still]], low[still], high[still])
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "class", "low", "high"])
+                    columns = (q_names[x], c_names[first + y], high[x, y])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "class", "high"])
 
     return run
 
 
 def candidates(classes: DataFrame, keep: int) -> DataFrame:
-    """(query, class, high) that can be among the first `keep` of the query, from the approximations alone."""
+    """(query, class, high) that can be among the first `keep` of the query, from the approximations alone.
+
+    A first scan brings each query's `keep` largest lower bounds together, in two steps of bounded groups; the least of
+    them is a floor that holds for the whole table.  The second scan returns only what reaches it.
+    """
     queries = _pack(classes.where("asked"), QUERY_ROWS, approximate=False)
     queries = queries.select("dim", F.col("names").alias("q_names"), F.col("data").alias("q_data"))
-    blocks = materialise(_pack(classes, CLASS_ROWS, approximate=True), "va-approximations")
+    queries = materialise(queries.withColumn("q_block", F.monotonically_increasing_id()), "va-queries")
+    blocks = materialise(_pack(classes, CLASS_ROWS, approximate=True).withColumn("_at", F.monotonically_increasing_id()), "va-approximations")
     lanes = max(1, blocks.count())
-    blocks = blocks.withColumn("lane", F.pmod(F.xxhash64("names"), F.lit(lanes)))
-    queries = queries.withColumn("lane", F.explode(F.expr(f"sequence(0L, {lanes - 1}L)")))
-    pairs = blocks.join(queries, ["dim", "lane"]).select("q_names", "q_data", "names", "data")
-    found = materialise(pairs.mapInArrow(_scan(keep), "query long, class long, low double, high double"), "va-candidates")
-    by_low = Window.partitionBy("query").orderBy(F.col("low").desc())
-    floor = found.withColumn("place", F.row_number().over(by_low)).where(F.col("place") == keep)
-    floor = floor.select("query", F.col("low").alias("floor"))
-    reached = found.join(floor, "query", "left").where("floor is null or high >= floor")
-    return materialise(reached.select("query", "class", "high"), "va-reached")
+    blocks = dense_index(blocks, [F.col("_at")], "lane").drop("_at")
+
+    def pairs(asking: DataFrame) -> DataFrame:
+        every = asking.withColumn("lane", F.explode(F.expr(f"sequence(0L, {lanes - 1}L)")))
+        return blocks.join(every, ["dim", "lane"]).drop("dim")
+
+    found = pairs(queries).mapInArrow(_lower_bounds(keep), "q_block long, part long, best binary")
+    for group in (["q_block", "part"], ["q_block"]):
+        found = found.groupBy(*group).applyInArrow(_merge_bounds(keep), "q_block long, best binary")
+    asking = queries.join(materialise(found, "va-floors"), "q_block")
+    return materialise(pairs(asking).mapInArrow(_reaching(keep), "query long, class long, high double"), "va-reached")
 
 
 def _exact(pairs: DataFrame, classes: DataFrame) -> DataFrame:
