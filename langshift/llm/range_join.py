@@ -1,15 +1,18 @@
 """Near-duplicate vectors by an exact metric range join around pivots.
 
 Vectors are compared on the unit sphere, where a cosine threshold is a distance.  Equal vectors of a label are one
-class.  Pivots partition each label's classes into cells; a class also goes as a guest to every cell in which, by the
-triangle inequality, a member could lie within the distance: its distance to the pivot exceeds that of its own pivot
-by at most twice the range, and the cell's radius by at most the range.  Members within half the range of their
-pivot all link to each other by the same inequality, so a dense group of near copies costs one sum, not its pairs.
-All other pairs meet in exactly one block of their home cell's grid of (members, candidates), and cells are joined
-independently.  A block reports counts and a spanning forest, never all pairs.
-
-Pivots are a bounded sample thinned to lie further apart than the range, so their number and the copies of a class
-stay bounded; every class is joined whatever the sample.
+class.  Every label has at least one pivot, and pivots partition the label's classes into cells.  A class also goes as
+a guest to every cell in which a member could lie within the range: its distance to the pivot exceeds the cell's radius
+by at most the range (triangle inequality), and it lies no further than the range behind the plane that halves the
+way between its own pivot and that one (a member of the cell lies on the other side).  Members within half the range of
+their pivot all link to each other, so a dense group of near copies costs one sum, not its pairs.  All other pairs meet
+in exactly one block of their home cell's grid of (members, candidates), and cells are joined independently.  In a
+block both sides stand in order of their distance to the pivot, and a member is compared only with those whose distance
+differs by the range at most.  A block reports counts and a spanning forest, never all pairs.
+
+Pivots are a bounded sample thinned to lie further apart than the range; every class is joined whatever the sample.
+How many cells a class visits depends on the vectors: few where they form groups, many where all lie about equally
+far apart, as unit vectors in many dimensions do, since no distance then excludes much.
 
 Defined results: a vector that is null, empty, zero or holds a null or non-finite component, or has no label, links
 with nothing; vectors of different length do not link; repeated rows and repeated ids are vectors of their own; an
@@ -34,7 +37,8 @@ CELL_ROWS = 2048  # classes per pivot that the sample aims at
 MAX_PIVOTS = 4096
 QUERY_ROWS = 1024  # of a block
 TARGET_ROWS = 4096
-SLACK = 1e-9  # distances are kept this much on the safe side
+WINDOW_ROWS = 128  # members compared with one stretch of candidates
+SLACK = 1e-7  # distances are kept this much on the safe side
 _CELL = ("label", "dim", "cell")
 
 
@@ -66,10 +70,16 @@ Pivots = dict[tuple[object, int], tuple[np.ndarray, np.ndarray]]
 def choose_pivots(classes: DataFrame, rows: int, apart: float) -> Pivots:
     """(label, dim) -> cell numbers and unit vectors: a sample by hash, no two of a label within `apart`.
 
-    At most about 2 * MAX_PIVOTS rows come to the driver, whatever the number of classes.
+    One class of each label that has several (of the largest labels, if there are more than MAX_PIVOTS), and one in
+    about CELL_ROWS of all.  At most about 3 * MAX_PIVOTS rows come to the driver, whatever the number of classes.
     """
     share = max(CELL_ROWS, math.ceil(rows / MAX_PIVOTS))
-    drawn = classes.where(F.pmod(F.xxhash64("embedding"), F.lit(share)) == 0).limit(2 * MAX_PIVOTS).collect()
+    place = F.xxhash64("embedding")
+    one = F.min_by(F.struct("node", "embedding"), F.struct(place, "node"))
+    spaces = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"), one.alias("one")).where("n > 1")
+    first = spaces.orderBy(F.desc("n"), "label", "dim").limit(MAX_PIVOTS).select("label", "dim", "one.node", "one.embedding").collect()
+    more = classes.where(F.pmod(place, F.lit(share)) == 0).select("label", "dim", "node", "embedding").limit(2 * MAX_PIVOTS).collect()
+    drawn = {row["node"]: row for row in [*first, *more]}.values()
     chosen: dict[tuple[object, int], list[np.ndarray]] = {}
     for row in sorted(drawn, key=lambda r: r["node"]):
         unit = _unit(np.array([row["embedding"]], np.float64))
@@ -83,8 +93,8 @@ def choose_pivots(classes: DataFrame, rows: int, apart: float) -> Pivots:
     return result
 
 
-def _to_pivots(batch: pa.RecordBatch, pivots: Pivots) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows of the batch, cell numbers, distances) per label and length; a label without pivots has one cell, -1."""
+def _to_pivots(batch: pa.RecordBatch, pivots: Pivots) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of the batch, cell numbers, pivots, distances) per label and length; a label without pivots has one cell, -1."""
     labels, dims = batch.column("label").to_pylist(), batch.column("dim").to_pylist()
     spaces: dict[tuple[object, int], list[int]] = {}
     for i, space in enumerate(zip(labels, dims, strict=True)):
@@ -92,7 +102,7 @@ def _to_pivots(batch: pa.RecordBatch, pivots: Pivots) -> Iterator[tuple[np.ndarr
     for (label, dim), rows in spaces.items():
         unit = _unit(_matrix(batch.column("embedding").take(pa.array(rows)), dim))
         cells, vectors = pivots.get((label, dim)) or (np.array([-1]), np.eye(1, dim))
-        yield np.array(rows), cells, _distances(unit, vectors)
+        yield np.array(rows), cells, vectors, _distances(unit, vectors)
 
 
 def _radii(classes: DataFrame, pivots: Pivots) -> dict[int, float]:
@@ -100,7 +110,7 @@ def _radii(classes: DataFrame, pivots: Pivots) -> dict[int, float]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, cells, far in _to_pivots(batch, pivots):
+            for _, cells, _, far in _to_pivots(batch, pivots):
                 yield pa.RecordBatch.from_pydict({"cell": cells[far.argmin(axis=1)], "far": far.min(axis=1)})
 
     homes = classes.select("label", "dim", "embedding").mapInArrow(run, "cell long, far double")
@@ -111,20 +121,23 @@ def _assigned(classes: DataFrame, pivots: Pivots, reach: float) -> DataFrame:
     """Every class at home in its nearest cell, and as a guest wherever a partner could be at home."""
     radii = _radii(classes, pivots)
     schema = classes.select("label", "dim", "node", "copies", "embedding").schema
-    schema = schema.add("cell", "long").add("home", "boolean").add("ball", "boolean")
+    schema = schema.add("cell", "long").add("home", "boolean").add("ball", "boolean").add("far", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, cells, far in _to_pivots(batch, pivots):
+            for rows, cells, vectors, far in _to_pivots(batch, pivots):
                 nearest = far.argmin(axis=1)
                 own = far[np.arange(len(rows)), nearest]
                 radius = np.array([radii.get(int(c), math.inf) for c in cells])
-                goes = (far <= own[:, None] + 2 * reach + SLACK) & (far <= radius + reach + SLACK)
+                between = _distances(vectors, vectors)[nearest]
+                behind = (far**2 - own[:, None] ** 2) <= 2 * between * (reach + SLACK) + SLACK
+                goes = behind & (far <= radius + reach + SLACK)
                 goes[np.arange(len(rows)), nearest] = True
                 who, where = np.nonzero(goes)
                 home = where == nearest[who]
                 out = batch.take(pa.array(rows[who]))
-                for name, column in (("cell", cells[where]), ("home", home), ("ball", home & (own[who] <= reach / 2 - SLACK))):
+                ball = home & (own[who] <= reach / 2 - SLACK)
+                for name, column in (("cell", cells[where]), ("home", home), ("ball", ball), ("far", far[who, where])):
                     out = out.append_column(name, pa.array(column))
                 yield out
 
@@ -132,25 +145,30 @@ def _assigned(classes: DataFrame, pivots: Pivots, reach: float) -> DataFrame:
     return materialise(narrow.mapInArrow(run, schema), "range-cells")
 
 
-def _compare(least: float) -> Callable[[pa.Table], pa.Table]:
+def _compare(least: float, reach: float) -> Callable[[pa.Table], pa.Table]:
     """Links between the queries and the targets of one block."""
 
     def run(table: pa.Table) -> pa.Table:
-        asks = table["asks"].to_numpy()
+        asks, far = table["asks"].to_numpy(), table["far"].to_numpy()
         dim = table["dim"][0].as_py()
         node, copies = table["node"].to_numpy(), table["copies"].to_numpy().astype(np.float64)
         home, ball = table["home"].to_numpy(), table["ball"].to_numpy()
-        q, t = np.flatnonzero(asks), np.flatnonzero(~asks)
+        by_far = np.argsort(far, kind="stable")
+        q, t = by_far[asks[by_far]], by_far[~asks[by_far]]
         names, place = np.unique(node, return_inverse=True)
         links, forest = np.zeros(len(names)), Forest(len(names))
-        if len(q) and len(t):
-            unit = _unit(_matrix(table["embedding"], dim))
-            linked = (unit[q] @ unit[t].T >= least) & (node[q][:, None] != node[t][None, :])
+        unit = _unit(_matrix(table["embedding"], dim)) if len(q) and len(t) else None
+        for at in range(0, len(q) if len(t) else 0, WINDOW_ROWS):
+            part = q[at : at + WINDOW_ROWS]
+            low = np.searchsorted(far[t], far[part[0]] - reach - SLACK)
+            high = np.searchsorted(far[t], far[part[-1]] + reach + SLACK, "right")
+            near = t[low:high]
+            linked = (unit[part] @ unit[near].T >= least) & (node[part][:, None] != node[near][None, :])
             x, y = np.nonzero(linked)
-            np.add.at(links, place[q[x]], copies[t[y]])
-            back = ball[q[x]] & home[t[y]]  # ball members are never targets, so their partners learn of them here
-            np.add.at(links, place[t[y[back]]], copies[q[x[back]]])
-            forest.merge(place[q[x]], place[t[y]])
+            np.add.at(links, place[part[x]], copies[near[y]])
+            back = ball[part[x]] & home[near[y]]  # ball members are never targets, so their partners learn of them here
+            np.add.at(links, place[near[y[back]]], copies[part[x[back]]])
+            forest.merge(place[part[x]], place[near[y]])
         counted, joined = np.flatnonzero(links), np.flatnonzero(forest.label != np.arange(len(names)))
         none = pa.nulls(len(counted), pa.int64())
         return pa.table({
@@ -189,12 +207,12 @@ def range_links(classes: DataFrame, rows: int, least: float) -> DataFrame:
     placed = members.join(grid, [*_CELL])
     block = F.pmod(F.xxhash64("node"), F.col("across")).cast("int")
     bank = F.pmod(F.xxhash64("node", F.lit(1)), F.col("down")).cast("int")
-    kept = [*_CELL, "node", "copies", "home", "ball", "embedding"]
+    kept = [*_CELL, "node", "copies", "home", "ball", "far", "embedding"]
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     queries = placed.where("home").select(*kept, F.lit(True).alias("asks"), block.alias("block"), every("down").alias("bank"))
     targets = placed.where(~target).select(*kept, F.lit(False).alias("asks"), every("across").alias("block"), bank.alias("bank"))
     blocks = queries.unionByName(targets).groupBy(*_CELL, "block", "bank")
-    found = blocks.applyInArrow(_compare(least), "src long, dst long, links long")
+    found = blocks.applyInArrow(_compare(least, reach), "src long, dst long, links long")
     return materialise(found.unionByName(in_ball).unionByName(star), "range-links")
 
 

@@ -87,3 +87,27 @@ def test_components(spark):
             parent[max(a, b)] = min(a, b)
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "src long, dst long")).collect()}
     assert got == {x: root(x) for x in parent}
+
+
+@pytest.mark.parametrize(("groups", "spread", "most"), [(12, 0.02, 1.3), (60, 0.02, 3.5), (60, 1.0, 12.0)])
+def test_copies_of_a_class(spark, monkeypatch, groups, spread, most):
+    """Vectors in as many groups as pivots visit about one cell, in more groups some, and all far apart up to every cell of their label."""
+    monkeypatch.setattr(range_join, "CELL_ROWS", 64)
+    draw = np.random.default_rng(7)
+    middles = draw.normal(size=(groups, 16))
+    rows = [(i % 3, 16, i, 1, (middles[i % groups] + spread * draw.normal(size=16)).tolist()) for i in range(1800)]
+    classes = spark.createDataFrame(rows, "label int, dim int, node long, copies long, embedding array<double>")
+    reach = math.sqrt(2 - 2 * 0.93)
+    pivots = range_join.choose_pivots(classes, 1800, reach)
+    assert sorted(pivots) == [(0, 16), (1, 16), (2, 16)]
+    members = range_join._assigned(classes, pivots, reach)
+    cells = sum(len(numbers) for numbers, _ in pivots.values()) / 3
+    assert members.where("home").count() == 1800
+    copies = members.count() / 1800
+    assert copies <= min(most, cells), (copies, cells)
+
+
+def test_every_label_of_a_small_table_has_a_pivot(spark):
+    rows = [(label, 2, 10 * label + i, 1, [1.0, float(i)]) for label in range(5) for i in range(4 if label else 1)]
+    classes = spark.createDataFrame(rows, "label int, dim int, node long, copies long, embedding array<double>")
+    assert sorted(label for label, _ in range_join.choose_pivots(classes, len(rows), 0.3)) == [1, 2, 3, 4]
