@@ -17,7 +17,7 @@ from langshift.queries import QUERIES
 TABLES = ("customer", "orders", "lineitem", "part")
 CHECKED = [
     *PREPARATION_QUERIES,
-    "users_all", "users_core", "users_loaded", "users_periphery", "user_index", "edges_core", "edges_capped",
+    "users_all", "users_loaded_set", "user_set_sizes", "followers_bucketed", "users_core", "users_loaded", "users_periphery", "user_index", "edges_core", "edges_capped",
     "random_people", "features_loaded", "features_by_tercile", "features_minmax_norm", "topic_dictionary",
     "slice_topic_stats", "topic_deltas", "topic_influence", "topic_influence_trust", "topic_ols",
     "ols_export_lines", "influence_above_threshold", "pipeline_counts", "trust_diffs",
