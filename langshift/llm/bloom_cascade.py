@@ -5,25 +5,32 @@ through, level 2 the listed keys that level 1 lets through, and so on over the c
 lets nothing wrong through.  A key is listed exactly when the first level that rejects it is an odd one (or the last
 level that accepts it an even one), so each row is decided by expressions alone: no join, and no error.
 
-The filters reach the tasks as scalar subqueries.  They take about six bits per key and level and their size is known
-from counts before they are built: beyond `limit_bytes` the listed keys are joined instead, which is exact as well.
+The filters reach the tasks as scalar subqueries.  They take six bits per encoded key and level, so that their size is
+known from counts before they are built.  Beyond `limit_bytes` the universe is cut by a hash of the key into as many
+parts as keep the filters of each within it: the rows are written once, a folder a part, and every part is decided in a
+job of its own by its own cascade, so no task ever holds more than one part's filters, and rows are not shuffled.
 
 Defined results: a null url or one without `://` has an empty host and path and follows no rule; the empty host is a
-key like any other; repeated rows are judged alike; an empty table gives an empty result; other columns are ignored.
+key like any other, and so is a very long one; a null key is not listed; repeated rows are judged alike; an empty table
+gives an empty result; `judge_urls` ignores other columns and `mark_listed` keeps them, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from langshift.operators.storage import materialise
+from langshift.llm.rows import free_name
+from langshift.operators.storage import materialise, stage_path
 
 BITS_PER_KEY = 6
 HASHES = 4
+PASSED = (1 - math.exp(-HASHES / BITS_PER_KEY)) ** HASHES  # share of other keys that a level lets through
+MARGIN = 1.25  # over the expected size of a part's filters
 WORD = 64
 LIMIT_BYTES = 64 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -88,20 +95,13 @@ def _level(keys: DataFrame, rows: int, number: int) -> Level:
 
 
 class Cascade:
-    """Exact membership for every key of the universe (key, listed); a key is listed if any of its rows says so."""
+    """Exact membership for every key of a written universe of distinct keys (key, listed), by its filters."""
 
-    def __init__(self, universe: DataFrame, limit_bytes: int = LIMIT_BYTES):
-        keys = universe.groupBy("key").agg(F.max("listed").alias("listed"))
-        self.keys = materialise(keys.where("key is not null"), "cascade-keys")
+    def __init__(self, keys: DataFrame):
         self.levels: list[Level] = []
-        self.listed: DataFrame | None = None
-        encode, other = self.keys.where("listed").select("key"), self.keys.where("not listed").select("key")
-        rows, spent = encode.count(), 0
+        encode, other = keys.where("listed").select("key"), keys.where("not listed").select("key")
+        rows = encode.count()
         while rows:
-            spent += rows * BITS_PER_KEY // 8
-            if spent > limit_bytes:
-                self.listed = self.keys.where("listed").select("key", F.lit(True).alias("listed"))
-                return
             level = _level(encode, rows, len(self.levels))
             self.levels.append(level)
             wrong = materialise(other.where(level.accepts(F.col("key"))), "cascade-wrong")
@@ -114,13 +114,43 @@ class Cascade:
             answer = F.when(level.accepts(key), answer).otherwise(F.lit(level.number % 2 == 1))
         return answer
 
-    def mark(self, rows: DataFrame, key: str, name: str) -> DataFrame:
-        """Add a boolean column that tells which rows' keys are listed."""
-        if self.listed is None:
-            return rows.withColumn(name, self.contains(F.col(key)))
-        listed = self.listed.select(F.col("key").alias("_key"), F.col("listed").alias(name))
-        joined = rows.join(listed, F.col(key) == F.col("_key"), "left").drop("_key")
-        return joined.withColumn(name, F.coalesce(name, F.lit(False)))
+
+def distinct_keys(universe: DataFrame) -> DataFrame:
+    """The universe (key, listed) written with one row a key; a key is listed if any of its rows says so."""
+    keys = universe.where("key is not null").groupBy("key").agg(F.max(F.coalesce("listed", F.lit(False))).alias("listed"))
+    return materialise(keys, "cascade-keys")
+
+
+def parts_within(keys: DataFrame, limit_bytes: int) -> int:
+    """Parts in which the filters of distinct keys (key, listed) take at most `limit_bytes` each."""
+    counts = keys.agg(F.count_if("listed").alias("listed"), F.count_if(~F.col("listed")).alias("others")).first()
+    encoded = (counts["listed"] + PASSED * counts["others"]) / (1 - PASSED)
+    return max(1, math.ceil(MARGIN * encoded * BITS_PER_KEY / 8 / limit_bytes))
+
+
+def _in_folders(rows: DataFrame, key: str, parts: int, name: str) -> tuple[DataFrame, str]:
+    """The rows written to a folder for each part of the keys, and the column that selects a folder."""
+    part = free_name(rows, "_part")
+    number = F.pmod(F.xxhash64(F.col(key), F.lit(-1)), F.lit(parts)).cast("int")
+    placed, path = rows.withColumn(part, number), stage_path(rows.sparkSession, name)
+    placed.write.partitionBy(part).parquet(path)
+    return rows.sparkSession.read.schema(placed.schema).parquet(path), part
+
+
+def mark_listed(rows: DataFrame, universe: DataFrame, key: str, name: str, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
+    """Add a boolean column that tells which rows' keys the universe (key, listed) lists; it holds all keys of the rows."""
+    keys = distinct_keys(universe)
+    parts = parts_within(keys, limit_bytes)
+    if parts == 1:
+        return rows.withColumn(name, Cascade(keys).contains(F.col(key)))
+    stored, part = _in_folders(rows, key, parts, "cascade-rows")
+    keys, key_part = _in_folders(keys, "key", parts, "cascade-parts")
+    marked = []
+    for number in range(parts):
+        cascade = Cascade(keys.where(F.col(key_part) == number))
+        own = stored.where(F.col(part) == number).drop(part)
+        marked.append(materialise(own.withColumn(name, cascade.contains(F.col(key))), "cascade-marked"))
+    return reduce(DataFrame.unionAll, marked)
 
 
 def judge_urls(
@@ -137,8 +167,8 @@ def judge_urls(
     """
     host, path = host_and_path(F.col(url))
     split = pages.select(F.col(key), host.alias("host"), path.alias("path"))
-    cascade = Cascade(split.select(F.col("host").alias("key")).distinct().withColumn("listed", listed), limit_bytes)
+    universe = split.select(F.col("host").alias("key")).distinct().withColumn("listed", listed)
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
-    judged = cascade.mark(split, "host", "_listed").withColumn("rule", rule)
+    judged = mark_listed(split, universe, "host", "_listed", limit_bytes).withColumn("rule", rule)
     own = F.when(F.col("_listed"), F.lit("block")).otherwise(F.lit("allow"))
     return judged.withColumn("verdict", F.coalesce(verdict, own)).drop("_listed")

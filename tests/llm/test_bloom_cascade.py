@@ -7,7 +7,7 @@ from urllib.parse import quote
 
 from pyspark.sql import functions as F
 
-from langshift.llm.bloom_cascade import RULES, Cascade, host_and_path, judge_urls
+from langshift.llm.bloom_cascade import RULES, Cascade, distinct_keys, host_and_path, judge_urls, mark_listed, parts_within
 
 ODD = [
     "https://a.example.net/en/1?q=1", "http://EXAMPLE.com/de/x#y", "http://example.com", "ftp://x.org/fr/", "http://x.org/fr", None, "",
@@ -37,30 +37,51 @@ def test_cascade_is_exact(spark, tmp_path):
     keys = [quote("".join(draw.choices("abcdefghij", k=9))) for _ in range(3000)]
     listed = set(draw.sample(keys, 400)) | {keys[0]}
     rows = [(k, k in listed) for k in keys] * 2
-    cascade = Cascade(spark.createDataFrame(rows, "key string, listed boolean").repartition(4))
-    assert len(cascade.levels) >= 2
+    universe = spark.createDataFrame(rows, "key string, listed boolean").repartition(4)
+    assert len(Cascade(distinct_keys(universe)).levels) >= 2
     spark.createDataFrame([(k,) for k in keys], "key string").write.parquet(f"{tmp_path}/keys")
-    got = cascade.mark(spark.read.parquet(f"{tmp_path}/keys"), "key", "hit")
+    got = mark_listed(spark.read.parquet(f"{tmp_path}/keys"), universe, "key", "hit")
     assert {r["key"]: r["hit"] for r in got.collect()} == {k: k in listed for k in keys}
+    assert_native(got)
+
+
+def assert_native(frame):
     with contextlib.redirect_stdout(io.StringIO()) as plan:
-        got.explain("formatted")
+        frame.explain("formatted")
     operators = set(re.findall(r"^\(\d+\) (\w+)", plan.getvalue(), re.M))
-    assert operators and not any(re.search("Join|Python|Pandas|Arrow", name) for name in operators)
+    assert operators and not any(re.search("Join|Python|Pandas|Arrow|Exchange", name) for name in operators)
+
+
+def test_beyond_the_size_bound_parts_answer(spark, monkeypatch):
+    rows = [(f"k{i % 300}", i % 300 % 3 == 0, i) for i in range(900)] + [(None, False, 1)]
+    universe = spark.createDataFrame([r[:2] for r in rows], "key string, listed boolean")
+    built = []
+    monkeypatch.setattr(Cascade, "__init__", _counting(Cascade.__init__, built))
+    frame = spark.createDataFrame(rows, "key string, old boolean, _part int")
+    got = mark_listed(frame, universe, "key", "hit", limit_bytes=32)
+    assert len(built) == parts_within(distinct_keys(universe), 32) > 3
+    assert_native(got)
+    assert all(8 * 32 >= sum(level.bits for level in cascade.levels) - 64 * len(cascade.levels) for cascade in built)
+    assert Counter(tuple(r) for r in got.collect()) == Counter((*r, r[1]) for r in rows)
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(ODD)], "page_id long, url string")
+    wanted = judge_urls(pages, F.col("key").isin("example.com", "")).collect()
+    assert Counter(judge_urls(pages, F.col("key").isin("example.com", ""), limit_bytes=1).collect()) == Counter(wanted)
+
 
+def _counting(build, built):
+    def init(self, keys):
+        build(self, keys)
+        built.append(self)
 
-def test_beyond_the_size_bound_a_join_answers(spark):
-    rows = [(f"k{i}", i % 3 == 0) for i in range(300)]
-    cascade = Cascade(spark.createDataFrame(rows, "key string, listed boolean"), limit_bytes=16)
-    got = cascade.mark(spark.createDataFrame(rows, "key string, old boolean"), "key", "hit").collect()
-    assert all(r["hit"] == r["old"] for r in got)
+    return init
 
 
 def test_nothing_or_everything_listed(spark):
     for answer in (False, True):
         rows = spark.createDataFrame([(f"k{i}", answer) for i in range(100)], "key string, listed boolean")
-        assert {r["hit"] for r in Cascade(rows).mark(rows, "key", "hit").collect()} == {answer}
+        assert {r["hit"] for r in mark_listed(rows, rows, "key", "hit").collect()} == {answer}
     empty = spark.createDataFrame([], "key string, listed boolean")
-    assert Cascade(empty).mark(empty, "key", "hit").count() == 0
+    assert mark_listed(empty, empty, "key", "hit").count() == 0
 
 
 def test_urls(spark):
