@@ -1,12 +1,14 @@
 """Sharding in Hilbert-curve order, with built-in expressions only.
 
-Several metadata columns, texts by their rank among all distinct ones, are quantised by their quantiles over all rows, the cell's index on the Hilbert curve is
-computed, and the rows in curve order are cut into runs of equal counts.  Rows of a shard are close in all dimensions
-at once, so the minima and maxima in its file footer let readers skip the file on a filter on any of them.
-
-Defined results: a null in a dimension sorts before all values; ties on the curve are ordered by the checksum of the
-text (equal texts of a cell stay together) and then by id; repeated rows are rows of their own; a null text has size 16
-and no checksum; an empty table gives an empty result; other columns are ignored.
+Several metadata columns, texts by their rank among all distinct ones, are quantised by their quantiles over all rows,
+the cell's index on the Hilbert curve is computed, and the rows in curve order are cut into runs of equal counts.  Rows
+of a shard are close in all dimensions at once, so the minima and maxima in its file footer let readers skip the file
+on a filter on any of them.
+
+Defined results: nulls in a dimension have its lowest level to themselves; ties on the curve are ordered by the checksum
+of the text (equal texts of a cell stay together), then by id and size; repeated rows are rows of their own, and as many
+as there may be are sorted by many tasks, since a row number comes last in the order; a null text has size 16 and no
+checksum; very long texts only count their bytes; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +27,7 @@ ACCURACY = 20_000  # of the quantile sketch: rank error is one part in so many
 DIMENSIONS = ("source", "lang", "n_chars", "doc_id")
 
 
-def ordered_number(column: Column) -> Column:
-    """A number that sorts like the column, null is -1."""
-    return F.coalesce(column.cast("double"), F.lit(-1.0))
+LOWEST = float("-inf")  # stands for null: below every number
 
 
 def with_ranks(rows: DataFrame, column: str) -> DataFrame:
@@ -41,10 +41,18 @@ def with_ranks(rows: DataFrame, column: str) -> DataFrame:
 
 
 def quantile_cuts(numbers: DataFrame, bits: int) -> dict[str, list[float]]:
-    """For each column at most 2 ** bits - 1 ascending cut points, from one pass over all rows."""
+    """For each column at most 2 ** bits - 1 ascending cut points, from one pass over all rows.
+
+    The cuts are quantiles of what is not null; where there are nulls, the first cut sets LOWEST apart.
+    """
     steps = [k / 2**bits for k in range(1, 2**bits)]
-    row = numbers.agg(*[F.percentile_approx(c, steps, ACCURACY).alias(c) for c in numbers.columns]).first()
-    return {c: sorted(set(row[c] or [])) for c in numbers.columns}
+    quantiles = [F.percentile_approx(c, steps, ACCURACY) for c in numbers.columns]
+    found = numbers.agg(F.array(*quantiles), F.array(*[F.count_if(F.isnull(c)) for c in numbers.columns])).first()
+    cuts = {c: sorted(set(q or [])) for c, q in zip(numbers.columns, found[0], strict=True)}
+    for c, nulls in zip(numbers.columns, found[1], strict=True):
+        if nulls:
+            cuts[c] = [LOWEST, *cuts[c][max(0, len(cuts[c]) - len(steps) + 1) :]]
+    return cuts
 
 
 def level(value: Column, cuts: list[float]) -> Column:
@@ -122,24 +130,25 @@ def hilbert_shards(
         F.crc32(utf8).alias("text_crc32"),
         *[f"_{i}" for i in range(len(dimensions))],
     )
-    narrow = materialise(narrow, "hilbert-rows")
+    narrow = materialise(narrow.withColumn("_at", F.monotonically_increasing_id()), "hilbert-rows")
     for i, d in enumerate(dimensions):
         if isinstance(rows.schema[d].dataType, T.StringType):
             narrow = with_ranks(narrow, f"_{i}")
-    places = [ordered_number(F.col(f"_{i}")).alias(f"_{i}") for i in range(len(dimensions))]
+    places = [F.col(f"_{i}").cast("double").alias(f"_{i}") for i in range(len(dimensions))]
     cuts = quantile_cuts(narrow.select(*places), bits)
-    narrow = narrow.select(key, "size", "text_crc32", *places).select(
-        key, "size", "text_crc32", *[level(F.col(f"_{i}"), cuts[f"_{i}"]).alias(f"_{i}") for i in range(len(dimensions))]
+    filled = [F.coalesce(place, F.lit(LOWEST)).alias(f"_{i}") for i, place in enumerate(places)]
+    narrow = narrow.select(key, "size", "text_crc32", "_at", *filled).select(
+        key, "size", "text_crc32", "_at", *[level(F.col(f"_{i}"), cuts[f"_{i}"]).alias(f"_{i}") for i in range(len(dimensions))]
     )
     levels = [F.col(f"_{i}") for i in range(len(dimensions))]
-    placed = with_hilbert_index(narrow, levels, bits, "curve").select(key, "size", "text_crc32", "curve")
+    placed = with_hilbert_index(narrow, levels, bits, "curve").select(key, "size", "text_crc32", "curve", "_at")
     placed = materialise(placed, "hilbert")
     total = placed.count()
-    order = [F.col(c).asc_nulls_first() for c in ("curve", "text_crc32", key)]
+    order = [F.col(c).asc_nulls_first() for c in ("curve", "text_crc32", key, "size", "_at")]
     shard = F.expr(f"cast(_rank * {shards} div {max(total, 1)} as int)")
     start = F.expr(f"(cast(shard as bigint) * {total} + {shards - 1}) div {shards}")
     ranked = dense_index(placed, order, "_rank").withColumn("shard", shard)
-    return ranked.withColumn("slot", F.col("_rank") - start).drop("_rank")
+    return ranked.withColumn("slot", F.col("_rank") - start).drop("_rank", "_at")
 
 
 def write_shards(rows: DataFrame, path: str) -> None:

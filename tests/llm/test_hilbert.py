@@ -1,4 +1,5 @@
 import itertools
+import math
 import zlib
 from collections import Counter
 
@@ -54,3 +55,68 @@ def test_texts_with_a_long_common_prefix_get_levels_of_their_own(spark):
     got = {r["doc_id"]: r["curve"] for r in hilbert_shards(docs, 4, dimensions=("source", "lang")).collect()}
     curves = [{got[i] for i in range(k, 200, 5)} for k in range(5)]
     assert all(len(c) == 1 for c in curves) and len(set.union(*curves)) == 5
+
+
+def index_of(cell, bits):
+    """Hilbert index of a cell: undo the excess turns from the highest bit, Gray code, interleave."""
+    x, last = list(cell), len(cell) - 1
+    for b in range(bits - 1, 0, -1):
+        low = (1 << b) - 1
+        for i in range(len(x)):
+            if x[i] >> b & 1:
+                x[0] ^= low
+            else:
+                swap = (x[0] ^ x[i]) & low
+                x[0], x[i] = x[0] ^ swap, x[i] ^ swap
+    for i in range(1, len(x)):
+        x[i] ^= x[i - 1]
+    turn = 0
+    for b in range(bits - 1, 0, -1):
+        turn ^= (1 << b) - 1 if x[last] >> b & 1 else 0
+    return int("".join(str((v ^ turn) >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+
+def brute_shards(rows, shards, bits):
+    """Rows (doc_id, text, source, n_chars, ...) placed by plain lists: levels, curve, order, runs."""
+    cells = []
+    for values in ([r[3] for r in rows], [r[4] for r in rows], [r[0] for r in rows]):
+        known = sorted(v for v in values if v is not None)
+        if isinstance(known[0], str):
+            places = {v: i for i, v in enumerate(sorted(set(known)))}
+            values, known = [places.get(v) for v in values], sorted(places[v] for v in known)
+        cuts = sorted({known[max(0, math.ceil(k / 2**bits * len(known)) - 1)] for k in range(1, 2**bits)})
+        nulls = len(known) < len(values)
+        if nulls and len(cuts) == 2**bits - 1:
+            cuts = cuts[1:]
+        cells.append([0 if v is None else nulls + sum(c < v for c in cuts) for v in values])
+    placed = []
+    for row, *cell in zip(rows, *cells):
+        raw = None if row[1] is None else row[1].encode()
+        crc = None if raw is None else zlib.crc32(raw)
+        placed.append((index_of(cell, bits), -1 if crc is None else crc, -math.inf if row[0] is None else row[0], len(raw or b"") + 16, row[0], crc))
+    placed.sort(key=lambda r: r[:4])
+    taken = Counter()
+    for rank, (curve, _, _, size, key, crc) in enumerate(placed):
+        shard = rank * shards // len(placed)
+        yield key, size, crc, curve, shard, taken[shard]
+        taken[shard] += 1
+
+
+def test_whole_against_plain_lists(spark, odd_docs, odd_rows):
+    columns = ("doc_id", "size", "text_crc32", "curve", "shard", "slot")
+    for bits, shards in ((3, 5), (5, 7)):
+        got = hilbert_shards(odd_docs, shards, dimensions=("source", "n_chars", "doc_id"), bits=bits).select(*columns)
+        assert Counter(map(tuple, got.collect())) == Counter(brute_shards(odd_rows, shards, bits))
+
+
+def test_nulls_have_the_lowest_level_to_themselves(spark):
+    docs = spark.createDataFrame([(i - 50 if i % 10 else None, "t") for i in range(100)], "doc_id long, text string")
+    got = hilbert_shards(docs, 4, dimensions=("doc_id",), bits=3).collect()
+    assert {r["curve"] for r in got if r["doc_id"] is None} == {0}
+    assert min(r["curve"] for r in got if r["doc_id"] is not None) == 1 and max(r["curve"] for r in got) == 7
+
+
+def test_many_copies_of_a_row_are_even(spark):
+    docs = spark.createDataFrame([(None, "t", None, None, None)] * 4000, "doc_id long, text string, source string, lang string, n_chars long")
+    counts = Counter(r["shard"] for r in hilbert_shards(docs.repartition(4), 7).collect())
+    assert len(counts) == 7 and max(counts.values()) - min(counts.values()) <= 1
