@@ -7,12 +7,14 @@ and are cut into batches: as many documents as fit the token budget when all are
 Positions come from one range sort over all buckets, so a bucket of any size is shared by many tasks.
 
 Defined results: a null or blank text has length 0 and belongs to the first bucket; a document longer than the budget
-is a batch of its own, whole; repeated rows are documents of their own; with fewer distinct lengths than buckets each
+is a batch of its own, whole; repeated rows are documents of their own, sorted by many tasks, since a row number comes
+last in the order; with fewer distinct lengths than buckets each
 length has its own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,16 +27,9 @@ from langshift.operators.storage import materialise
 
 BUCKETS = 16
 TOKEN_BUDGET = 32_768
-KEPT_BITS = 8
 SEED = 5
 
 
-def length_bin(length: Column) -> Column:
-    """The length with all but its highest KEPT_BITS bits cleared."""
-    low = F.greatest(F.length(F.bin(length)) - KEPT_BITS, F.lit(0))
-    return length - F.pmod(length, F.call_function("shiftleft", F.lit(1).cast("long"), low))
-
-
 def best_boundaries(longest: np.ndarray, rows: np.ndarray, buckets: int) -> list[int]:
     """Largest lengths of at most `buckets` buckets with the least total of rows times boundary.
 
@@ -48,7 +43,7 @@ def best_boundaries(longest: np.ndarray, rows: np.ndarray, buckets: int) -> list
     cost: list[int | None] = [0, *[None] * n]
     cuts = []
     for _ in range(min(buckets, n)):
-        new, cut = list(cost), [-1] * (n + 1)
+        new, cut = list(cost), array("q", [-1]) * (n + 1)
         hull: list[tuple[int, int, int]] = []  # rows before i, cost[i], i
         head = 0
         for j in range(1, n + 1):
@@ -92,8 +87,8 @@ class Buckets:
 def plan_buckets(lengths: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET) -> Buckets:
     """Boundaries over all rows of a table with the column n_tokens; only the histogram comes to the driver."""
     histogram = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("rows"))
-    found = sorted((r["n_tokens"], r["rows"]) for r in histogram.collect())
-    longest, rows = (np.array([r[k] for r in found], np.int64) for k in (0, 1))
+    found = histogram.toArrow().sort_by("n_tokens")
+    longest, rows = (found[c].to_numpy().astype(np.int64) for c in ("n_tokens", "rows"))
     boundary = best_boundaries(longest, rows, buckets)
     held = [int(rows[(longest <= b) & (longest > a)].sum()) for a, b in zip([-1, *boundary], boundary, strict=False)]
     capacity = [max(1, budget // max(1, b)) for b in boundary]
@@ -110,7 +105,8 @@ def pack(
 ) -> DataFrame:
     """(key, n_tokens, bucket, padded, batch, slot): padded is the bucket's boundary, batch is numbered over all."""
     lengths = documents.select(F.col(key).alias("id"), word_count(F.col(text)).alias("n_tokens"))
-    stored = materialise(lengths.withColumn("place", F.xxhash64(F.lit(SEED), "id", "n_tokens")), "pack-lengths")
+    lengths = lengths.withColumn("place", F.xxhash64(F.lit(SEED), "id", "n_tokens")).withColumn("at", F.monotonically_increasing_id())
+    stored = materialise(lengths, "pack-lengths")
     plan = plan_buckets(stored, buckets, budget)
 
     def of_bucket(values: list[int]) -> Column:
@@ -119,7 +115,7 @@ def pack(
     bucket = F.lit(0)
     for boundary in plan.boundary[:-1]:
         bucket = bucket + F.when(F.col("n_tokens") > boundary, 1).otherwise(0)
-    order = [F.col(c).asc_nulls_first() for c in ("bucket", "place", "id")]
+    order = [F.col(c).asc_nulls_first() for c in ("bucket", "place", "id", "at")]
     ranked = dense_index(stored.withColumn("bucket", bucket), order, "rank")
     inside = ranked.withColumn("rank", F.col("rank") - of_bucket(plan.start)).withColumn("capacity", of_bucket(plan.capacity))
     batch = of_bucket(plan.batch_start) + F.floor(F.col("rank") / F.col("capacity")).cast("long")

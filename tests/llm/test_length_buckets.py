@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from langshift.llm.length_buckets import best_boundaries, length_bin, pack, plan_buckets
+from langshift.llm.length_buckets import best_boundaries, pack, plan_buckets
 
 
 def test_boundaries_are_optimal():
@@ -21,13 +21,6 @@ def test_boundaries_are_optimal():
             assert cost(found) == min(map(cost, choices))
 
 
-def test_bins_keep_the_leading_bits(spark):
-    values = [0, 1, 2, 255, 256, 257, 511, 512, 1000, 65_535, 65_536, 10**9, 2**40 + 12345]
-    frame = spark.createDataFrame([(v,) for v in values], "v long")
-    got = [r["b"] for r in frame.select(length_bin(F.col("v")).alias("b")).collect()]
-    assert got == [v >> max(v.bit_length() - 8, 0) << max(v.bit_length() - 8, 0) for v in values]
-
-
 def test_batches(spark, odd_docs, odd_rows):
     rows = pack(odd_docs, buckets=4, budget=400).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(r[0] for r in odd_rows)
@@ -81,3 +74,12 @@ def test_plan_is_optimal_with_a_hot_length_at_the_low_end_of_a_bin(spark):
     boundary = plan_buckets(frame, 4).boundary
     assert 2048 in boundary
     assert sum(n * min(b for b in boundary if b >= x) for x, n in counts.items()) == least_padded(list(counts), list(counts.values()), 4)
+
+
+def test_many_copies_of_a_row_stay_whole(spark):
+    rows = [(None, "one two three")] * 3000 + [(7, "one two three")] * 500 + [(8, None)] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = pack(docs, buckets=2, budget=30).collect()
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == Counter((i, 3 if t else 0) for i, t in rows)
+    places = Counter((r["batch"], r["slot"]) for r in got)
+    assert max(places.values()) == 1 and Counter(got) == Counter(pack(docs.repartition(2), buckets=2, budget=30).collect())
