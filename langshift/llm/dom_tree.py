@@ -160,7 +160,7 @@ def parse(html: str) -> Page:
 
 
 def joined(page: Page, chosen: list[bool]) -> str:
-    """The text of the chosen nodes: blocks in page order, white space as single spaces."""
+    """The text of the chosen nodes: blocks in page order, white space as single spaces; a character reference ends where its piece of text does."""
     blocks: list[list[str]] = []
     begins = True
     for node, fresh, raw in page.pieces:
@@ -169,8 +169,8 @@ def joined(page: Page, chosen: list[bool]) -> str:
             if begins or not blocks:
                 blocks.append([])
                 begins = False
-            blocks[-1].append(raw)
-    return " ".join(" ".join(unescape("".join(block)) for block in blocks).split())
+            blocks[-1].append(unescape(raw))
+    return " ".join(" ".join("".join(block) for block in blocks).split())
 
 
 def look(node: Node) -> str:

@@ -99,3 +99,8 @@ def test_text_in_and_after_foreign_elements_is_kept():
     assert whole("<div>a <iframe>b</iframe> e<script>f</script></div>") == "a e"
     page = parse('<p><svg><path id="q" d="z"/><text>b</text></svg> c</p>')
     assert [(node.tag, node.text) for node in page.nodes if node.tag == "path"] == [("path", 0)]
+
+
+def test_references_end_with_their_piece_of_text():
+    assert whole("<p>AT&am<b>p;</b> T</p>") == "AT&amp; T"
+    assert whole("<p>AT&amp;<b>T</b> &l<!-- x -->t; &lt;i&gt;</p>") == "AT&T &lt; <i>"
