@@ -90,10 +90,17 @@ def _sums(cells: DataFrame, slices: tuple[int, ...]) -> DataFrame:
 def topic_statistics(core: DataFrame, reference: DataFrame, people: Column) -> DataFrame:
     """One row per topic: mean, population variance, min and max of each slice over all N users.
 
-    A topic without rows in a slice is 0 for everybody there.  The variance is that of the k rows, taken
-    about their own mean, merged with that of N - k zeros, so no large numbers are subtracted.
+    A topic without rows in a slice is 0 for everybody there.
+    """
+    return zero_filled(_sums(core, (0, 1)).join(_sums(reference, (2,)), "feat", "full_outer").withColumn("n", people))
+
+
+def zero_filled(wide: DataFrame) -> DataFrame:
+    """The statistics of all n users from count, sum, variance, min and max of the rows of each slice.
+
+    The variance is that of the k rows, taken about their own mean, merged with that of n - k zeros, so no large
+    numbers are subtracted.
     """
-    wide = _sums(core, (0, 1)).join(_sums(reference, (2,)), "feat", "full_outer").withColumn("n", people)
     columns = [F.col("feat"), F.col("n")]
     for number in SLICES:
         rows = F.coalesce(f"rows{number}", F.lit(0))

@@ -16,6 +16,7 @@ cosines and slopes, so raw scores are used and only intercept and error are divi
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -115,12 +116,14 @@ def topic_averages(neighbours: DataFrame, share: str, name: str) -> DataFrame:
     return neighbours.groupBy("id", "topic").agg(F.sum(share).alias(name))
 
 
-def support_rows(own: DataFrame, neighbours: DataFrame, baseline: str, unaveraged: bool = False) -> DataFrame:
+def support_rows(
+    own: DataFrame, neighbours: DataFrame, baseline: str, unaveraged: bool = False, add: Callable[[Column], Column] = F.sum
+) -> DataFrame:
     """(id, topic, tt, x, y, friend_flag, base_flag) for every non-zero cell of a kept user.
 
     `own` are the kept users' (group_id, topic, s0, s1).  With `unaveraged` they also carry that flag:
     users whose averages are unknown and stand at the mean over all users.  tt, x and y are sums of what
-    the user's own rows and the neighbours' rows contribute, so one aggregation forms them.
+    the user's own rows and the neighbours' rows contribute, so one aggregation forms them, by `add`.
     """
     zero, carried = F.lit(0.0), ["unaveraged"] if unaveraged else []
     s0, s1 = F.coalesce("s0", zero), F.coalesce("s1", zero)
@@ -136,19 +139,21 @@ def support_rows(own: DataFrame, neighbours: DataFrame, baseline: str, unaverage
         base_part.alias("y"),
         *(F.lit(0).alias(name) for name in carried),
     )
-    sums = [F.sum(name).alias(name) for name in ("tt", "x", "y")]
+    sums = [add(F.col(name)).alias(name) for name in ("tt", "x", "y")]
     cells = mine.unionByName(theirs).groupBy("id", "topic").agg(*sums, *(F.max(name).alias(name) for name in carried))
     flag = F.col("unaveraged") if unaveraged else F.lit(0)
     base_flag = flag if baseline == "random" else F.lit(1)
     return cells.select("id", "topic", "tt", "x", "y", flag.alias("friend_flag"), base_flag.alias("base_flag"))
 
 
-def moments(support: DataFrame, topics: DataFrame, users: DataFrame) -> DataFrame:
+def moments(
+    support: DataFrame, topics: DataFrame, users: DataFrame, add: Callable[[Column], Column] = F.sum
+) -> DataFrame:
     """Sums, raw and centred second moments of tt, tf and tr per topic over all kept users, zero cells included.
 
     The support rows carry `base_avg`, so that tf and tr are formed before they are squared.  The other
     users of a topic have tt = 0 and the same tf and tr wherever they have the same flags; they are added
-    as terms of their own, never by subtracting from a total.
+    as terms of their own, never by subtracting from a total.  `add` forms the sums and the raw moments.
     """
     a, f, b = F.col("base_avg"), F.col("friend_flag"), F.col("base_flag")
     rows = support.select("topic", "friend_flag", "base_flag", "tt", (F.col("x") + f * a).alias("tf"), (F.col("y") + b * a).alias("tr"))
@@ -156,9 +161,9 @@ def moments(support: DataFrame, topics: DataFrame, users: DataFrame) -> DataFram
     pairs = (("tf", "tf"), ("tr", "tr"), ("tf", "tr"), ("tt", "tf"), ("tt", "tr"))
     sums = rows.groupBy("topic").agg(
         F.count(F.lit(1)).alias("support"),
-        *(F.sum(name).alias(f"sum_{name}") for name in values),
-        F.sum(F.col("tt") * F.col("tt")).alias("raw_tt_tt"),
-        *(F.sum(F.col(p) * F.col(q)).alias(f"raw_{p}_{q}") for p, q in pairs),
+        *(add(F.col(name)).alias(f"sum_{name}") for name in values),
+        add(F.col("tt") * F.col("tt")).alias("raw_tt_tt"),
+        *(add(F.col(p) * F.col(q)).alias(f"raw_{p}_{q}") for p, q in pairs),
         *(F.covar_pop(p, q).alias(f"own_{p}_{q}") for p, q in pairs),
         F.sum(f).alias("sf"),
         F.sum(b).alias("sb"),

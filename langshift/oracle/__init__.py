@@ -10,6 +10,7 @@ import re
 
 from langshift.config import Variant
 from langshift.fixtures import COPIED_IDS, COPY_COUNTER, EARLY_TOPIC, LATE_TOPIC, LONELY, UNCOUNTED, VARIANTS
+from langshift.operators.order_free import EXPONENTS, LOG_DIGITS, PIECE_BITS, PIECES
 from langshift.operators.prep import RING_COUNTERS, SEED_COUNTER
 from langshift.queries import FIRST_USER, THRESHOLD
 
@@ -54,6 +55,15 @@ INPUTS = {
 }
 
 
+def _order_free(value: str, bits: int = 0) -> str:
+    """Sum of doubles by whole numbers of 30 binary places each."""
+    rest, totals = f"(({value}) * pow(2, {PIECE_BITS - bits}))", []
+    for number in range(1, PIECES + 1):
+        totals.append(f"sum(floor({rest})::BIGINT)::DOUBLE * pow(2, {bits - PIECE_BITS * number})")
+        rest = f"(({rest} - floor({rest})) * pow(2, {PIECE_BITS}))"
+    return " + ".join(totals)
+
+
 def _features(tercile: int) -> dict[str, str]:
     in_reference = f"third = {tercile}" if tercile in (1, 2) else "true"
     return {
@@ -196,6 +206,39 @@ def _study(name: str, variant: Variant, tercile: int = 0) -> dict[str, str]:
         SELECT feat, coalesce(sum(tt * tf) / nullif(sqrt(sum(tt * tt)) * sqrt(sum(tf * tf)), 0), 0) AS cos_friends,
                coalesce(sum(tt * tr) / nullif(sqrt(sum(tt * tt)) * sqrt(sum(tr * tr)), 0), 0) AS cos_base
         FROM deltas GROUP BY feat""",
+        "scales": f"""
+        SELECT feat, CASE WHEN bound > 0 THEN pow(2, -greatest(ceil(round(log2(nullif(bound, 0)), {LOG_DIGITS})), -{EXPONENTS})) ELSE 1 END AS scale
+        FROM (SELECT feat, max(greatest(abs(min), abs(max))) AS bound FROM statistics GROUP BY feat)""",
+        "scaled": "SELECT slice, group_id, feat, group_norm * scale AS score, scale FROM restricted JOIN scales USING (feat)",
+        "scaled_sums": f"""
+        SELECT slice, feat, scale, count(*) AS k, {_order_free("score")} AS total FROM scaled GROUP BY slice, feat, scale""",
+        "scaled_spreads": f"""
+        SELECT slice, feat, {_order_free("(score - total / k) * (score - total / k)", 2)} AS squares
+        FROM scaled JOIN scaled_sums USING (slice, feat, scale) GROUP BY slice, feat""",
+        "exact_statistics": """
+        SELECT s.slice, s.feat, s."rows", s.min, s.max, n, coalesce(t.total / t.scale, 0) AS total,
+               coalesce(q.squares / t.k / t.scale / t.scale, 0) AS spread
+        FROM statistics s LEFT JOIN scaled_sums t USING (slice, feat) LEFT JOIN scaled_spreads q USING (slice, feat), people""",
+        "exact_base": """
+        SELECT feat, total / n AS a FROM scaled_sums JOIN topics USING (feat), people WHERE slice = 2""",
+        "exact_parts": """
+        SELECT group_id AS id, feat, coalesce(max(score) FILTER (slice = 1), 0) - coalesce(max(score) FILTER (slice = 0), 0) AS tt,
+               -coalesce(max(score) FILTER (slice = 0), 0) AS x, -coalesce(max(score) FILTER (slice = 0), 0) AS y
+        FROM scaled WHERE slice < 2 AND group_id IN (SELECT id FROM kept) GROUP BY group_id, feat
+        UNION ALL
+        SELECT k.id, feat, 0, score * (weight / degree), 0
+        FROM (SELECT source_id, dest_id, count(*) AS weight FROM edges GROUP BY ALL)
+        JOIN kept k ON k.id = source_id JOIN scaled ON slice = 2 AND group_id = dest_id""",
+        "exact_support": f"""
+        SELECT id, feat, a, {_order_free("tt", 1)} AS tt, {_order_free("x", 1)} AS tf, {_order_free("y", 1)} + a AS tr
+        FROM exact_parts JOIN exact_base USING (feat) GROUP BY id, feat, a""",
+        "exact_moments": f"""
+        SELECT feat, {_order_free("tt * tt", 4)} AS tt, {_order_free("tf * tf", 4)} AS ff, {_order_free("tt * tf", 4)} AS tf,
+               {_order_free("tr * tr", 4)} + a * a * ((SELECT count(*) FROM kept) - count(*)) AS rr, {_order_free("tt * tr", 4)} AS tr
+        FROM exact_support GROUP BY feat, a""",
+        "exact_cosines": """
+        SELECT feat, coalesce(tf / nullif(sqrt(tt) * sqrt(ff), 0), 0) AS cos_friends, coalesce(tr / nullif(sqrt(tt) * sqrt(rr), 0), 0) AS cos_base
+        FROM exact_moments""",
         "means": "SELECT feat, avg(tt) AS t, avg(tf) AS f, avg(tr) AS r, count(*) AS n FROM deltas GROUP BY feat",
         "spreads": """
         SELECT feat, t, f, r, n, sum((tf - f) * (tf - f)) AS ff, sum((tr - r) * (tr - r)) AS rr,
@@ -318,6 +361,12 @@ STUDY_QUERIES: dict[str, tuple[str, int, str]] = {
     "slice_topic_stats": (
         _MAIN, 0, f"""SELECT slice::BIGINT AS slice, feat, "rows", {_r('mean', 'var', 'min', 'max')} FROM statistics""",
     ),
+    "slice_topic_stats_order_free": (
+        _MAIN, 0,
+        """SELECT slice::BIGINT AS slice, feat, "rows", total / n AS mean,
+                  "rows" / n * spread + total / n * (total / greatest("rows", 1)) * (n - "rows") / n AS var, min, max
+           FROM exact_statistics""",
+    ),
     "topics_kept": (_MAIN, 0, "SELECT feat FROM topics"),
     "friend_topic_avg": (
         _MAIN, 0,
@@ -335,6 +384,11 @@ STUDY_QUERIES: dict[str, tuple[str, int, str]] = {
     ),
     "topic_cosine": (_MAIN, 0, f"SELECT feat, {_r('cos_friends', 'cos_base')} FROM cosines"),
     "topic_influence": (_MAIN, 0, _COSINE_QUERY),
+    "topic_influence_order_free": (
+        _MAIN, 0,
+        """SELECT feat, cos_friends, cos_base,
+                  CASE WHEN abs(cos_friends - cos_base) < 1e-12 THEN 0 ELSE cos_friends - cos_base END AS cos_diff FROM exact_cosines""",
+    ),
     "topic_influence_tercile1": (_MAIN, 1, _COSINE_QUERY),
     "topic_influence_tercile2": (_MAIN, 2, _COSINE_QUERY),
     "topic_influence_raw": ("raw_population", 0, _COSINE_QUERY),

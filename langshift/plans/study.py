@@ -139,7 +139,11 @@ class Study:
 
     def attach_topics(self, rows: DataFrame, table: DataFrame, key: str, user: str) -> DataFrame:
         """Rows joined with a table of one row per topic, broadcast if the vocabulary is small enough."""
-        return attach_small(rows, table, key, self.topic_count, (user,), self.broadcast_rows)
+        return self.attach_small(rows, table, key, user, self.topic_count)
+
+    def attach_small(self, rows: DataFrame, table: DataFrame, key: str, user: str, table_rows: int) -> DataFrame:
+        """The same for a table of `table_rows` rows, unique on the key."""
+        return attach_small(rows, table, key, table_rows, (user,), self.broadcast_rows)
 
     def _numbered(self, cells: DataFrame) -> DataFrame:
         """Cells of varying topics with the topic's number in place of its name."""
@@ -201,7 +205,7 @@ class Study:
         return drawn.select("source_id", "dest_id", (1 / F.col("drawn")).alias("base_share"))
 
     @cached_property
-    def _links(self) -> DataFrame:
+    def links(self) -> DataFrame:
         if self.variant.baseline == "population":
             return self.friend_links
         friends = self.friend_links.withColumn("base_share", F.lit(0.0))
@@ -210,17 +214,23 @@ class Study:
 
     @cached_property
     def _packed(self) -> influence_ops.Parts:
-        """Reference scores of varying topics, packed: those copied to every task, and the rest that links are shuffled to."""
-        packed = influence_ops.packed_scores(self._numbered(self.reference_cells), self.topic_count)
+        return self.pack(self._numbered(self.reference_cells), self.topic_count)
+
+    def pack(self, cells: DataFrame, topic_count: int) -> influence_ops.Parts:
+        """Reference scores of numbered topics, packed: those copied to every task, and the rest that links are shuffled to."""
+        packed = influence_ops.packed_scores(cells, topic_count)
         followed = self.edges.select("dest_id")
         return influence_ops.map_side_people(followed, materialise(packed, "packed"), self.map_side_bytes)
 
     @cached_property
     def _hot_friends(self) -> influence_ops.Hot:
+        return self.hot_friends(self._packed[1])
+
+    def hot_friends(self, light: DataFrame | None) -> influence_ops.Hot:
         """Users of the shuffled rest whose followers times blocks of topics make very many rows."""
-        if self._packed[1] is None:
+        if light is None:
             return None, None
-        return heavy_pairs(self.edges.select("dest_id"), self._packed[1].select("dest_id"), "dest_id", self.min_hot_rows)
+        return heavy_pairs(self.edges.select("dest_id"), light.select("dest_id"), "dest_id", self.min_hot_rows)
 
     def _neighbours(self, links: DataFrame, shares: list[str]) -> DataFrame:
         return influence_ops.neighbour_sums(links, *self._packed, shares, self._hot_friends)
@@ -241,16 +251,20 @@ class Study:
 
     # ---- scores ----------------------------------------------------------------------------------
 
+    @cached_property
+    def own_cells(self) -> DataFrame:
+        """(group_id, feat, s0, s1) of kept users; for trust also whether their averages are unknown."""
+        return self.core_cells.join(self.kept.drop("degree").withColumnRenamed("id", "group_id"), "group_id")
+
     @cached_property
     def support(self) -> DataFrame:
         shares = ["friend_share"] + (["base_share"] if self.variant.baseline == "random" else [])
-        kept = self.kept.drop("degree").withColumnRenamed("id", "group_id")
-        own = self._numbered(self.core_cells.join(kept, "group_id"))
-        neighbours = self._neighbours(self._links, shares)
+        own = self._numbered(self.own_cells)
+        neighbours = self._neighbours(self.links, shares)
         return influence_ops.support_rows(own, neighbours, self.variant.baseline, self.scores is not None)
 
     @cached_property
-    def _flags(self) -> DataFrame:
+    def user_flags(self) -> DataFrame:
         """One row per kept user with the flags of the support rows."""
         flag = F.lit(0) if self.scores is None else F.col("unaveraged")
         base = F.lit(1) if self.variant.baseline == "population" else flag
@@ -258,7 +272,7 @@ class Study:
 
     @cached_property
     def moments(self) -> DataFrame:
-        return influence_ops.moments(self._with_baseline(self.support), self.topics, self._flags)
+        return influence_ops.moments(self._with_baseline(self.support), self.topics, self.user_flags)
 
     def _with_baseline(self, support: DataFrame) -> DataFrame:
         return self.attach_topics(support, self.topics.select("topic", "base_avg"), "topic", "id")
@@ -292,7 +306,7 @@ class Study:
         if self.scores is not None:
             raise ValueError("the least-squares estimator is defined for account studies only")
         support = materialise(self.support, "support")
-        sums = materialise(influence_ops.moments(self._with_baseline(support), self.topics, self._flags), "moments")
+        sums = materialise(influence_ops.moments(self._with_baseline(support), self.topics, self.user_flags), "moments")
         flag = 1 if self.variant.baseline == "population" else 0
 
         def attach(rows: DataFrame, table: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from langshift.operators import network as network_ops
 from langshift.operators import trust as trust_ops
 from langshift.operators import users as user_ops
 from langshift.operators.storage import materialise, stage_path
+from langshift.plans.order_free import OrderFree
 from langshift.plans.study import Study
 from langshift.sources import sinks
 from langshift.sources.bucketed import bucketed
@@ -174,13 +175,23 @@ def unknown_topics(fx: Fixture) -> DataFrame:
     return feature_ops.unknown_topics(features, feature_ops.vocabulary(features, "first"))
 
 
+def _long_statistics(s: Study, statistics: DataFrame) -> DataFrame:
+    known = s.vocabulary.join(statistics, "feat", "left").fillna(0)  # words without a row in scope are zero throughout
+    return feature_ops.slice_statistics(known)
+
+
 def slice_topic_stats(fx: Fixture) -> DataFrame:
     s = study(fx)
-    known = s.vocabulary.join(s.statistics, "feat", "left").fillna(0)  # words without a row in scope are zero throughout
-    stats = feature_ops.slice_statistics(known)
+    stats = _long_statistics(s, s.statistics)
     return _long(_round(stats, "mean", "var", "min", "max"), "slice")
 
 
+def slice_topic_stats_order_free(fx: Fixture) -> DataFrame:
+    """The statistics of `slice_topic_stats` without rounding: no bit depends on the order of the rows."""
+    s = study(fx)
+    return _long(_long_statistics(s, OrderFree(s).statistics), "slice")
+
+
 def topics_kept(fx: Fixture) -> DataFrame:
     return study(fx).topics.select("feat")
 
@@ -212,6 +223,11 @@ def _influence(variant: str = "minmax_population", tercile: int = 0) -> Callable
     return lambda fx: _round(study(fx, variant, tercile).cosines, *_COSINES)
 
 
+def topic_influence_order_free(fx: Fixture) -> DataFrame:
+    """The cosines of `topic_influence` without rounding: no bit depends on the order of the rows."""
+    return OrderFree(study(fx)).cosines
+
+
 def topic_ols(fx: Fixture) -> DataFrame:
     return _round(study(fx, "ols_population").fits, *_FIT)
 
@@ -449,9 +465,9 @@ QUERIES: dict[str, Callable[[Fixture], DataFrame]] = {
         users_all, users_core, users_kept, users_loaded, users_loaded_set, user_set_sizes, users_periphery, user_degree, user_index,
         edges_core, edges_capped, random_people,
         features_loaded, features_by_tercile, features_var_norm, features_minmax_norm,
-        vocab, topic_dictionary, unknown_topics, slice_topic_stats, topics_kept,
+        vocab, topic_dictionary, unknown_topics, slice_topic_stats, slice_topic_stats_order_free, topics_kept,
         friend_topic_avg, random_topic_avg, population_topic_avg, topic_deltas, topic_cosine,
-        topic_ols, friend_coefficient, influence_summary, influence_above_threshold, ols_export_lines,
+        topic_influence_order_free, topic_ols, friend_coefficient, influence_summary, influence_above_threshold, ols_export_lines,
         pipeline_counts, trust_scan, trust_core, trust_friend_avg, trust_diffs,
         ring_reach_count, core_members, core_messages, message_positions, positions_after_append, position_bounds, first_positions,
         user_first_messages, first_tercile_messages, first_tercile_by_bounds, tercile_sizes, message_parts,

@@ -20,7 +20,8 @@ CHECKED = [
     "users_all", "users_loaded_set", "user_set_sizes", "followers_bucketed", "users_core", "users_loaded", "users_periphery", "user_index", "edges_core", "edges_capped",
     "random_people", "features_loaded", "features_by_tercile", "features_minmax_norm", "topic_dictionary",
     "slice_topic_stats", "topic_deltas", "topic_influence", "topic_influence_trust", "topic_ols",
-    "ols_export_lines", "influence_above_threshold", "pipeline_counts", "trust_diffs",
+    "ols_export_lines", "influence_above_threshold", "pipeline_counts", "trust_diffs", "topic_influence_order_free",
+    "slice_topic_stats_order_free",
 ]
 
 
@@ -65,7 +66,7 @@ FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowE
 
 
 @pytest.mark.parametrize(
-    "name", ["topic_influence", "topic_influence_random", "topic_deltas", "friend_messages", "message_positions", "message_parts"]
+    "name", ["topic_influence", "topic_influence_random", "topic_influence_order_free", "topic_deltas", "friend_messages", "message_positions", "message_parts"]
 )
 def test_plan_has_no_forbidden_step(spark, folder, name):
     plan = plan_of(QUERIES[name](Fixture(spark, folder)))
