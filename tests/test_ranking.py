@@ -146,6 +146,13 @@ def test_permutations_are_permutations_of_every_size(spark):
     assert abs(sum(row["to"] for row in far) / 1000 / 10**15 - 0.5) < 0.06
 
 
+def test_a_draw_is_placed_by_generated_code(spark):
+    """Lambdas, which are interpreted, only for the few places that the network leads outside."""
+    rows = spark.range(9).select("id", F.lit(50).cast("long").alias("size")).withColumn("keys", round_keys(F.col("id"), 1))
+    plan = permuted(rows, "id", "size", "keys", "to")._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in plan and not [line for line in plan.splitlines() if "aggregate(" in line and "CASE WHEN" not in line.split("aggregate(")[0]]
+
+
 def test_drawing_takes_no_more_shuffles_than_the_join(spark):
     users = spark.createDataFrame([(i,) for i in range(50)], "id long")
     plan = draw_people(users.withColumn("degree", F.lit(3)), users)._jdf.queryExecution().executedPlan().toString()
