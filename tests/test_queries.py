@@ -85,3 +85,17 @@ def test_filters_and_columns_reach_the_scan(spark, folder):
     scans = re.findall(r"ReadSchema: struct<([^>]*)>", plan_of(QUERIES["network_core"](Fixture(spark, folder))))
     assert "l_orderkey:bigint,l_partkey:bigint" in scans
     assert not any("l_extendedprice" in scan or "o_totalprice" in scan for scan in scans)
+
+
+@pytest.mark.parametrize("name", ["edges_core", "user_set_sizes", "trust_diffs"])
+def test_queries_of_edges_write_no_features(spark, tmp_path, name):
+    """The tables of features, the dearest inputs, are left alone: the folder has no parts to derive them from."""
+    for table in ("customer", "orders", "lineitem"):
+        (tmp_path / f"{table}.parquet").symlink_to(f"/root/testdata/sf0.001/{table}.parquet")
+    assert QUERIES[name](Fixture(spark, str(tmp_path))).count() > 0
+
+
+def test_order_lines_are_not_sorted_for_their_joins(spark, folder):
+    for frame in (Fixture(spark, folder).network, Fixture(spark, folder).features()):
+        plan = plan_of(frame)
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
