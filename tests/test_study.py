@@ -291,3 +291,12 @@ def test_topics_that_hardly_vary_keep_their_precision(spark, spread):
     scaled = make(spark, inputs, normalise="variance")
     assert all(np.isfinite(row.score) for row in scaled.normalised.where("feat = 'near'").collect())
     assert scaled.deltas.where("feat = 'near'").count() >= len(dense.kept)
+
+
+def test_many_users_are_not_broadcast(spark):
+    """Beyond the bound on rows no table of one row per user is, however small its files are."""
+    study = make(spark, random_inputs(3), "capped_random", broadcast_rows=0)
+    for frame in (study.own_cells, study.friend_links):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=shuffle_hash" in plan
+        assert "BroadcastHashJoin" not in frame._jdf.queryExecution().sparkPlan().toString()
