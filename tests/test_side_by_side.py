@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from langshift.config import PRESETS
 from langshift.operators.storage import materialise, stage_tables, together
+from langshift.plans.order_free import OrderFree
 from langshift.plans.study import Study
 from study_data import assert_close, by_topic, random_inputs
 
@@ -53,3 +54,10 @@ def test_steps_keep_the_stage_tables_block_and_fail_as_one(spark):
     assert not any(Path(path).exists() for path in paths)
     with pytest.raises(ZeroDivisionError):
         together(lambda: spark.range(1), lambda: 1 / 0)
+
+
+def test_order_free_cosines_keep_their_bits(spark):
+    users, network, features = random_inputs(5).frames(spark)
+    variant = PRESETS["minmax_population"].but(min_degree=5)
+    plain, called = Study(users, network, features, variant), Study(lambda: users, lambda: network, lambda: features.repartition(5), variant)
+    assert sorted(OrderFree(called).cosines.collect()) == sorted(OrderFree(plain).cosines.collect())
