@@ -3,7 +3,9 @@
 Integer vectors that are equal form one class.  Each class is approximated by one byte per component: the cell that
 holds it, one number wide near zero and an eighth to a quarter of its value further out.  Queries meet the
 approximations in blocks: from the cells follow a lower and an upper bound of every score.  A first scan finds the k-th
-largest lower bound of each query over all blocks, a second returns the candidates whose upper bound reaches it.  Exact vectors are then read in bound order: first
+largest lower bound of each query over all blocks, a second returns the candidates whose upper bound reaches it.  Approximations
+are dealt out to tasks and blocks of queries copied to all of them, a bounded number of bytes at a time: a larger set of queries
+takes several pairs of scans, and nothing is copied once per block of the other side.  Exact vectors are then read in bound order: first
 those of the k largest upper bounds, which fixes a k-th exact score, and after them only those whose upper bound still
 reaches it.  Nothing else can be among the first k, so the result is exact.
 
@@ -19,20 +21,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from langshift.operators.ranking import dense_index
+from langshift.operators.ranking import running_total
 from langshift.operators.storage import materialise
 
 SCALE = 64.0
 QUERY_ROWS = 1024  # of a block of queries
 CLASS_ROWS = 8192  # of a block of approximations
 CHUNK = 2048  # approximations compared at once
-LANES = 64  # blocks whose lower bounds one group brings together first
+QUERY_BYTES = 16 << 20  # of the blocks of queries, with their lower bounds, that are copied to every task at a time
+LANES = 64  # tasks whose lower bounds one group brings together first
 GROUP = 1024  # ids or id lists that one group of the gathering tree merges
 _EXACT = float(1 << 53)
 
@@ -142,14 +146,21 @@ def _largest(values: np.ndarray, keep: int) -> np.ndarray:
 
 def _lower_bounds(keep: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The `keep` largest lower bounds of each query of each joined pair (block of queries, block of approximations)."""
+        """The `keep` largest lower bounds of each query over the blocks of approximations of a task."""
+        held: dict[int, np.ndarray] = {}
+        part = 0
         for batch in batches:
             for row in batch.to_pylist():
-                best = np.full((len(row["q_names"]) // 8, keep), -np.inf)
+                part, best = row["task"] // LANES, held.get(row["q_block"])
+                if best is None:
+                    best = np.full((len(row["q_names"]) // 8, keep), -np.inf)
                 for _, low, _ in _chunks(row):
                     best = _largest(np.concatenate((best, low), axis=1), keep)
-                yield pa.RecordBatch.from_pydict({"q_block": [row["q_block"]], "part": [row["lane"] // LANES], "best": [best.tobytes()]})
+                held[row["q_block"]] = best
+        for q_block, best in held.items():
+            yield pa.RecordBatch.from_pydict({"q_block": [q_block], "part": [part], "best": [best.tobytes()]}, schema=out)
 
+    out = pa.schema([("q_block", pa.int64()), ("part", pa.int64()), ("best", pa.binary())])
     return run
 
 
@@ -177,6 +188,14 @@ def _reaching(keep: int):  # noqa: ANN202
     return run
 
 
+def _query_parts(queries: DataFrame, keep: int) -> list[tuple[int, int]]:
+    """First and last number of the blocks of queries that are copied together: runs of about QUERY_BYTES, their lower bounds included."""
+    size = F.length("q_data") + F.length("q_names") * (keep + 1)
+    before = running_total(queries.select("q_block", size.cast("long").alias("bytes")), [F.col("q_block")], "bytes", "before")
+    runs = before.groupBy(F.floor(F.col("before") / QUERY_BYTES).alias("run")).agg(F.min("q_block"), F.max("q_block"))
+    return [(first, last) for _, first, last in runs.orderBy("run").collect()]
+
+
 def candidates(classes: DataFrame, keep: int) -> DataFrame:
     """(query, class, high) that can be among the first `keep` of the query, from the approximations alone.
 
@@ -187,18 +206,22 @@ def candidates(classes: DataFrame, keep: int) -> DataFrame:
     queries = queries.select("dim", F.col("names").alias("q_names"), F.col("data").alias("q_data"))
     queries = materialise(queries.withColumn("q_block", F.monotonically_increasing_id()), "va-queries")
     blocks = materialise(_pack(classes, CLASS_ROWS, approximate=True).withColumn("_at", F.monotonically_increasing_id()), "va-approximations")
-    lanes = max(1, blocks.count())
-    blocks = dense_index(blocks, [F.col("_at")], "lane").drop("_at")
+    tasks = min(blocks.count(), int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocks = blocks.repartitionByRange(max(1, tasks), "_at").drop("_at")
 
     def pairs(asking: DataFrame) -> DataFrame:
-        every = asking.withColumn("lane", F.explode(F.expr(f"sequence(0L, {lanes - 1}L)")))
-        return blocks.join(every, ["dim", "lane"]).drop("dim")
-
-    found = pairs(queries).mapInArrow(_lower_bounds(keep), "q_block long, part long, best binary")
-    for group in (["q_block", "part"], ["q_block"]):
-        found = found.groupBy(*group).applyInArrow(_merge_bounds(keep), "q_block long, best binary")
-    asking = queries.join(materialise(found, "va-floors"), "q_block")
-    return materialise(pairs(asking).mapInArrow(_reaching(keep), "query long, class long, high double"), "va-reached")
+        return blocks.join(F.broadcast(asking), "dim").drop("dim")
+
+    reached = []
+    for first, last in _query_parts(queries, keep) or [(0, 0)]:
+        asking = queries.where(F.col("q_block").between(first, last))
+        found = pairs(asking).withColumn("task", F.spark_partition_id())
+        found = found.mapInArrow(_lower_bounds(keep), "q_block long, part long, best binary")
+        for group in (["q_block", "part"], ["q_block"]):
+            found = found.groupBy(*group).applyInArrow(_merge_bounds(keep), "q_block long, best binary")
+        asking = asking.join(materialise(found, "va-floors"), "q_block")
+        reached.append(materialise(pairs(asking).mapInArrow(_reaching(keep), "query long, class long, high double"), "va-reached"))
+    return reduce(DataFrame.unionByName, reached)
 
 
 def _exact(pairs: DataFrame, classes: DataFrame) -> DataFrame:

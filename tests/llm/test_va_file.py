@@ -65,3 +65,43 @@ def test_few_rows_and_none(spark):
     got = [tuple(r) for r in top_k(few, F.col("vec_id") % 20 == 0, 20).orderBy("rank").collect()]
     assert got == [(0, 1, 1, 6144), (0, 2, 2, 6144)]
     assert top_k(spark.createDataFrame([], kind), F.col("vec_id") % 20 == 0, 20).count() == 0
+
+
+def copied_rows(frame):
+    """Rows of each broadcast that running the frame makes."""
+    frame.collect()
+    found, plans = [], [frame._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        kind = plan.getClass().getSimpleName()
+        if kind == "BroadcastExchangeExec":
+            found.append(plan.metrics().apply("numOutputRows").value())
+        if kind == "AdaptiveSparkPlanExec":
+            plans.append(plan.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            plans.append(plan.plan())
+        else:
+            plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    return found
+
+
+def test_copies_to_tasks_do_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(va_file, "CLASS_ROWS", 16)
+    monkeypatch.setattr(va_file, "QUERY_ROWS", 4)
+    monkeypatch.setattr(va_file, "QUERY_BYTES", 3000, raising=False)
+    written, write = {}, va_file.materialise
+
+    def kept(frame, name):
+        written.setdefault(name, []).append(frame)
+        return write(frame, name)
+
+    monkeypatch.setattr(va_file, "materialise", kept)
+    rows = vectors()
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    got = Counter(tuple(r) for r in top_k(frame, F.col("vec_id") % 20 == 0, 20).collect())
+    assert got == brute(rows, 20)
+    queries, approximations = (written[name][0].count() for name in ("va-queries", "va-approximations"))
+    assert 4 <= queries < approximations / 3
+    copied = [copied_rows(scan) for name in ("va-floors", "va-reached") for scan in written[name]]
+    assert max(map(max, copied)) < queries  # neither side is copied once per block of the other
+    assert len(copied) > 2  # the queries met the table in several parts
